@@ -41,3 +41,13 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, f"{root.name}/{path.relative_to(root)}")
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name under the shared folder of the cluster (``spark.checkpoint.dir``)."""
+    import uuid
+
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="draftmetrics-"))
+    return f"{sc.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}"
