@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,10 +70,8 @@ def vague_terms(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProf
     tag = F.lit("") if tag is None else tag
     tokens = docs.select(id_col, F.explode(tx.words(text)).alias("token"))
     rules = rule_condition(F.col("token"), tag, profile)
-    any_rule = None
-    for cond in rules.values():
-        any_rule = cond if any_rule is None else any_rule | cond
-    hits = tokens.filter(any_rule).groupBy(id_col).agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    starts = "|".join([re.escape(x) for _, x in profile.prefix_rules] + [re.escape(x) + "$" for x in profile.exact_rules])
+    hits = tokens.filter(F.col("token").rlike(f"^(?:{starts})")).groupBy(id_col).agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
     phrases = docs.select(id_col, *[F.coalesce(tx.phrase_count(text, p), F.lit(0)).cast("long").alias(n) for n, p in profile.phrase_rules])
     joined = phrases.join(hits, id_col, "left")
     columns = [F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long").alias(n) for n in profile.rule_names]

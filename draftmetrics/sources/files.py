@@ -26,20 +26,28 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType, encod
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "FAILFAST").option("enforceSchema", True).csv(path)
 
 
+@F.pandas_udf(StringType())
+def _decode_fallback(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("cp949", "ignore"))
+
+
 def decodes_as_utf8(spark: SparkSession, path: str) -> bool:
     """Whether all files at ``path`` are valid UTF-8."""
     raw = spark.read.format("binaryFile").load(path)
     return raw.filter(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty()
 
 
-def read_table_any(spark: SparkSession, path: str, schema: str | T.StructType, fallback: str = "x-windows-949") -> DataFrame:
-    """UTF-8 if the bytes are, else the fallback encoding."""
-    return read_table(spark, path, schema, "UTF-8" if decodes_as_utf8(spark, path) else fallback)
+def read_table_any(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A CSV table in UTF-8, or else in cp949 (which Spark's reader doesn't know): lines are decoded, then parsed.
 
-
-@F.pandas_udf(StringType())
-def _decode_fallback(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else bytes(b).decode("cp949", "ignore"))
+    Quoted fields must not hold line breaks in the second case.
+    """
+    if decodes_as_utf8(spark, path):
+        return read_table(spark, path, schema)
+    raw = spark.read.format("binaryFile").load(path)
+    lines = raw.select(F.posexplode(F.split(_decode_fallback("content"), r"\r\n?|\n")).alias("pos", "line")).filter("pos > 0 AND line <> ''")
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    return lines.select(F.from_csv("line", kind.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def text_folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
