@@ -47,7 +47,7 @@ BROADCAST_PARTS = 100_000
 
 
 def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, ``end_id`` appended."""
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned integers of 16 bits where they all fit, else of 32; ``end_id`` appended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from draftmetrics.llm.tokens import tokenizer
@@ -58,19 +58,25 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = Non
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 1 << 20):
                 coded = [np.concatenate([x, tail]).astype("<u4") for x in tok.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(x) for x in coded], pa.int64()), pa.array([x.tobytes() for x in coded], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(x) for x in coded], pa.int64()), pa.array([x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes() for x in coded], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def stored_ids(raw: bytes | None, n_tokens: int) -> np.ndarray:
+    """Ids as ``encode_tokens`` stores them."""
+    return np.frombuffer(raw or b"", "<u4" if len(raw or b"") > 2 * n_tokens else "<u2")
+
+
 def count_ids(tokens: DataFrame) -> DataFrame:
     """(id, n) over all rows; partial counts are made beside the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            flat = np.frombuffer(b"".join(x for x in batch.column(0).to_pylist() if x), "<u4")
+            rows = [stored_ids(x, n) for x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
             if len(flat):
                 part = np.bincount(flat, minlength=len(total))
                 part[: len(total)] += total
@@ -78,7 +84,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # -- code ---------------------------------------------------------------------------
@@ -232,8 +238,8 @@ def write_store(tokens: DataFrame, max_len: int = MAX_LEN) -> str:
             return pa.RecordBatch.from_arrays(row, names=["part", "chunk", "n_tokens", "blob"])
 
         for batch in batches:
-            for p, d, x in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(x or b"", "<u4")
+            for p, d, n, x in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = stored_ids(x, n)
                 if docs and held + len(ids) > FILE_TOKENS:
                     yield flush()
                     docs, arrays, held, chunk = [], [], 0, chunk + 1
@@ -246,7 +252,7 @@ def write_store(tokens: DataFrame, max_len: int = MAX_LEN) -> str:
 
     n_parts = max(1, -(-sum(counts.values()) // (8 * FILE_TOKENS)))
     dealt = tokens.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n_parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    files = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(run, "part int, chunk int, n_tokens long, blob binary")
+    files = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, chunk int, n_tokens long, blob binary")
     return write_table(files, "huffman-store", "uncompressed")
 
 
