@@ -14,10 +14,10 @@ its largest possible H, in one of two ways, whichever costs less in a band:
 
 Equal sets are one class, met before the join.  In every bucket of equal signatures the
 members are verified against the bucket's smallest class (a star, never all pairs);
-verified pairs make components; only members that are then still in another component
-than their bucket's pivot are verified against all others of that bucket, except where
-the triangle inequality of the Jaccard distance rules the pair out.  So no link between
-components is lost and a group of n near copies costs about n verifications.
+verified pairs make components.  Members that met the same pivot and are then still in
+different components are compared with one another in blocks, and each comparison passes
+on a spanning forest of the links that it finds.  So no link between components is lost,
+and no row stands for a pair that isn't linked.
 
 Nulls: a null text or one without words has no set and no links; a null doc_id stays
 null and never names a component.  Repeated rows share their class.
@@ -48,6 +48,8 @@ BAND_RATIO = 1.5
 WEAK_COST = 30.0
 #: Partners of one pivot that are verified in one run of rows; the pivot is repeated for each run.
 PIVOT_CHUNK = 256
+#: Members of a block on average, and shingles in it; columns of an incidence matrix that is held at once.
+BLOCK, BLOCK_VOLUME, COLUMNS = 1024, 1 << 20, 4096
 
 
 #: Classes (two 64-bit values each) that may be broadcast to pick their texts; beyond it that join is shuffled.
@@ -211,6 +213,98 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long, shared long, either long")
 
 
+def links_across(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of one block link to which of the other: intersections by products of incidence matrices."""
+    n_left, n_right = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    flat_l, flat_r = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(flat_l, flat_r)
+    shared = np.zeros((len(left), len(right)), np.float32)  # exact below 2^24 shingles a set
+
+    def places(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
+        known = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        return np.repeat(np.arange(len(n)), n)[known], at[known]
+
+    (row_l, col_l), (row_r, col_r) = places(flat_l, n_left), places(flat_r, n_right)
+    for k in range(0, len(common), COLUMNS):
+        parts = []
+        for row, col, n in ((row_l, col_l, len(left)), (row_r, col_r, len(right))):
+            mine = (col >= k) & (col < k + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(common) - k)), np.float32)
+            m[row[mine], col[mine] - k] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[1].T
+    both = shared.astype(np.int64)
+    return 100 * both >= percent * (n_left[:, None] + n_right[None, :] - both)
+
+
+def verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): labels of components that links join, from members (pivot_cls, size, cls, n, label) of open pivots.
+
+    Every member has a home, its largest pivot, and lies in one block of that home; blocks
+    that meet at some pivot are compared as a whole.  A near-copy group of g members so
+    gives about (g / BLOCK)^2 comparisons of blocks and no rows for pairs; each comparison
+    passes on a spanning forest of the links that it finds between components.
+    """
+    homes = members.groupBy("cls").agg(F.max(F.struct("size", "pivot_cls")).alias("h"), F.first("label").alias("label"), F.first("n").alias("n")).select("cls", "label", "n", F.col("h.pivot_cls").alias("home"))
+    homes = table(homes, "jaccard-homes", "lz4")
+    # a home that few chose is what a larger one has left of its pivot: it joins that one
+    taken = homes.groupBy("home").agg(F.count("*").alias("chosen"))
+    larger = members.select("pivot_cls", "cls").join(homes.join(taken, "home").select("cls", "home", "chosen"), "cls").groupBy(F.col("pivot_cls").alias("home")).agg(F.max(F.struct("chosen", "home")).alias("l"))
+    moved = homes.join(taken, "home").join(larger, "home").withColumn("home", F.when(F.col("chosen") < BLOCK / 2, F.col("l.home")).otherwise(F.col("home"))).select("cls", "label", "n", "home")
+    parts = moved.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VOLUME)).alias("parts"))
+    blocked = table(moved.join(parts, "home").select("cls", "label", F.xxhash64("home", F.pmod(F.hash("cls"), "parts")).alias("block")), "jaccard-blocks", "lz4")
+    where = table(members.select("pivot_cls", "cls").join(blocked, "cls").groupBy("pivot_cls", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "jaccard-where", "lz4")
+    x, y = where.alias("x"), where.alias("y")
+    meet = x.join(y, F.expr("x.pivot_cls = y.pivot_cls AND x.block <= y.block AND NOT (x.lo = y.hi AND x.hi = y.lo AND x.lo = x.hi)")).select(F.col("x.block").alias("b1"), F.col("y.block").alias("b2")).distinct()
+    known = blocked.join(texts, "cls")
+    left = meet.join(known, meet.b1 == known.block).select("b1", "b2", F.lit(0).alias("side"), "cls", "label", "text")
+    right = meet.filter("b1 <> b2").join(known, F.col("b2") == F.col("block")).select("b1", "b2", F.lit(1).alias("side"), "cls", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        now = None
+
+        def compare() -> pa.RecordBatch:
+            sides = [[(c, g) for c, g, _ in side] for side in held]  # class, label
+            sets = [shingle_sets([t for _, _, t in side], words) for side in held]
+            if not held[1]:
+                sides[1], sets[1] = sides[0], sets[0]
+            out: list[tuple[int, int]] = []
+            if sets[0] and sets[1]:
+                linked = links_across(sets[0], sets[1], percent)
+                a, b = np.array([g for _, g in sides[0]]), np.array([g for _, g in sides[1]])
+                linked &= a[:, None] != b[None, :]
+                parent: dict[int, int] = {}
+
+                def find(v: int) -> int:
+                    while parent.setdefault(v, v) != v:
+                        parent[v] = parent[parent[v]]
+                        v = parent[v]
+                    return v
+
+                for i, j in zip(*(k.tolist() for k in np.nonzero(linked))):
+                    u, v = find(sides[0][i][1]), find(sides[1][j][1])
+                    if u != v:
+                        parent[u] = v
+                        out.append((sides[0][i][1], sides[1][j][1]))
+            cols = list(zip(*out)) if out else [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+
+        for batch in batches:
+            for b1, b2, side, c, g, t in zip(*(col.to_pylist() for col in batch.columns)):
+                if now is not None and now != (b1, b2):
+                    yield compare()
+                    held = ([], [])
+                now = (b1, b2)
+                held[side].append((c, g, t))
+        if now is not None:
+            yield compare()
+
+    together = left.unionByName(right).repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side")
+    return together.mapInArrow(run, "u long, v long")
+
+
 def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, cls, component): one row for each row of ``docs``.
 
@@ -224,15 +318,15 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     classes = table(named, "jaccard-classes", "lz4")
     rows = sets.filter("sigs IS NOT NULL").select("rid", F.explode("sigs").alias("sig"))
     pivots = rows.groupBy("sig").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last")).filter("pivot < last").select("sig", "pivot")
-    met = table(rows.join(pivots, "sig").filter("rid <> pivot").select("sig", "pivot", "rid"), "jaccard-buckets", "lz4")
+    met = table(rows.join(pivots, "sig").filter("rid <> pivot").select("pivot", "rid").distinct(), "jaccard-met", "lz4")
     # rows that were met, by class
     used = met.select("rid").union(met.select("pivot")).distinct()
-    of = table(sets.select("rid", "c1", "c2", "doc_id", "text_hash").join(used, "rid").join(classes, ["c1", "c2"]).select("rid", "cls", "n"), "jaccard-met", "lz4")
-    as_a, as_b = of.select(F.col("rid").alias("pivot"), F.col("cls").alias("pivot_cls"), F.col("n").alias("pivot_n")), of
-    star = met.select("pivot", "rid").distinct().join(as_a, "pivot").join(as_b, "rid").filter("pivot_cls <> cls")
+    of = table(sets.select("rid", "c1", "c2").join(used, "rid").join(classes, ["c1", "c2"]).select("rid", "cls", "n"), "jaccard-of", "lz4")
+    as_a = of.select(F.col("rid").alias("pivot"), F.col("cls").alias("pivot_cls"), F.col("n").alias("pivot_n"))
+    star = table(met.join(as_a, "pivot").join(of, "rid").filter("pivot_cls <> cls").select("pivot_cls", "pivot_n", "cls", "n").distinct(), "jaccard-star", "lz4")
     near = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
     pairs = star.filter(near("pivot_n", "n")).select(F.least("pivot_cls", "cls").alias("a"), F.greatest("pivot_cls", "cls").alias("b")).distinct()
-    pairs = table(pairs, "jaccard-star", "lz4")
+    pairs = table(pairs, "jaccard-pairs", "lz4")
     wanted = of.select("cls").distinct().join(signed.select(F.col("rid").alias("cls"), "doc_id", "text_hash"), "cls")
     wanted = table(wanted, "jaccard-wanted", "lz4")
     text = F.col(text_col).cast("string")
@@ -245,22 +339,17 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     checked = table(verify(pairs, texts, words), "jaccard-checked", "lz4")
     link = f"100 * shared >= {percent} * either"
     labels = components(checked.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # members that are still apart from their bucket's pivot meet all others of the bucket
-    label = lambda df, c, out: df.join(labels.select(F.col("node").alias(c), F.col("label").alias("l")), c, "left").withColumn(out, F.coalesce("l", c)).drop("l")
-    apart = label(label(star, "pivot_cls", "pivot_label"), "cls", "label").filter("label <> pivot_label")
-    open_sigs = met.join(apart.select("pivot", "rid").distinct(), ["pivot", "rid"]).select("sig", "pivot").distinct()
-    distance = checked.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
-    inside = met.join(open_sigs, ["sig", "pivot"]).join(as_a, "pivot").join(of, "rid").select("sig", "cls", "n", F.least("pivot_cls", "cls").alias("a"), F.greatest("pivot_cls", "cls").alias("b"))
-    inside = label(inside.join(distance, ["a", "b"], "left").select("sig", "cls", "n", "d").distinct(), "cls", "label")
-    inside = table(inside.filter("cls IS NOT NULL"), "jaccard-open", "lz4")
-    x, y = inside.alias("x"), inside.alias("y")
-    reach = (100 - percent) / 100 + 1e-9
-    rest = x.join(y, F.expr(f"x.sig = y.sig AND x.cls < y.cls AND x.label <> y.label AND {near('x.n', 'y.n')} AND (x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {reach})"))
-    rest = table(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-rest", "lz4")
-    if not rest.isEmpty():
-        more = table(verify(rest, texts, words), "jaccard-checked", "lz4")
-        checked = checked.unionByName(more)
-        labels = components(checked.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # members of one pivot's buckets have not met one another: where they are in different components, blocks of them do
+    labelled = star.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = table(labelled.select("pivot_cls", "cls", "n", "label"), "jaccard-labelled", "lz4")
+    open_ = labelled.groupBy("pivot_cls").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    members = table(labelled.join(open_.drop("lo", "hi"), "pivot_cls"), "jaccard-open", "lz4")
+    if not members.isEmpty():
+        more = table(verify_blocks(members, texts, words, percent), "jaccard-more", "lz4")
+        merged = components(more)  # of labels: far fewer than classes
+        labels = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        alone = merged.join(labels.select("node"), "node", "left_anti")  # classes that no star had linked are labels of their own
+        labels = table(labels.unionByName(alone), "jaccard-labels", "lz4")
     out = signed.select("doc_id", "text_hash", "n_shingles", "c1", "c2").join(classes.select("c1", "c2", "cls"), ["c1", "c2"], "left")
     out = out.withColumn("cls", F.when(F.col("n_shingles") > 0, F.col("cls")))
     return out.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n_shingles", "cls", F.coalesce("label", "cls").alias("component"))

@@ -217,6 +217,23 @@ def test_jaccard_components_against_all_pairs(spark, seed, sizes):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_large_group_of_near_copies_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "PIVOT_CHUNK", 8)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 400)}"
+        rows.append((k, " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute_components(rows)
+    assert len({c for _, _, c in expected}) > 5
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == expected
+
+
 def test_jaccard_edge_cases(spark, edge, empty):
     got = jaccard_join.jaccard_components(edge).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components([(r[0], r[1]) for r in EDGE])
