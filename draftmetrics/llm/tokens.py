@@ -2,20 +2,43 @@
 
 A byte-pair merge never crosses a pre-token, and in both supported files a pre-token
 boundary lies before every single space or line break that stands between two
-non-blank characters.  So a text is cut there, each distinct piece is encoded once per
-worker by the library, and ids are gathered from the cache.  Texts with other white
+non-blank characters.  So a text is cut there, each distinct piece is encoded by the
+library once per worker and cache, and ids are gathered from the cache.  Latin words
+with marks after them go straight to the file's byte-pair model (they are one or two
+pre-tokens, which need no splitter); any other piece goes through the whole tokenizer.  Texts with other white
 space (runs, tabs, leading or trailing blanks) go to the library whole wherever blanks
 are themselves tokens.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
 
 #: Distinct pieces held by one worker; the cache is emptied when it is full.
 CACHE_PIECES = 1_000_000
+#: Marks that form one pre-token when they follow a letter (no apostrophe: contractions are split otherwise).
+MARKS = ".,;:!?%*$&#"
+#: Letters below this code point are letters in every Unicode version.
+LATIN_END = "\u0250"
+#: Byte-level files write a byte that is no visible Latin-1 character as a letter from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
+class _Pieces(dict):
+    """Numbers of pieces in the order in which they are first met; ``new`` lists those whose ids are still to be found."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
 
 
 class WordCachedTokenizer:
@@ -31,42 +54,43 @@ class WordCachedTokenizer:
         self._blank_is_token = one("a b") != one("a") + one("b")
         self._mark = one("\n") if self._blank_is_token else one("\x01")
         self._cacheable = len(self._mark) == 1
+        self._model = self._tok.model
+        self._mark_ids: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self._at: dict[str, int] = {}
+        self._at = _Pieces()
         self._ids = np.zeros(1 << 20, np.uint32)
         self._start = np.zeros(1 << 16, np.int64)
         self._len = np.zeros(1 << 16, np.int64)
-        self._used = 0
+        self._used = self._known = 0
 
-    def _add(self, piece_ids: np.ndarray, starts: np.ndarray, lens: np.ndarray, pieces: list[str]) -> None:
-        n, k = len(self._at), len(pieces)
+    def _add(self, each: list[list[int]]) -> None:
+        """Store the ids of the pieces met last, in their order."""
+        n, k = self._known, len(each)
+        lens = np.fromiter(map(len, each), np.int64, k)
+        flat = np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(lens.sum()))
         while n + k > len(self._start):
             self._start, self._len = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._len))
-        while self._used + len(piece_ids) > len(self._ids):
+        while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        self._ids[self._used : self._used + len(piece_ids)] = piece_ids
-        self._start[n : n + k] = starts + self._used
+        self._ids[self._used : self._used + len(flat)] = flat
+        self._start[n : n + k] = np.cumsum(lens) - lens + self._used
         self._len[n : n + k] = lens
-        self._used += len(piece_ids)
-        self._at.update(zip(pieces, range(n, n + k)))
+        self._used += len(flat)
+        self._known += k
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in one call, told apart by a mark that is one id and no part of a piece."""
+    def _together(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces by one call, told apart by a mark that is one id and no part of a piece."""
         if self._blank_is_token:
             text = "\n".join([f" {p}" for p in pieces])
         else:
             text = " \x01 ".join(pieces)
-        ids = np.asarray(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        cut = np.flatnonzero(ids == self._mark[0])
-        if len(cut) != len(pieces) - 1:  # a piece holds the mark after all: encode one by one
-            each = [np.asarray(self.whole(f" {p}" if self._blank_is_token else p), np.uint32) for p in pieces]
-            lens = np.array([len(x) for x in each], np.int64)
-            self._add(np.concatenate(each) if each else ids[:0], np.cumsum(lens) - lens, lens, pieces)
-            return
-        starts = np.concatenate([[0], cut + 1])
-        self._add(ids, starts, np.append(cut, len(ids)) - starts, pieces)
+        ids = self.whole(text)
+        cut = [i for i, x in enumerate(ids) if x == self._mark[0]]
+        if len(cut) != len(pieces) - 1:  # a piece holds the mark after all: one by one
+            return [self.whole(f" {p}" if self._blank_is_token else p) for p in pieces]
+        return [ids[i + 1 : j] for i, j in zip([-1, *cut], [*cut, len(ids)])]
 
     def whole(self, text: str) -> list[int]:
         return self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -107,29 +131,65 @@ class WordCachedTokenizer:
     def _gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._at) > CACHE_PIECES:
             self._clear()
-        new = list(set(words) - self._at.keys())
-        if new:
-            self._learn_all(new)
         idx = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+        if self._at.new:
+            self._learn(self._at.new)
+            self._at.new = []
         lens, starts = self._len[idx], self._start[idx]
         total = np.cumsum(lens)
-        pos = np.arange(total[-1], dtype=np.int64) + np.repeat(starts - (total - lens), lens)
+        pos = np.arange(total[-1], dtype=np.int64)
+        pos += np.repeat(starts - (total - lens), lens)
         return lens, self._ids[pos]
 
-    def _learn_all(self, new: list[str]) -> None:
-        if not self._blank_is_token:
-            for a in range(0, len(new), 50_000):
-                self._learn(new[a : a + 50_000])
-            return
-        plain = [w for w in new if w[:1] not in ("\n", "\r")]
-        for a in range(0, len(plain), 50_000):
-            self._learn(plain[a : a + 50_000])
-        line = [w for w in new if w[:1] in ("\n", "\r")]
-        if line:  # rarer: encoded one by one, without the blank; "\r" marks the start of a text
-            each = [x.ids for x in self._tok.encode_batch_fast([w[1:] for w in line], add_special_tokens=False)]
-            each = [(self._mark if w[0] == "\n" else []) + ids for w, ids in zip(line, each)]
-            lens = np.array([len(x) for x in each], np.int64)
-            self._add(np.concatenate([np.asarray(x, np.uint32) for x in each]), np.cumsum(lens) - lens, lens, line)
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces: plain words by the file's model itself, all others by the whole tokenizer."""
+        each = [self._word(w) for w in new]
+        odd = [i for i, ids in enumerate(each) if ids is None]
+        lines = [i for i in odd if self._blank_is_token and new[i][:1] in ("\n", "\r")]
+        inner = [i for i in odd if not (self._blank_is_token and new[i][:1] in ("\n", "\r"))]
+        for k in range(0, len(inner), 50_000):
+            some = inner[k : k + 50_000]
+            for i, ids in zip(some, self._together([new[i] for i in some])):
+                each[i] = ids
+        if lines:  # encoded without the blank; "\r" marks the start of a text
+            for i, x in zip(lines, self._tok.encode_batch_fast([new[i][1:] for i in lines], add_special_tokens=False)):
+                each[i] = (self._mark if new[i][0] == "\n" else []) + x.ids
+        self._add(each)
+
+    def _word(self, w: str) -> list[int] | None:
+        """Ids of Latin letters with a run of marks after them: two pre-tokens that need no splitter."""
+        head = ""
+        if self._blank_is_token:
+            head = w[:1]
+            if head in ("\n", "\r"):
+                w = w[1:]
+            else:
+                head = " "
+        core = w.rstrip(MARKS)
+        if not core.isalpha() or not (core.isascii() or max(core) < LATIN_END):
+            return None
+        if self._blank_is_token:
+            text = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self._model.tokenize("\u0120" + text if head == " " else text)]
+            if head == "\n":
+                ids = self._mark + ids
+        else:
+            text = core.lower()
+            if not text.isalpha():
+                return None
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self._model.tokenize(text)]
+        if len(core) < len(w):
+            ids += self._marks(w[len(core) :])
+        return ids
+
+    def _marks(self, run: str) -> list[int]:
+        if run not in self._mark_ids:
+            if len(self._mark_ids) > 10_000:
+                self._mark_ids.clear()
+            self._mark_ids[run] = [t.id for t in self._model.tokenize(run)]
+        return self._mark_ids[run]
 
 
 _tokenizers: dict[str, WordCachedTokenizer] = {}
