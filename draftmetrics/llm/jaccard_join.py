@@ -25,6 +25,7 @@ null and never names a component.  Repeated rows share their class.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -186,6 +187,20 @@ def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     return picked.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, sigs array<long>, rid long")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(cls, text) with the text as compressed UTF-8, as it will be shuffled more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 3) for t in batch.column(1).to_pylist()], pa.binary())], names=["cls", "text"])
+
+    return texts.mapInArrow(run, "cls long, text binary")
+
+
+def packed_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    return shingle_sets([zlib.decompress(t).decode() for t in texts], words)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(a, b, shared, either) for each pair of classes: sizes of intersection and union, from whole texts (class, text)."""
     many = pairs.groupBy("a").count().withColumn("runs", F.ceil(F.col("count") / PIVOT_CHUNK))
@@ -198,9 +213,9 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             a, kind, b, texts_ = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             runs = batch.column(1).to_pylist()
-            for lo, hi in slices([len(t) for t in texts_], 1 << 20):
+            for lo, hi in slices([len(t) for t in texts_], 1 << 18):
                 rows = []
-                for i, s in zip(range(lo, hi), shingle_sets(texts_[lo:hi], words)):
+                for i, s in zip(range(lo, hi), packed_sets(texts_[lo:hi], words)):
                     if kind[i] == 0:
                         mine, own = (a[i], runs[i]), s
                     elif mine == (a[i], runs[i]):
@@ -258,8 +273,8 @@ def verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int
     x, y = where.alias("x"), where.alias("y")
     meet = x.join(y, F.expr("x.pivot_cls = y.pivot_cls AND x.block <= y.block AND NOT (x.lo = y.hi AND x.hi = y.lo AND x.lo = x.hi)")).select(F.col("x.block").alias("b1"), F.col("y.block").alias("b2")).distinct()
     known = blocked.join(texts, "cls")
-    left = meet.join(known, meet.b1 == known.block).select("b1", "b2", F.lit(0).alias("side"), "cls", "label", "text")
-    right = meet.filter("b1 <> b2").join(known, F.col("b2") == F.col("block")).select("b1", "b2", F.lit(1).alias("side"), "cls", "label", "text")
+    sides = meet.select(F.col("b1").alias("block"), "b1", "b2", F.lit(0).alias("side")).union(meet.filter("b1 <> b2").select(F.col("b2").alias("block"), "b1", "b2", F.lit(1).alias("side")))
+    together = known.join(sides, "block").select("b1", "b2", "side", "cls", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -267,7 +282,7 @@ def verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int
 
         def compare() -> pa.RecordBatch:
             sides = [[(c, g) for c, g, _ in side] for side in held]  # class, label
-            sets = [shingle_sets([t for _, _, t in side], words) for side in held]
+            sets = [packed_sets([t for _, _, t in side], words) for side in held]
             if not held[1]:
                 sides[1], sets[1] = sides[0], sets[0]
             out: list[tuple[int, int]] = []
@@ -301,8 +316,7 @@ def verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int
         if now is not None:
             yield compare()
 
-    together = left.unionByName(right).repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side")
-    return together.mapInArrow(run, "u long, v long")
+    return together.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side").mapInArrow(run, "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +330,8 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     # classes: their smallest row that has signatures names them
     named = sets.groupBy("c1", "c2").agg(F.min(F.when(F.col("sigs").isNotNull(), F.col("rid"))).alias("cls"), F.min("n_shingles").alias("n"))
     classes = table(named, "jaccard-classes", "lz4")
-    rows = sets.filter("sigs IS NOT NULL").select("rid", F.explode("sigs").alias("sig"))
+    # the one shuffle of signatures: minima and the way back to the rows both read it (equal filters, so that it is reused)
+    rows = sets.filter("sigs IS NOT NULL AND rid IS NOT NULL").select("rid", F.explode("sigs").alias("sig")).repartition("sig")
     pivots = rows.groupBy("sig").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last")).filter("pivot < last").select("sig", "pivot")
     met = table(rows.join(pivots, "sig").filter("rid <> pivot").select("pivot", "rid").distinct(), "jaccard-met", "lz4")
     # rows that were met, by class
@@ -335,7 +350,9 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     keyed = wanted.select("cls", key)
     if keyed.count() <= BROADCAST_CLASSES:  # then the texts of all others need not move
         keyed = F.broadcast(keyed)
-    texts = table(source.select("text", key).join(keyed, "k").groupBy("cls").agg(F.first("text").alias("text")), "jaccard-texts")
+    texts = table(packed(source.select("text", key).join(keyed, "k").select("cls", "text")), "jaccard-texts", "none")
+    if texts.count() > wanted.count():  # repeated rows: the texts are equal
+        texts = texts.dropDuplicates(["cls"])
     checked = table(verify(pairs, texts, words), "jaccard-checked", "lz4")
     link = f"100 * shared >= {percent} * either"
     labels = components(checked.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v")))
