@@ -2,7 +2,8 @@
 
 Values are found by pattern and validated (Luhn for card numbers, remainder 97 for bank
 account numbers, ranges for addresses, the calendar for dates, reserved blocks for
-social security numbers); what does not validate stays as it is.  A valid value is a
+social security numbers); what does not validate stays as it is, but shorter stretches of
+it (that end with a group of characters) and later ones are tried.  A valid value is a
 number below the size of its format; a keyed Feistel network with cycle walking permutes
 that range, and the image is written in the value's own layout (separators, case, date
 order).  The key and the kind alone decide, so equal values stay linked across documents
@@ -31,14 +32,19 @@ _HEX = ("0123456789abcdef", "0123456789ABCDEF")
 #: Dates are permuted among these days.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
+#: Layouts in which card numbers are usually written.
+_CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?!\w)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: What a grouped international phone does not run into: a card, date, social security number, address or phone.
+_OTHER = rf"(?:{_CARD}|[0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}(?![0-9])|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}}(?![0-9])|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9])|{_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])(?!\w)|[0-9]{{3}}[ .-][0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9]))"
 PATTERN = re.compile(
     "|".join(
         (
             r"(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))\s*[=:]\s*[\"'](?P<secret_value>[^\"'\s]{8,})[\"'])",
             r"(?P<email>(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})",
             rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])(?!\w))",
-            r"(?P<phone>(?<![\w+])(?:\+(?P<country>[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|(?<=[ .-])[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9]))",
+            r"(?P<phone>(?<![\w+])(?<![0-9],)(?:(?:\+(?P<country>[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+            rf"|\+[1-9][0-9]{{7,14}}(?![0-9])|\+[1-9](?:[0-9]|[ .()-]{{1,2}}(?!{_OTHER})[0-9]){{7,14}}(?![0-9])))",
             r"(?P<iso_date>(?<![\w/.-])[0-9]{4}(?P<iso_sep>[-/.])[0-9]{2}(?P=iso_sep)[0-9]{2}(?![0-9]))",
             r"(?P<day_date>(?<![\w/.-])[0-9]{1,2}(?P<day_sep>[-/.])[0-9]{1,2}(?P=day_sep)[0-9]{4}(?![0-9]))",
             r"(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))",
@@ -47,6 +53,8 @@ PATTERN = re.compile(
         )
     )
 )
+_USUAL_CARD = re.compile(_CARD)
+_KINDS = ("secret", "email", "ip", "phone", "iso_date", "day_date", "ssn", "iban", "card")
 #: Every pattern needs one of these.
 _MAYBE = re.compile(r"[0-9@]|[=:]\s*[\"']")
 
@@ -115,7 +123,10 @@ class Pseudonyms:
     def _phone(self, text: str) -> str:
         head = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
         at = head.end() if head else 0
-        return text[:at] + self.characters(text[at:], "phone")
+        new = self.characters(text[at:], "phone")
+        while new.startswith("+0"):  # no country code starts so: walk on
+            new = self.characters(new, "phone")
+        return text[:at] + new
 
     def _day(self, year: int, month: int, day: int) -> date | None:
         try:
@@ -177,24 +188,86 @@ def luhn_digit(digits: list[int]) -> int:
     return -sum((2 * d - 9 * (d > 4)) if i % 2 == 0 else d for i, d in enumerate(reversed(digits))) % 10
 
 
+def _usual_card(text: str, start: int, end: int, names: Pseudonyms) -> bool:
+    """Whether a valid card number in a usual layout starts at or after ``start`` and before ``end``."""
+    for k in range(start, end):
+        if text[k].isdigit() and not (text[k - 1 : k].isalnum() or text[k - 1 : k] in ("_", ".")):
+            m = _USUAL_CARD.match(text, k)
+            if m and names.value("card", m[0]):
+                return True
+    return False
+
+
+def _card_span(text: str, start: int, end: int, names: Pseudonyms, again: bool) -> tuple[int, int] | None:
+    """The card number that starts at ``start``: in a usual layout, or else the longest that is valid.
+
+    ``end`` is the end of the longest stretch; ``again`` if it begins in a stretch that failed.
+    Shorter or later numbers have groups of at least three digits.
+    """
+    usual = _USUAL_CARD.match(text, start)
+    if usual and names.value("card", usual[0]):
+        return usual.span()
+    groups = [m.span() for m in re.compile("[0-9]+").finditer(text, start, end)]
+    for k in range(len(groups), 0, -1):
+        stop = groups[k - 1][1]
+        whole = stop == end and not again
+        if (whole or min(b - a for a, b in groups[:k]) >= 3) and names.value("card", text[start:stop]):
+            return None if _usual_card(text, start + 1, stop, names) else (start, stop)
+    return None
+
+
+def _iban_span(text: str, start: int, end: int, names: Pseudonyms) -> tuple[int, int] | None:
+    """The longest valid account number that starts at ``start`` and ends with one of its groups."""
+    while end - start >= 15:
+        if names.value("iban", text[start:end]):
+            return start, end
+        end = text.rfind(" ", start, end)
+    return None
+
+
+def _find(text: str, names: Pseudonyms) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all valid values; after one that isn't valid the search goes on from its next character."""
+    found, at, failed = [], 0, 0
+    while m := PATTERN.search(text, at):
+        kind = m.lastgroup if m.lastgroup in _KINDS else next(k for k in ("secret", "phone", "iso_date", "day_date") if m[k])
+        span: tuple[int, int] | None = m.span("secret_value") if kind == "secret" else m.span()
+        if kind == "card":
+            span = _card_span(text, *span, names, m.start() < failed)
+        elif kind == "iban":
+            span = _iban_span(text, *span, names)
+        elif names.value(kind, text[span[0] : span[1]]) is None:
+            span = None
+        if span is None:
+            failed = max(failed, m.end())
+            at = m.start() + 1
+            continue
+        found.append((kind, *span))
+        at = m.end() if kind == "secret" else span[1]
+    return found
+
+
 def replace_all(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and (kind, start, end) of each in the new text."""
+    """The text with pseudonyms, and (kind, start, end) of each in the new text.
+
+    Where other values would be found in the new text (a longer number can become valid by
+    chance), all its values are replaced once more, so that the text can be restored.
+    """
     if not _MAYBE.search(text):
         return text, []
-    out, found, at, size = [], [], 0, 0
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup in ("secret", "email", "ip", "phone", "iso_date", "day_date", "ssn", "iban", "card") else next(k for k in ("secret", "phone", "iso_date", "day_date") if m[k])
-        span = m.span("secret_value") if kind == "secret" else m.span()
-        new = names.value(kind, text[span[0] : span[1]])
-        if new is None:
-            continue
-        out += [text[at : span[0]], new]
-        size += span[0] - at
-        found.append((kind, size, size + len(new)))
-        size += len(new)
-        at = span[1]
-    out.append(text[at:])
-    return "".join(out), found
+    found = _find(text, names)
+    while found:
+        out, made, at, size = [], [], 0, 0
+        for kind, a, b in found:
+            new = names.value(kind, text[a:b])
+            size += a - at
+            made.append((kind, size, size + len(new)))
+            out += [text[at:a], new]
+            size += len(new)
+            at = b
+        text, found = "".join([*out, text[at:]]), made
+        if _find(text, names) == found:
+            break
+    return text, found
 
 
 def pseudonymise(docs: DataFrame, key: bytes = b"draftmetrics", text_col: str = "text", name: str | None = None, restore: bool = False) -> DataFrame:

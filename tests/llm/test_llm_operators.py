@@ -371,6 +371,32 @@ def test_invalid_values_stay_and_equal_values_link(spark, edge, empty):
     assert pii_feistel.pseudonymise(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,old",
+    [
+        ("4111 1111 1111 1111 123", "4111 1111 1111 1111"), ("4111111111111111 99", "4111111111111111"), ("3 4111111111111111", "4111111111111111"),
+        ("12 34 56 78 90 12 4111 1111 1111 1111 7", "4111 1111 1111 1111"), ("XX12 4111 1111 1111 1111", "4111 1111 1111 1111"), ("3782 822463 10005 44", "3782 822463 10005"),
+        ("BE68539007547034 EUR", "BE68539007547034"), ("BE68 5390 0754 7034 EUROS", "BE68 5390 0754 7034"), ("AB12 BE68 5390 0754 7034", "BE68 5390 0754 7034"),
+        ("555-123-4567", "555-123-4567"), ("a\n555-123-4567", "555-123-4567"), ("tel:555-123-4567", "555-123-4567"), ("+15551234567", "+15551234567"),
+        ("+33 1 23 45 67 89", " 1 23 45 67 89"), ("+49 30 1234567", " 30 1234567"), ("+44 (0)20 7946 0958.", " (0)20 7946 0958"),
+        ("+49 30 1234567 4111 1111 1111 1111", "4111 1111 1111 1111"), ("+33 1 23 45 67 89 555-123-4567", "555-123-4567"),
+    ],
+)
+def test_values_beside_other_numbers_are_found(text, old):
+    for key in range(40):
+        names, back = (pii_feistel.Pseudonyms(b"%d" % key, b) for b in (False, True))
+        new, found = pii_feistel.replace_all(text, names)
+        k = text.index(old)
+        assert any(a <= k + old.startswith(" ") and k + len(old) <= b for _, a, b in found) and new[k : k + len(old)] != old
+        assert len(new) == len(text) and pii_feistel.replace_all(new, back) == (text, found)
+
+
+def test_numbers_that_do_not_validate_stay():
+    names = pii_feistel.Pseudonyms(b"k")
+    for text in ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", "BE68539007547035 EUR", "1,234 567 8901 units", "4111 1111 1111 1112 123"):
+        assert pii_feistel.replace_all(text, names) == (text, [])
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
 def test_number_permutation(n):
     names, back = pii_feistel.Pseudonyms(b"x"), pii_feistel.Pseudonyms(b"x", True)
