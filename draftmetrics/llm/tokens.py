@@ -7,7 +7,7 @@ library once per worker and cache, and ids are gathered from the cache.  Latin w
 with marks after them go straight to the file's byte-pair model (they are one or two
 pre-tokens, which need no splitter); any other piece goes through the whole tokenizer.  Texts with other white
 space (runs, tabs, leading or trailing blanks) go to the library whole wherever blanks
-are themselves tokens.
+are themselves tokens, and so do texts that hold an added token such as <|endoftext|>.
 """
 
 from __future__ import annotations
@@ -49,11 +49,12 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        added = self._tok.get_added_tokens_decoder().values()
+        self._added = [t.content for t in added]
         one = lambda s: self._tok.encode(s, add_special_tokens=False).ids
         self._blank_is_token = one("a b") != one("a") + one("b")
         self._mark = one("\n") if self._blank_is_token else one("\x01")
-        self._cacheable = len(self._mark) == 1
+        self._cacheable = len(self._mark) == 1 and not any(t.normalized for t in added)  # such a token can match text that is written otherwise
         self._model = self._tok.model
         self._mark_ids: dict[str, list[int]] = {}
         self._clear()
@@ -112,7 +113,7 @@ class WordCachedTokenizer:
         plan: list[tuple[int, int]] = []
         words: list[str] = []
         for i, text in enumerate(texts):
-            mine = self._pieces(text) if text and self._cacheable else None
+            mine = self._pieces(text) if text and self._cacheable and not any(a in text for a in self._added) else None
             if mine is None:
                 out[i] = np.asarray(self.whole(text) if text else [], np.uint32)
                 continue

@@ -50,6 +50,17 @@ def test_cached_tokenizer_equals_library(file, spark, sf):
         assert ids.tolist() == (t.whole(text) if text else [])
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_encoded_as_by_a_plain_tokenizer(file):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path(file))
+    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a <|ENDOFTEXT|> b", "no special token here", *[f"word {s} word{s}\n{s}x" for s in special[:200]]]
+    for text, ids in zip(texts, tokens.WordCachedTokenizer(queries.tokenizer_path(file)).encode(texts)):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_length_limited_codes_are_optimal_and_decode():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 40, 700):
