@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftmetrics.operators.experiments import balanced_weights, scores, standardize, stratified_split
@@ -228,38 +228,51 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 25) -> np
     return beta
 
 
-def macro_f1(y: np.ndarray, yhat: np.ndarray) -> float:
-    out = []
-    for c in (0, 1):
-        tp, fp, fn = ((y == c) & (yhat == c)).sum(), ((y != c) & (yhat == c)).sum(), ((y == c) & (yhat != c)).sum()
-        if tp + fp + fn:
-            out.append(2 * tp / (2 * tp + fp + fn))
-    return float(np.mean(out)) if out else 0.0
+def macro_f1_of_cells() -> Column:
+    """Macro F1 of columns tn, fp, fn and tp over the classes that occur; 0 where none does."""
+    wrong = F.col("fp") + F.col("fn")
+    f1 = [F.try_divide(2 * F.col(t), 2 * F.col(t) + wrong) for t in ("tn", "tp")]
+    seen = f1[0].isNotNull().cast("int") + f1[1].isNotNull().cast("int")
+    return F.coalesce(F.try_divide(F.coalesce(f1[0], F.lit(0.0)) + F.coalesce(f1[1], F.lit(0.0)), seen), F.lit(0.0))
 
 
 def permutation_null(df: DataFrame, features: list[str], id_col: str, permutations: int = 1000, seed: int = 0) -> DataFrame:
-    """(perm_id, score): macro F1 on the test rows after fitting permuted training labels; -1 is the true labels' score."""
+    """(perm_id, score): macro F1 on all test rows after fitting permuted training labels; -1 is the true labels' score."""
     rows = prepared(df, features)
     columns = [f"z_{c}" for c in features]
-    data = bounded(rows, id_col).select(*columns, "label", "split", id_col).orderBy(id_col).toPandas()
+    data = bounded(rows.filter("split = 'train'"), id_col).select(*columns, "label", id_col).orderBy(id_col).toPandas()
     spark = df.sparkSession
-    train = (data["split"] == "train").to_numpy()
-    x, y = data[columns].to_numpy(), data["label"].to_numpy()
-    shared = spark.sparkContext.broadcast((x[train], y[train], x[~train], y[~train]))
+    shared = spark.sparkContext.broadcast((data[columns].to_numpy(), data["label"].to_numpy()))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xa, ya, xb, yb = shared.value
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = shared.value
         for frame in frames:
             out = []
             for k in frame["id"]:
-                labels = ya if k < 0 else np.random.default_rng([seed, int(k)]).permutation(ya)
+                labels = y if k < 0 else np.random.default_rng([seed, int(k)]).permutation(y)
                 share = labels.mean()
                 w = np.where(labels == 1, 0.5 / share if share else 0, 0.5 / (1 - share) if share < 1 else 0)
-                beta = _newton(xa, labels, w)
-                out.append(macro_f1(yb, (xb @ beta[:-1] + beta[-1] > 0).astype(float)))
-            yield pd.DataFrame({"perm_id": frame["id"], "score": out})
+                out.append(list(_newton(x, labels, w)))
+            yield pd.DataFrame({"perm_id": frame["id"], "beta": out})
+
+    fitted = spark.range(-1, permutations).mapInPandas(fit, "perm_id long, beta array<double>").orderBy("perm_id").collect()
+    ids, beta = [r["perm_id"] for r in fitted], spark.sparkContext.broadcast(np.array([r["beta"] for r in fitted]).T)
 
-    return spark.range(-1, permutations).mapInPandas(run, "perm_id long, score double")
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros((2, 2, len(ids)), np.int64)
+        for frame in frames:
+            x, y = frame[columns].to_numpy(), frame["label"].to_numpy()
+            for k in range(0, len(y), 4096):
+                yhat = x[k : k + 4096] @ beta.value[:-1] + beta.value[-1] > 0
+                for c in (0, 1):
+                    mine = yhat[y[k : k + 4096] == c]
+                    cells[c, 1] += mine.sum(axis=0)
+                    cells[c, 0] += len(mine) - mine.sum(axis=0)
+        yield pd.DataFrame({"perm_id": ids, "tn": cells[0, 0], "fp": cells[0, 1], "fn": cells[1, 0], "tp": cells[1, 1]})
+
+    counted = rows.filter("split = 'test'").select(*columns, "label").mapInPandas(count, "perm_id long, tn long, fp long, fn long, tp long")
+    summed = counted.groupBy("perm_id").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+    return summed.select("perm_id", macro_f1_of_cells().alias("score"))
 
 
 def coefficients(model, features: list[str], spark) -> DataFrame:

@@ -72,6 +72,24 @@ def test_permutation_null(planted):
     assert len(r) == 21 and true > max(x.score for x in r if x.perm_id >= 0)
 
 
+def test_permutation_null_scores_all_test_rows(planted, monkeypatch):
+    rows = ml.prepared(planted, ["a", "b", "c"])
+    expected = ex.scores(ml.predictions(planted, ["a", "b", "c"], "id"), ["split"]).filter("split = 'test'").first()
+    got = ml.permutation_null(planted, ["a", "b", "c"], "id", permutations=1).filter("perm_id = -1").first()
+    assert got.score == pytest.approx(expected.f1_macro)
+    kept = []
+    plain = ml.bounded
+    monkeypatch.setattr(ml, "bounded", lambda df, id_col: kept.append(plain(df, id_col, 100)) or kept[-1])
+    some = ml.permutation_null(planted, ["a", "b", "c"], "id", permutations=1).filter("perm_id = -1").first()
+    p, t = (x.select("z_a", "z_b", "z_c", "y").toPandas().to_numpy() for x in (kept[0], rows.filter("split = 'test'")))
+    share = p[:, 3].mean()
+    beta = ml._newton(p[:, :3], p[:, 3], np.where(p[:, 3] == 1, 0.5 / share, 0.5 / (1 - share)))
+    hat = t[:, :3] @ beta[:3] + beta[3] > 0
+    cells = [int(((t[:, 3] == a) & (hat == b)).sum()) for a, b in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    assert sum(cells) == planted.filter("split = 'test'").count()
+    assert kept[0].count() == 100 and some.score == pytest.approx((2 * cells[0] / (2 * cells[0] + cells[1] + cells[2]) + 2 * cells[3] / (2 * cells[3] + cells[1] + cells[2])) / 2)
+
+
 def test_grid_is_the_published_one():
     assert len(ml.GRID) == 18 and len({r.name for r in ml.GRID}) == 18
     assert [len(r.features) for r in ml.GRID if r.name.startswith("without")] == [4] * 5
