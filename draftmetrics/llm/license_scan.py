@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every file's lines that hold a cue (and, for a licence file, its whole text) are compared
-with licence templates by the cosine of TF-IDF vectors; document frequencies are counted
-over all files.  A file whose whole text resembles a template is a licence file of its
+Every file's lines that hold a cue, its spans of a template's length (over line breaks) and
+its whole text are compared with licence notices, headers and full texts by the cosine of
+TF-IDF vectors; document frequencies are counted over all files.  A specific licence goes
+before "All rights reserved".  A file whose whole text resembles a template is a licence file of its
 directory.  A file without a licence of its own inherits from the nearest ancestor
 directory that has a licence file; the lookup joins distinct directories with their
 ancestors, so a directory with very many files costs one row.
@@ -18,13 +19,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftmetrics.llm.license_texts import FULL_TEXTS
 from draftmetrics.llm.rowmap import free_name, with_text_struct
 
-#: Short public licence notices.
+#: Short public licence notices, then full texts where they are at hand.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -35,10 +38,13 @@ TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 }
+TEMPLATES = {name: (*many, *([FULL_TEXTS[name]] if name in FULL_TEXTS else [])) for name, many in TEMPLATES.items()}
+#: What any licence may say as well.
+GENERAL = "Proprietary"
 CUE = re.compile(r"licen[sc]|copyright|\brights reserved\b|\bpermission is\b|redistribution|\bcc by\b|creative commons", re.I)
 TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
-#: Least cosine of a line, and of a whole text that is a licence file.
-LEAST_LINE, LEAST_FILE = 0.6, 0.6
+#: Least cosine of a line, of a whole text that is a licence file, and of a span.
+LEAST_LINE, LEAST_FILE, LEAST_SPAN = 0.6, 0.6, 0.8
 
 
 def terms(text: str) -> list[str]:
@@ -73,21 +79,60 @@ class Matcher:
         n = frequencies.get("", 0)
         self.idf = {w: math.log((1 + n) / (1 + frequencies.get(w, 0))) + 1 for w in vocabulary(templates)}
         self.rare = math.log(1 + n) + 1
-        self.templates = [(name, *self._vector(one)) for name, many in sorted(templates.items()) for one in many]
+        self.templates = [(name, *self._vector(one), len(terms(one))) for name, many in sorted(templates.items()) for one in many]
 
     def _vector(self, text: str) -> tuple[dict[str, float], float]:
         v = {w: c * self.idf.get(w, self.rare) for w, c in Counter(terms(text)).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
-    def best(self, text: str) -> tuple[str | None, float]:
+    def best(self, text: str, least: float) -> tuple[str | None, float]:
+        """The most similar specific licence if it reaches ``least``, otherwise the most similar of all."""
         v, norm = self._vector(text)
-        found: tuple[str | None, float] = (None, 0.0)
-        for name, t, t_norm in self.templates:
+        found: list[tuple[str | None, float]] = [(None, 0.0), (None, 0.0)]
+        for name, t, t_norm, _ in self.templates:
             small, large = (v, t) if len(v) < len(t) else (t, v)
             dot = sum(x * large.get(w, 0.0) for w, x in small.items())
-            if dot and (cosine := dot / (norm * t_norm)) > found[1] + 1e-12:
-                found = (name, min(1.0, cosine))
-        return found
+            at = name == GENERAL
+            if dot and (cosine := dot / (norm * t_norm)) > found[at][1] + 1e-12:
+                found[at] = (name, min(1.0, cosine))
+        return found[0] if found[0][1] >= least else max(found, key=lambda x: x[1])
+
+    def best_span(self, text: str) -> tuple[str | None, float]:
+        """The same over all spans of consecutive terms that are as long as a template."""
+        words = terms(text)
+        w = np.array([self.idf.get(x, self.rare) for x in words])
+        squares = np.concatenate([[0.0], np.cumsum(w * w)])
+        norms: dict[int, np.ndarray] = {}
+        found: list[tuple[str | None, float]] = [(None, 0.0), (None, 0.0)]
+        for name, t, t_norm, n in self.templates:
+            if n >= len(words):  # the whole text is compared by ``best``
+                continue
+            dots = np.concatenate([[0.0], np.cumsum(w * np.array([t.get(x, 0.0) for x in words]))])
+            dots = dots[n:] - dots[:-n]
+            if (dots / np.sqrt(squares[n:] - squares[:-n])).max() < LEAST_SPAN * t_norm:  # repeated terms only lengthen a vector
+                continue
+            if n not in norms:
+                norms[n] = self._span_norms(words, w, n)
+            cosine = float((dots / norms[n]).max() / t_norm)
+            at = name == GENERAL
+            if cosine > found[at][1] + 1e-12:
+                found[at] = (name, min(1.0, cosine))
+        return found[0] if found[0][1] >= LEAST_SPAN else max(found, key=lambda x: x[1])
+
+    @staticmethod
+    def _span_norms(words: list[str], w: np.ndarray, n: int) -> np.ndarray:
+        counts: Counter = Counter()
+        total, out = 0.0, []
+        for i, (x, y) in enumerate(zip(words, (w * w).tolist())):
+            total += y * (2 * counts[x] + 1)
+            counts[x] += 1
+            if i >= n:
+                old = words[i - n]
+                total -= float(w[i - n]) ** 2 * (2 * counts[old] - 1)
+                counts[old] -= 1
+            if i >= n - 1:
+                out.append(total)
+        return np.sqrt(np.array(out))
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, text_col: str = "text", name: str | None = None) -> DataFrame:
@@ -101,14 +146,15 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, te
         def work(texts: list[str | None]) -> list[list]:
             own, cosine, whole, whole_cosine = [], [], [], []
             for text in texts:
-                line, file = (None, 0.0), (None, 0.0)
+                line, file, span = (None, 0.0), (None, 0.0), (None, 0.0)
+                lines = []
                 if text and CUE.search(text):
-                    for part in text.split("\n"):
-                        if CUE.search(part):
-                            line = max(line, matcher.best(part), key=lambda x: x[1])
-                    file = matcher.best(text)
-                line = max(line, file, key=lambda x: x[1])
-                own.append(line[0] if line[1] >= LEAST_LINE else None)
+                    lines = [matcher.best(part, LEAST_LINE) for part in text.split("\n") if CUE.search(part)]
+                    file = matcher.best(text, LEAST_FILE)
+                    span = matcher.best_span(text)
+                passed = [x for x in (*lines, file) if x[1] >= LEAST_LINE] + [span] * (span[1] >= LEAST_SPAN)
+                line = max(passed or [*lines, file], key=lambda x: (bool(passed) and x[0] != GENERAL, x[1]))
+                own.append(line[0] if passed else None)
                 cosine.append(round(line[1], 6))
                 whole.append(file[0] if file[1] >= LEAST_FILE else None)
                 whole_cosine.append(round(file[1], 6))

@@ -447,3 +447,17 @@ def test_license_inheritance(spark):
         5: ("Apache-2.0", "own", None), 6: (None, "none", None), 7: (None, "none", None), 8: ("MIT", "inherited", "r"),
     }
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_full_licence_texts_headers_and_notices_in_long_lines(spark):
+    from draftmetrics.llm.license_texts import FULL_TEXTS
+
+    prose = "it was a long day and nobody in the house knew what to say about the weather " * 3
+    files = [(i, f"{name}/LICENSE", text) for i, (name, text) in enumerate(sorted(FULL_TEXTS.items()))]
+    files += [(10 + i, f"{name}/a/b.txt", "plain words") for i, (name, _) in enumerate(sorted(FULL_TEXTS.items()))]
+    files += [(20, "x/y.txt", "Licensed under CC BY-NC 4.0. and the rest of it is prose about other things"), (21, "x/z.txt", f"{prose} Released under the MIT License. {prose}")]
+    files += [(22, "x/h.py", f"{prose}\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in\n# compliance with the License.\n{prose}"), (23, "x/r.txt", "All rights reserved."), (24, "y/p.txt", prose)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    for i, name in enumerate(sorted(FULL_TEXTS)):
+        assert (got[i].license, got[i].origin) == (name, "own") and (got[10 + i].license, got[10 + i].origin) == (name, "inherited")
+    assert [got[i].license for i in range(20, 25)] == ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "Proprietary", None]
