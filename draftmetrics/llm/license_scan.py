@@ -64,7 +64,7 @@ def document_frequencies(files: DataFrame, words: list[str], text_col: str = "te
             for text in batch.column(0).to_pylist():
                 n += 1
                 if text:
-                    seen.update(wanted.intersection(TERM.findall(text.lower())) if CUE.search(text) else wanted.intersection(text.lower().replace(",", " ").replace(".", " ").split()))
+                    seen.update(wanted.intersection(terms(text)))
         seen[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 

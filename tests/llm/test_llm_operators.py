@@ -461,3 +461,8 @@ def test_full_licence_texts_headers_and_notices_in_long_lines(spark):
     for i, name in enumerate(sorted(FULL_TEXTS)):
         assert (got[i].license, got[i].origin) == (name, "own") and (got[10 + i].license, got[10 + i].origin) == (name, "inherited")
     assert [got[i].license for i in range(20, 25)] == ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "Proprietary", None]
+
+
+def test_document_frequencies_count_terms_beside_any_mark(spark):
+    files = spark.createDataFrame([("(the) mit; 4.0",), ("the: x",), ("licence 'the'",), (None,)], "text string")
+    assert license_scan.document_frequencies(files, ["the", "mit", "4.0"]) == {"": 4, "the": 3, "mit": 1, "4.0": 1}
