@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,10 +28,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 _shipped: set[str] = set()
+#: Bytes of a batch of rows that goes to a Python worker (one row may exceed it).
+BATCH_BYTES = 4 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application; bound their batches where the session doesn't."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -43,11 +49,21 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of the cluster (``spark.checkpoint.dir``)."""
-    import uuid
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
+    Where none is set a session in one process gets a folder of its own; a cluster must name one.
+    """
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="draftmetrics-"))
-    return f"{sc.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="draftmetrics-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
