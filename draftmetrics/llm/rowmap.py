@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftmetrics.llm.shared import slices
+from draftmetrics.llm.shared import text_slices, tidied
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -20,11 +20,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def with_text_struct(docs: DataFrame, text_col: str, name: str, ddl: str, make: Callable[[], Callable[[list[str | None]], list[list]]], slice_chars: int = 1 << 20) -> DataFrame:
+def with_text_struct(docs: DataFrame, text_col: str, name: str, ddl: str, make: Callable[[], Callable[[list[str | None]], list[list]]], slice_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` with a struct column ``name``, made from whole texts.
 
     ``make()`` is called once for each task and gives a function from texts to one list of
-    values for each field of ``ddl``.  Texts reach it in slices of bounded size.
+    values for each field of ``ddl``.  Texts reach it in slices of ``slice_bytes`` (a longer
+    text is a slice of its own).
     """
     struct = T.StructType.fromDDL(ddl)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, struct)])
@@ -37,9 +38,8 @@ def with_text_struct(docs: DataFrame, text_col: str, name: str, ddl: str, make:
         work = None
         for batch in batches:
             work = work or make()
-            texts = batch.column(at).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], slice_chars):
-                values = [pa.array(v, k) for v, k in zip(work(texts[a:b]), kinds)]
+            for a, b, texts in text_slices(batch.column(at), slice_bytes):
+                values = [pa.array(v, k) for v, k in zip(work(texts), kinds)]
                 made = pa.StructArray.from_arrays(values, names=[f.name for f in struct.fields])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
@@ -47,4 +47,4 @@ def with_text_struct(docs: DataFrame, text_col: str, name: str, ddl: str, make:
     if dict(docs.dtypes)[text_col] != "string":
         docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
         schema = T.StructType([*docs.schema.fields, T.StructField(name, struct)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

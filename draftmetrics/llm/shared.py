@@ -8,22 +8,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
-
+from draftmetrics.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is configured (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="draftmetrics-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
+_written: list[str] = []
 
 
 def write_table(df: DataFrame, name: str, compression: str = "zstd") -> str:
@@ -49,6 +45,25 @@ def drop_table(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+class Scratch:
+    """The tables of one operator's run, each of which can go as soon as no later plan reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
+        """Write ``df`` into the shared folder and read it back: cuts the lineage."""
+        self.paths[name] = write_table(df, name, compression)
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables (all that are left, if none is named) and what shuffles of finished plans hold."""
+        for name in names or list(self.paths):
+            drop_table(self.spark, self.paths.pop(name))
+        gc.collect()  # plans that Python no longer refers to ...
+        self.spark.sparkContext._jvm.System.gc()  # ... let Spark's cleaner delete their shuffle files
+
+
 @atexit.register
 def _drop_all() -> None:
     spark = SparkSession.getActiveSession()
@@ -58,6 +73,29 @@ def _drop_all() -> None:
                 drop_table(spark, path)
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; at its end the worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+
+    def then(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another system's C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return then
+
+
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list]]:
+    """(start, end, values) of runs of a string or binary column of at most ``limit`` bytes (one value may exceed it).
+
+    Only one run's values are Python objects at a time.
+    """
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
 def slices(sizes: list[int], limit: int):
     """Consecutive index ranges whose sizes sum to at most ``limit`` (one item may exceed it)."""
     start = total = 0

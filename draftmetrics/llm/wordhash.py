@@ -1,7 +1,14 @@
-"""64-bit hashes of words for many texts at once, in blocks of bounded memory."""
+"""64-bit hashes of words for many texts at once, in blocks of bounded memory.
+
+Words of up to ``LONG`` bytes are polynomials modulo 2^64 with a random value for each
+byte.  Such polynomials have known collisions between long words, so a longer word's
+hash is a keyed digest.  Two given words share a hash with a chance of about 2^-63.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _rng = np.random.default_rng(0x5EED)
@@ -10,6 +17,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once (more only where one word is longer).
 BLOCK_BYTES = 1 << 20
+#: Bytes of the longest word that is hashed as a polynomial.
+LONG = 64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -54,7 +63,10 @@ def hash_words(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.nd
         if len(a):
             up, down = _power(len(buf))
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up, dtype=np.uint64)])
-            hashes.append(mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            found = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            for k in np.flatnonzero(b - a > LONG).tolist():
+                found[k] = int.from_bytes(hashlib.blake2b(buf[a[k] : b[k]].tobytes(), digest_size=8, key=b"long words").digest(), "little")
+            hashes.append(found)
             starts.append(a + at)
         at = end
     if not hashes:
