@@ -19,8 +19,15 @@ different components are compared with one another in blocks, and each compariso
 on a spanning forest of the links that it finds.  So no link between components is lost,
 and no row stands for a pair that isn't linked.
 
-Nulls: a null text or one without words has no set and no links; a null doc_id stays
-null and never names a component.  Repeated rows share their class.
+Before any text moves, pairs and blocks are compared by *sketches*: bit maps in which
+every shingle of a set flips one bit.  Two sketches differ in no more bits than the sets
+in shingles, so what they reject cannot be linked; whole texts decide on the rest.
+
+Words and shingles are compared as 64-bit hashes (``wordhash``).  Nulls: a null text or
+one without words has no set and no links; a null doc_id stays null and never names a
+component.  Repeated rows share their class.  Very long texts are hashed in blocks of
+bounded memory; a set's hashes are held as a whole.  An empty table gives an empty table.
+Other columns of ``keep_one`` stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +40,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftmetrics.llm.components import components
 from draftmetrics.llm.rowmap import free_name
-from draftmetrics.llm.shared import slices, table
+from draftmetrics.llm.shared import Scratch, slices, table, text_slices, tidied
 from draftmetrics.llm.wordhash import hash_words, mix, separators
 
 #: Words are runs of bytes other than blank and \x09-\x0D.
@@ -50,10 +57,10 @@ WEAK_COST = 30.0
 #: Partners of one pivot that are verified in one run of rows; the pivot is repeated for each run.
 PIVOT_CHUNK = 256
 #: Members of a block on average, and shingles in it; columns of an incidence matrix that is held at once.
-BLOCK, BLOCK_VOLUME, COLUMNS = 1024, 1 << 20, 4096
-
-
-#: Classes (two 64-bit values each) that may be broadcast to pick their texts; beyond it that join is shuffled.
+BLOCK, BLOCK_VOLUME, COLUMNS = 512, 1 << 19, 2048
+#: Bits of a sketch for each shingle, at least (then the next power of two).
+SKETCH_BITS = 1.5
+#: Classes (four 64-bit values each) that may be broadcast to pick their texts; beyond it that join is shuffled.
 BROADCAST_CLASSES = 400_000
 
 
@@ -157,34 +164,57 @@ def signatures(shingles: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A set's bit map, 64 bits to a value: each shingle flips one bit of a power of two."""
+    bits = 64
+    while bits < SKETCH_BITS * len(shingles):
+        bits *= 2
+    at = mix(shingles ^ np.uint64(0xE7037ED1A0B428DB)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def sketches_differ(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ; a larger one is folded to the other's size first."""
+    n = F.least(F.size(x), F.size(y))
+    fold = lambda c: F.when(F.size(c) > n, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(c)
+    return F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What names a row's content: id, text hash and bytes of the text."""
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.octet_length(text), F.lit(-1)).cast("long").alias("n_bytes")]
+
+
+KEY = ("doc_id", "text_hash", "n_bytes")
+
+
 def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, c1, c2, sigs, rid): c1 and c2 name the set; sigs is null where this task has given that set's already."""
+    """(doc_id, text_hash, n_bytes, n_shingles, c1, c2, sigs, sketch, rid): c1 and c2 name the set; sigs and sketch are null where this task has given that set's already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         rid = TaskContext.get().partitionId() << 36  # stays with the row, as the result is written
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 1 << 20):
-                n, c1, c2, sigs = [], [], [], []
+            for a, b, texts in text_slices(batch.column(3), 1 << 19):
+                n, c1, c2, sigs, maps = [], [], [], [], []
                 rids = pa.array(range(rid, rid + b - a), pa.int64())
                 rid += b - a
-                for s in shingle_sets(texts[a:b], words):
+                for s in shingle_sets(texts, words):
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         key = (int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64)))
                     c1.append(key[0])
                     c2.append(key[1])
-                    sigs.append(None if key in seen or not len(s) else signatures(s, percent).view(np.int64))
+                    old = key in seen or not len(s)
+                    sigs.append(None if old else signatures(s, percent).view(np.int64))
+                    maps.append(None if old else sketch(s))
                     seen.add(key)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(np.array(c1, np.uint64).view(np.int64)), pa.array(np.array(c2, np.uint64).view(np.int64)), pa.array(sigs, pa.list_(pa.int64())), rids],
-                    names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sigs", "rid"],
-                )
+                made = [pa.array(n, pa.int64()), pa.array(np.array(c1, np.uint64).view(np.int64)), pa.array(np.array(c2, np.uint64).view(np.int64)), pa.array(sigs, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), rids]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), *made], names=[*KEY, "n_shingles", "c1", "c2", "sigs", "sketch", "rid"])
 
-    text = F.col(text_col).cast("string")
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return picked.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, sigs array<long>, rid long")
+    picked = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(tidied(run), "doc_id long, text_hash long, n_bytes long, n_shingles long, c1 long, c2 long, sigs array<long>, sketch array<long>, rid long")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -192,9 +222,10 @@ def packed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 3) for t in batch.column(1).to_pylist()], pa.binary())], names=["cls", "text"])
+            for a, b, some in text_slices(batch.column(1), 1 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([zlib.compress(t.encode(), 3) for t in some], pa.binary())], names=["cls", "text"])
 
-    return texts.mapInArrow(run, "cls long, text binary")
+    return texts.mapInArrow(tidied(run), "cls long, text binary")
 
 
 def packed_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -225,7 +256,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "shared", "either"])
 
     together = partner.unionByName(pivot).repartition("a", "run").sortWithinPartitions("a", "run", "kind")
-    return together.mapInArrow(run, "a long, b long, shared long, either long")
+    return together.mapInArrow(tidied(run), "a long, b long, shared long, either long")
 
 
 def links_across(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -253,130 +284,199 @@ def links_across(left: list[np.ndarray], right: list[np.ndarray], percent: int)
     return 100 * both >= percent * (n_left[:, None] + n_right[None, :] - both)
 
 
-def verify_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): labels of components that links join, from members (pivot_cls, size, cls, n, label) of open pivots.
+def close_by_sketch(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> np.ndarray:
+    """Which sets (size, sketch) of one block may link to which of the other: no linked pair is left out."""
+    n_left, n_right = (np.array([n for n, _ in side], np.int64) for side in (left, right))
+    out = np.zeros((len(left), len(right)), bool)
+    width = [np.array([len(k) for _, k in side], np.int64) for side in (left, right)]
+
+    def rows(side: list[tuple[int, np.ndarray]], at: np.ndarray, w: int) -> np.ndarray:
+        m = np.stack([side[i][1] for i in at.tolist()]).view(np.uint64)
+        return m if m.shape[1] == w else m[:, :w] ^ m[:, w:]
+
+    def signs(m: np.ndarray) -> np.ndarray:
+        return 1 - 2 * np.unpackbits(m.view(np.uint8), axis=1).astype(np.float32)
+
+    for wl in np.unique(width[0]).tolist():
+        for wr in {wl // 2, wl, wl * 2} & set(width[1].tolist()):
+            i, j, w = np.flatnonzero(width[0] == wl), np.flatnonzero(width[1] == wr), min(wl, wr)
+            x, y = rows(left, i, w), rows(right, j, w)
+            equal = np.zeros((len(i), len(j)), np.float32)
+            for k in range(0, w, COLUMNS // 64):
+                equal += signs(np.ascontiguousarray(x[:, k : k + COLUMNS // 64])) @ signs(np.ascontiguousarray(y[:, k : k + COLUMNS // 64])).T
+            a, b = n_left[i][:, None], n_right[j][None, :]
+            apart = (64 * w - equal) / 2
+            out[np.ix_(i, j)] = (apart <= (100 - percent) * (a + b) // (100 + percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    return out
+
+
+def in_blocks(together: DataFrame, compare, ddl: str) -> DataFrame:
+    """``compare(sides)`` for each pair of blocks (b1, b2): rows without b1, b2 and side, as two lists; it yields rows of ``ddl``."""
+    schema = [x.split() for x in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        now = None
+
+        def done() -> pa.RecordBatch:
+            rows = list(compare(now, held[0], held[1] or held[0]))
+            cols = list(zip(*rows)) if rows else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[n for n, _ in schema])
+
+        for batch in batches:
+            for b1, b2, side, *rest in zip(*(col.to_pylist() for col in batch.columns)):
+                if now is not None and now != (b1, b2):
+                    yield done()
+                    held = ([], [])
+                now = (b1, b2)
+                held[side].append(rest)
+        if now is not None:
+            yield done()
+
+    return together.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side").mapInArrow(tidied(run), ddl)
+
+
+def open_members(members: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(b1, b2, side, cls, label): members of open pivots that may link to one of another component, by pairs of blocks.
 
-    Every member has a home, its largest pivot, and lies in one block of that home; blocks
-    that meet at some pivot are compared as a whole.  A near-copy group of g members so
-    gives about (g / BLOCK)^2 comparisons of blocks and no rows for pairs; each comparison
-    passes on a spanning forest of the links that it finds between components.
+    ``members`` is (pivot_cls, size, cls, n, label).  Every member has a home, its largest
+    pivot, and lies in one block of that home; blocks that meet at some pivot are compared
+    as a whole.  A near-copy group of g members so gives about (g / BLOCK)^2 comparisons of
+    blocks of sketches and no rows for pairs.
     """
     homes = members.groupBy("cls").agg(F.max(F.struct("size", "pivot_cls")).alias("h"), F.first("label").alias("label"), F.first("n").alias("n")).select("cls", "label", "n", F.col("h.pivot_cls").alias("home"))
-    homes = table(homes, "jaccard-homes", "lz4")
+    homes = scratch.table(homes, "jaccard-homes")
     # a home that few chose is what a larger one has left of its pivot: it joins that one
     taken = homes.groupBy("home").agg(F.count("*").alias("chosen"))
     larger = members.select("pivot_cls", "cls").join(homes.join(taken, "home").select("cls", "home", "chosen"), "cls").groupBy(F.col("pivot_cls").alias("home")).agg(F.max(F.struct("chosen", "home")).alias("l"))
     moved = homes.join(taken, "home").join(larger, "home").withColumn("home", F.when(F.col("chosen") < BLOCK / 2, F.col("l.home")).otherwise(F.col("home"))).select("cls", "label", "n", "home")
     parts = moved.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VOLUME)).alias("parts"))
-    blocked = table(moved.join(parts, "home").select("cls", "label", F.xxhash64("home", F.pmod(F.hash("cls"), "parts")).alias("block")), "jaccard-blocks", "lz4")
-    where = table(members.select("pivot_cls", "cls").join(blocked, "cls").groupBy("pivot_cls", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "jaccard-where", "lz4")
+    blocked = scratch.table(moved.join(parts, "home").select("cls", "label", "n", F.xxhash64("home", F.pmod(F.hash("cls"), "parts")).alias("block")), "jaccard-blocks")
+    where = scratch.table(members.select("pivot_cls", "cls").join(blocked, "cls").groupBy("pivot_cls", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "jaccard-where")
     x, y = where.alias("x"), where.alias("y")
     meet = x.join(y, F.expr("x.pivot_cls = y.pivot_cls AND x.block <= y.block AND NOT (x.lo = y.hi AND x.hi = y.lo AND x.lo = x.hi)")).select(F.col("x.block").alias("b1"), F.col("y.block").alias("b2")).distinct()
-    known = blocked.join(texts, "cls")
     sides = meet.select(F.col("b1").alias("block"), "b1", "b2", F.lit(0).alias("side")).union(meet.filter("b1 <> b2").select(F.col("b2").alias("block"), "b1", "b2", F.lit(1).alias("side")))
-    together = known.join(sides, "block").select("b1", "b2", "side", "cls", "label", "text")
+    together = blocked.join(sketches, "cls").join(sides, "block").select("b1", "b2", "side", "cls", "label", "n", "sketch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        now = None
+    def compare(blocks: tuple[int, int], left: list, right: list) -> Iterator[tuple]:
+        close = close_by_sketch(*([(n, np.array(k, np.int64)) for _, _, n, k in side] for side in (left, right)), percent)
+        close &= np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])[None, :]
+        for side, rows, any_ in ((0, left, close.any(1)), (1, right, close.any(0))):
+            for k in np.flatnonzero(any_).tolist():
+                if side == 0 or right is not left:
+                    yield (*blocks, side, rows[k][0], rows[k][1])
 
-        def compare() -> pa.RecordBatch:
-            sides = [[(c, g) for c, g, _ in side] for side in held]  # class, label
-            sets = [packed_sets([t for _, _, t in side], words) for side in held]
-            if not held[1]:
-                sides[1], sets[1] = sides[0], sets[0]
-            out: list[tuple[int, int]] = []
-            if sets[0] and sets[1]:
-                linked = links_across(sets[0], sets[1], percent)
-                a, b = np.array([g for _, g in sides[0]]), np.array([g for _, g in sides[1]])
-                linked &= a[:, None] != b[None, :]
-                parent: dict[int, int] = {}
-
-                def find(v: int) -> int:
-                    while parent.setdefault(v, v) != v:
-                        parent[v] = parent[parent[v]]
-                        v = parent[v]
-                    return v
-
-                for i, j in zip(*(k.tolist() for k in np.nonzero(linked))):
-                    u, v = find(sides[0][i][1]), find(sides[1][j][1])
-                    if u != v:
-                        parent[u] = v
-                        out.append((sides[0][i][1], sides[1][j][1]))
-            cols = list(zip(*out)) if out else [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+    return in_blocks(together, compare, "b1 long, b2 long, side long, cls long, label long")
 
-        for batch in batches:
-            for b1, b2, side, c, g, t in zip(*(col.to_pylist() for col in batch.columns)):
-                if now is not None and now != (b1, b2):
-                    yield compare()
-                    held = ([], [])
-                now = (b1, b2)
-                held[side].append((c, g, t))
-        if now is not None:
-            yield compare()
 
-    return together.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side").mapInArrow(run, "u long, v long")
+def verify_blocks(close: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): labels of components that links join; each pair of blocks passes on a spanning forest of the links that it finds."""
+    together = close.join(texts, "cls").select("b1", "b2", "side", "cls", "label", "text")
+
+    def compare(blocks: tuple[int, int], left: list, right: list) -> Iterator[tuple]:
+        sets = [packed_sets([t for _, _, t in side], words) for side in ([left] if right is left else [left, right])]
+        if not left or not right:
+            return
+        linked = links_across(sets[0], sets[-1], percent)
+        linked &= np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])[None, :]
+        parent: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        for i, j in zip(*(k.tolist() for k in np.nonzero(linked))):
+            u, v = find(left[i][1]), find(right[j][1])
+            if u != v:
+                parent[u] = v
+                yield left[i][1], right[j][1]
+
+    return in_blocks(together, compare, "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, cls, component): one row for each row of ``docs``.
+    """(doc_id, text_hash, n_bytes, n_shingles, cls, component): one row for each row of ``docs``, as a table.
 
     ``cls`` is the same for equal sets, ``component`` for classes that links join; both are
     null for rows without a set.
     """
-    signed = table(sign(docs, words, percent, id_col, text_col), "jaccard-signed", "lz4")
+    scratch = Scratch(docs.sparkSession)
+    out = scratch.table(_classes(docs, words, percent, id_col, text_col, scratch), "jaccard-result")
+    scratch.drop(*(name for name in list(scratch.paths) if name != "jaccard-result"))
+    return out
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cls, text) of the classes in ``wanted`` (cls and key): whole texts, compressed."""
+    n = wanted.count()
+    side = F.broadcast(wanted) if n <= BROADCAST_CLASSES else wanted  # then the texts of all others need not move
+    source = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).alias("d")
+    same = F.expr(" AND ".join(f"d.{c} <=> w.{c}" for c in KEY))
+    return packed(source.join(side.alias("w"), same).select("cls", "d.text"))
+
+
+def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    signed = scratch.table(sign(docs, words, percent, id_col, text_col), "jaccard-signed")
     sets = signed.filter("n_shingles > 0")
     # classes: their smallest row that has signatures names them
     named = sets.groupBy("c1", "c2").agg(F.min(F.when(F.col("sigs").isNotNull(), F.col("rid"))).alias("cls"), F.min("n_shingles").alias("n"))
-    classes = table(named, "jaccard-classes", "lz4")
-    # the one shuffle of signatures: minima and the way back to the rows both read it (equal filters, so that it is reused)
-    rows = sets.filter("sigs IS NOT NULL AND rid IS NOT NULL").select("rid", F.explode("sigs").alias("sig")).repartition("sig")
-    pivots = rows.groupBy("sig").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last")).filter("pivot < last").select("sig", "pivot")
-    met = table(rows.join(pivots, "sig").filter("rid <> pivot").select("pivot", "rid").distinct(), "jaccard-met", "lz4")
-    # rows that were met, by class
+    classes = scratch.table(named, "jaccard-classes")
+    # minima are taken beside the data first, so that a frequent signature is no hot spot; the join with them can be split
+    rows = sets.filter("sigs IS NOT NULL").select("rid", F.explode("sigs").alias("sig"))
+    pivots = scratch.table(rows.groupBy("sig").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last")).filter("pivot < last").select("sig", "pivot"), "jaccard-pivots")
+    met = scratch.table(rows.join(pivots, "sig").filter("rid <> pivot").select("pivot", "rid").distinct(), "jaccard-met")
+    slim = scratch.table(signed.drop("sigs", "sketch"), "jaccard-rows")
+    # rows that were met, by class; sketches of classes that were met
     used = met.select("rid").union(met.select("pivot")).distinct()
-    of = table(sets.select("rid", "c1", "c2").join(used, "rid").join(classes, ["c1", "c2"]).select("rid", "cls", "n"), "jaccard-of", "lz4")
+    of = scratch.table(slim.filter("n_shingles > 0").select("rid", "c1", "c2").join(used, "rid").join(classes, ["c1", "c2"]).select("rid", "cls", "n"), "jaccard-of")
+    sketches = scratch.table(sets.select(F.col("rid").alias("cls"), "sketch").join(of.select("cls").distinct(), "cls"), "jaccard-sketches")
+    del signed, sets, rows, pivots
+    scratch.drop("jaccard-signed", "jaccard-pivots")
     as_a = of.select(F.col("rid").alias("pivot"), F.col("cls").alias("pivot_cls"), F.col("n").alias("pivot_n"))
-    star = table(met.join(as_a, "pivot").join(of, "rid").filter("pivot_cls <> cls").select("pivot_cls", "pivot_n", "cls", "n").distinct(), "jaccard-star", "lz4")
-    near = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-    pairs = star.filter(near("pivot_n", "n")).select(F.least("pivot_cls", "cls").alias("a"), F.greatest("pivot_cls", "cls").alias("b")).distinct()
-    pairs = table(pairs, "jaccard-pairs", "lz4")
-    wanted = of.select("cls").distinct().join(signed.select(F.col("rid").alias("cls"), "doc_id", "text_hash"), "cls")
-    wanted = table(wanted, "jaccard-wanted", "lz4")
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash").alias("k")
-    keyed = wanted.select("cls", key)
-    if keyed.count() <= BROADCAST_CLASSES:  # then the texts of all others need not move
-        keyed = F.broadcast(keyed)
-    texts = table(packed(source.select("text", key).join(keyed, "k").select("cls", "text")), "jaccard-texts", "none")
-    if texts.count() > wanted.count():  # repeated rows: the texts are equal
-        texts = texts.dropDuplicates(["cls"])
-    checked = table(verify(pairs, texts, words), "jaccard-checked", "lz4")
-    link = f"100 * shared >= {percent} * either"
-    labels = components(checked.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    star = scratch.table(met.join(as_a, "pivot").join(of, "rid").filter("pivot_cls <> cls").select("pivot_cls", "pivot_n", "cls", "n").distinct(), "jaccard-star")
+    near = f"100 * least(pivot_n, n) >= {percent} * greatest(pivot_n, n)"
+    pairs = star.filter(near).select(F.least("pivot_cls", "cls").alias("a"), F.greatest("pivot_cls", "cls").alias("b"), (F.col("pivot_n") + F.col("n")).alias("both")).distinct()
+    seen = pairs.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
+    apart = F.expr(f"{100 - percent} * both DIV {100 + percent}")
+    pairs = scratch.table(seen.filter(sketches_differ(F.col("x"), F.col("y")) <= apart).select("a", "b"), "jaccard-pairs")
+    del met, of, as_a
+    scratch.drop("jaccard-met", "jaccard-of")
+
+    def texts_of(some: DataFrame, name: str) -> DataFrame:
+        wanted = scratch.table(some.distinct().join(slim.select(F.col("rid").alias("cls"), *KEY), "cls"), f"{name}-wanted")
+        texts = scratch.table(_texts(docs, wanted, id_col, text_col), f"{name}-texts", "none")
+        return texts.dropDuplicates(["cls"]) if texts.count() > wanted.count() else texts  # repeated rows: the texts are equal
+
+    texts = texts_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), "jaccard")
+    checked = scratch.table(verify(pairs, texts, words), "jaccard-checked")
+    labels = components(checked.filter(f"100 * shared >= {percent} * either").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    del pairs, texts, checked
+    scratch.drop("jaccard-pairs", "jaccard-texts", "jaccard-wanted", "jaccard-checked")
     # members of one pivot's buckets have not met one another: where they are in different components, blocks of them do
     labelled = star.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = table(labelled.select("pivot_cls", "cls", "n", "label"), "jaccard-labelled", "lz4")
+    labelled = scratch.table(labelled.select("pivot_cls", "cls", "n", "label"), "jaccard-labelled")
     open_ = labelled.groupBy("pivot_cls").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    members = table(labelled.join(open_.drop("lo", "hi"), "pivot_cls"), "jaccard-open", "lz4")
+    members = scratch.table(labelled.join(open_.drop("lo", "hi"), "pivot_cls"), "jaccard-open")
     if not members.isEmpty():
-        more = table(verify_blocks(members, texts, words, percent), "jaccard-more", "lz4")
-        merged = components(more)  # of labels: far fewer than classes
-        labels = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-        alone = merged.join(labels.select("node"), "node", "left_anti")  # classes that no star had linked are labels of their own
-        labels = table(labels.unionByName(alone), "jaccard-labels", "lz4")
-    out = signed.select("doc_id", "text_hash", "n_shingles", "c1", "c2").join(classes.select("c1", "c2", "cls"), ["c1", "c2"], "left")
+        close = scratch.table(open_members(members, sketches, percent, scratch), "jaccard-close")
+        if not close.isEmpty():
+            more = scratch.table(verify_blocks(close, texts_of(close.select("cls"), "jaccard-more"), words, percent), "jaccard-more")
+            merged = components(more, scratch)  # of labels: far fewer than classes
+            labels = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+            alone = merged.join(labels.select("node"), "node", "left_anti")  # classes that no star had linked are labels of their own
+            labels = scratch.table(labels.unionByName(alone), "jaccard-labels")
+    out = slim.select(*KEY, "n_shingles", "c1", "c2").join(classes.select("c1", "c2", "cls"), ["c1", "c2"], "left")
     out = out.withColumn("cls", F.when(F.col("n_shingles") > 0, F.col("cls")))
-    return out.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n_shingles", "cls", F.coalesce("label", "cls").alias("component"))
+    return out.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(*KEY, "n_shingles", "cls", F.coalesce("label", "cls").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
     rows = jaccard_classes(docs, words, percent, id_col, text_col)
-    rows = table(rows, "jaccard-result", "lz4")
-    least = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # written, so that the join is one of two shuffles and a component with very many rows can be split
+    least = table(rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "jaccard-least", "lz4")
     return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "text_hash")
 
 
@@ -385,24 +485,27 @@ def keep_one(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "
 
     Rows without a set all stay.  Of repeated rows (equal id and text) that stay, one does.
     """
-    rows = table(jaccard_classes(docs, words, percent, id_col, text_col).filter("component IS NOT NULL"), "jaccard-result", "lz4")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    chosen = rows.groupBy("component").agg(best.alias("x"))
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash")
-    each = rows.groupBy("component", "doc_id", "text_hash").count().join(chosen, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("text_hash") == F.col("x.text_hash")))
-    each = table(each.filter("NOT stays OR count > 1").select(key.alias("h"), "stays"), "jaccard-gone", "lz4")
-    at = free_name(docs, "row_key")
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumn(at, F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.xxhash64(text)))
+    scratch = Scratch(docs.sparkSession)
+    rows = jaccard_classes(docs, words, percent, id_col, text_col).filter("component IS NOT NULL")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *KEY))
+    # written, so that the join is one of two shuffles and a component with very many rows can be split
+    chosen = scratch.table(rows.groupBy("component").agg(best.alias("x")), "jaccard-chosen")
+    each = scratch.table(rows.groupBy("component", *KEY).count(), "jaccard-each").join(chosen, "component")
+    stays = F.expr(" AND ".join(f"{c} <=> x.{c}" for c in KEY))
+    each = scratch.table(each.withColumn("stays", stays).filter("NOT stays OR count > 1").select(*KEY, "stays"), "jaccard-gone")
+    scratch.drop("jaccard-chosen", "jaccard-each")
+    names = [free_name(docs, f"row_{c}") for c in KEY]
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(id_col, text_col), names)]).alias("d")
+    same = F.expr(" AND ".join(f"d.`{n}` <=> g.{c}" for n, c in zip(names, KEY)))
 
     def keys(stays: str) -> tuple[DataFrame, int]:
-        some = each.filter(stays).select(F.col("h").alias(at))
+        some = each.filter(stays).select(*KEY)
         n = some.count()
-        return (F.broadcast(some) if n <= BROADCAST_CLASSES else some), n
+        return (F.broadcast(some) if n <= BROADCAST_CLASSES else some).alias("g"), n
 
     gone, n_gone = keys("NOT stays")
     repeated, n_repeated = keys("stays")
-    out = keyed.join(gone, at, "left_anti") if n_gone else keyed
+    out = keyed.join(gone, same, "left_anti") if n_gone else keyed
     if n_repeated:
-        out = out.join(repeated, at, "left_anti").unionByName(out.join(repeated, at, "left_semi").dropDuplicates([at]))
+        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(names))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,12 +22,22 @@ from draftmetrics.session import shared_dir
 _written: list[str] = []
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder; what is written there goes when Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def written() -> set[str]:
+    """Names in the shared folder that have been given out and not been dropped."""
+    return set(_written)
+
+
 def write_table(df: DataFrame, name: str, compression: str = "zstd") -> str:
     """Write ``df`` into the shared folder and return its path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    _written.append(path)
     return path
 
 
