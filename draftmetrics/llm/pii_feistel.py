@@ -5,19 +5,25 @@ account numbers, ranges for addresses, the calendar for dates, reserved blocks f
 social security numbers); what does not validate stays as it is, but shorter stretches of
 it (that end with a group of characters) and later ones are tried.  A valid value is a
 number below the size of its format; a keyed Feistel network with cycle walking permutes
-that range, and the image is written in the value's own layout (separators, case, date
-order).  The key and the kind alone decide, so equal values stay linked across documents
-and with the key every value can be restored (``restore``).
-
-Nulls: a null text stays null, without findings.  Repeated rows are treated alike.
+that range without fixed points, and the image is written in the value's own layout
+(separators, case, date order).  Letters of any script are replaced by letters of their own
+kind and neighbourhood.  The key and the kind alone decide, so equal values stay linked
+across documents and with the key every value can be restored (``restore``).
+
+Nulls: a null text stays null, without findings.  Repeated rows are treated alike.  Empty
+texts and tables stay as they are; very long texts are searched as a whole, one at a time.
+Where patterns overlap the first in the order below wins.  Other columns stay, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from datetime import date
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 from math import isqrt
 
 from pyspark.sql import DataFrame
@@ -29,6 +35,8 @@ ROUNDS = 8
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 _OF = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 _HEX = ("0123456789abcdef", "0123456789ABCDEF")
+#: Characters of an IPv6 address; a digit stays a digit.
+_IPV6 = {c: (a, i) for a in ("0123456789", "abcdef", "ABCDEF") for i, c in enumerate(a)}
 #: Dates are permuted among these days.
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
@@ -41,7 +49,8 @@ PATTERN = re.compile(
     "|".join(
         (
             r"(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))\s*[=:]\s*[\"'](?P<secret_value>[^\"'\s]{8,})[\"'])",
-            r"(?P<email>(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})",
+            r"(?P<email>(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+(?:xn--[A-Za-z0-9-]+|[^\W\d_]{2,}))",
+            r"(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,38}[0-9])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))",
             rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])(?!\w))",
             r"(?P<phone>(?<![\w+])(?<![0-9],)(?:(?:\+(?P<country>[0-9]{1,3})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
             rf"|\+[1-9][0-9]{{7,14}}(?![0-9])|\+[1-9](?:[0-9]|[ .()-]{{1,2}}(?!{_OTHER})[0-9]){{7,14}}(?![0-9])))",
@@ -54,11 +63,24 @@ PATTERN = re.compile(
     )
 )
 _USUAL_CARD = re.compile(_CARD)
-_KINDS = ("secret", "email", "ip", "phone", "iso_date", "day_date", "ssn", "iban", "card")
+_KINDS = ("secret", "email", "ipv6", "ip", "phone", "iso_date", "day_date", "ssn", "iban", "card")
 #: Every pattern needs one of these.
 _MAYBE = re.compile(r"[0-9@]|[=:]\s*[\"']")
 
 
+@lru_cache(maxsize=1 << 14)
+def alphabet_of(c: str) -> tuple[str, int] | None:
+    """The characters among which a letter or digit is replaced, and its place there; None for other characters.
+
+    Beyond the fixed alphabets: those of its category in its block of 256 code points.
+    """
+    if c in _OF or not c.isalnum():
+        return _OF.get(c)
+    kind, first = unicodedata.category(c), ord(c) & ~0xFF
+    same = "".join(x for x in map(chr, range(first, first + 256)) if x.isalnum() and x not in _OF and unicodedata.category(x) == kind)
+    return same, same.index(c)
+
+
 class Pseudonyms:
     """Keyed permutations of formats."""
 
@@ -72,15 +94,13 @@ class Pseudonyms:
         out = b"".join(hashlib.blake2b(seed, key=self.key[:64], salt=bytes([i])).digest() for i in range(-(-size // 64)))
         return int.from_bytes(out[:size], "big") % a
 
-    def permute(self, x: int, n: int, kind: str) -> int:
-        """The image of x in the permutation of 0 .. n - 1 that belongs to ``kind``."""
-        if n < 2:
-            return x
+    def _network(self, x: int, n: int, kind: str, backwards: bool) -> int:
+        """The Feistel network over 0 .. a * a - 1 with a = ceil(sqrt(n)), walked on until it is below n."""
         a = isqrt(n - 1) + 1
         while True:
             left, right = divmod(x, a)
-            for k in reversed(range(ROUNDS)) if self.backwards else range(ROUNDS):
-                if self.backwards:
+            for k in reversed(range(ROUNDS)) if backwards else range(ROUNDS):
+                if backwards:
                     left, right = (right - self._round(kind, k, left, a)) % a, left
                 else:
                     left, right = right, (left + self._round(kind, k, right, a)) % a
@@ -88,13 +108,28 @@ class Pseudonyms:
             if x < n:
                 return x
 
+    def permute(self, x: int, n: int, kind: str) -> int:
+        """The image of x in the permutation of 0 .. n - 1 that belongs to ``kind``; no number is its own image.
+
+        A keyed step within the order that the network gives: F^-1(F(x) + s) with 0 < s < n.
+        """
+        if n < 2:
+            return x
+        step = 1 + self._round(f"{kind}|step", 0, n, n - 1)
+        at = self._network(x, n, kind, False) + (-step if self.backwards else step)
+        return self._network(at % n, n, kind, True)
+
     def characters(self, text: str, kind: str, hexadecimal: bool = False) -> str:
         """Every letter and digit replaced within its alphabet; the rest stays in place."""
         if hexadecimal:
             alphabet = _HEX[any(c.isupper() for c in text)]
             where = [(i, alphabet, alphabet.index(c)) for i, c in enumerate(text)]
         else:
-            where = [(i, *_OF[c]) for i, c in enumerate(text) if c in _OF]
+            where = [(i, *found) for i, c in enumerate(text) if (found := alphabet_of(c))]
+        return self._written(text, kind, where)
+
+    def _written(self, text: str, kind: str, where: list[tuple[int, str, int]]) -> str:
+        """The text with the characters at (place, alphabet, value) permuted together."""
         x, n = 0, 1
         for _, alphabet, value in where:
             x, n = x * len(alphabet) + value, n * len(alphabet)
@@ -106,8 +141,9 @@ class Pseudonyms:
         return "".join(out)
 
     def _value(self, kind: str, text: str) -> str | None:
-        """A value's pseudonym; None if it isn't valid."""
-        return getattr(self, f"_{kind}")(text)
+        """A value's pseudonym; None if it isn't valid or has nothing that could be replaced."""
+        new = getattr(self, f"_{kind}")(text)
+        return None if new == text else new
 
     def _secret(self, text: str) -> str:
         return self.characters(text, "secret", bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)))
@@ -116,6 +152,15 @@ class Pseudonyms:
         local, _, domain = text.rpartition("@")
         return f"{self.characters(local, 'email')}@{domain}"
 
+    def _ipv6(self, text: str) -> str | None:
+        try:
+            IPv6Address(text)
+        except AddressValueError:
+            return None
+        if len(text.replace(":", " ").split()) < 3:
+            return None
+        return self._written(text, "ipv6", [(i, *_IPV6[c]) for i, c in enumerate(text) if c != ":"])
+
     def _ip(self, text: str) -> str:
         x = int.from_bytes(bytes(map(int, text.split("."))), "big")
         return ".".join(map(str, self.permute(x, 1 << 32, "ip").to_bytes(4, "big")))
