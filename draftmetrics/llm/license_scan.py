@@ -1,15 +1,23 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every file's lines that hold a cue, its spans of a template's length (over line breaks) and
-its whole text are compared with licence notices, headers and full texts by the cosine of
-TF-IDF vectors; document frequencies are counted over all files.  A specific licence goes
-before "All rights reserved".  A file whose whole text resembles a template is a licence file of its
+Every file's lines, its spans of a template's length (over line breaks) and its whole text
+are compared with licence notices, headers and full texts by the cosine of TF-IDF vectors;
+document frequencies are counted over all files.  A specific licence goes before "All rights
+reserved".  A file whose whole text resembles a template is a licence file of its
 directory.  A file without a licence of its own inherits from the nearest ancestor
 directory that has a licence file; the lookup joins distinct directories with their
 ancestors, so a directory with very many files costs one row.
 
+Which comparisons can be left out is decided by a bound that holds for every vector: the
+cosine with a template t is at most the root of the share of |t|^2 that lies on terms
+which the text has.  Cosines that reach no threshold are given as 0.
+
 Nulls: a null text has no licence of its own; a null path has no directory and inherits
-nothing.  Ties go to the template whose name comes first.
+nothing.  Ties go to the template whose name comes first, among licence files to the most
+similar one, then the name, then the path.  Repeated rows get the same result each and weigh
+as often as they occur.  Empty texts have no terms; very long texts are compared as a whole
+and in all their lines and spans.  An empty table gives an empty table.  Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from pyspark.sql import functions as F
 
 from draftmetrics.llm.license_texts import FULL_TEXTS
 from draftmetrics.llm.rowmap import free_name, with_text_struct
+from draftmetrics.llm.shared import table, text_slices, tidied
 
 #: Short public licence notices, then full texts where they are at hand.
 TEMPLATES = {
@@ -41,7 +50,6 @@ TEMPLATES = {
 TEMPLATES = {name: (*many, *([FULL_TEXTS[name]] if name in FULL_TEXTS else [])) for name, many in TEMPLATES.items()}
 #: What any licence may say as well.
 GENERAL = "Proprietary"
-CUE = re.compile(r"licen[sc]|copyright|\brights reserved\b|\bpermission is\b|redistribution|\bcc by\b|creative commons", re.I)
 TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
 #: Least cosine of a line, of a whole text that is a licence file, and of a span.
 LEAST_LINE, LEAST_FILE, LEAST_SPAN = 0.6, 0.6, 0.8
@@ -61,14 +69,15 @@ def document_frequencies(files: DataFrame, words: list[str], text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen, n = frozenset(words), Counter(), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                if text:
-                    seen.update(wanted.intersection(terms(text)))
+            n += batch.num_rows
+            for _, _, texts in text_slices(batch.column(0), 1 << 20):
+                for text in texts:
+                    if text:
+                        seen.update(wanted.intersection(terms(text)))
         seen[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
-    counted = files.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = files.select(F.col(text_col).cast("string")).mapInArrow(tidied(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {r["term"]: r["n"] for r in counted.collect()}  # a row for each word of the vocabulary
 
 
@@ -77,47 +86,74 @@ class Matcher:
 
     def __init__(self, templates: dict[str, tuple[str, ...]], frequencies: dict[str, int]):
         n = frequencies.get("", 0)
-        self.idf = {w: math.log((1 + n) / (1 + frequencies.get(w, 0))) + 1 for w in vocabulary(templates)}
+        words = vocabulary(templates)
+        self.column = {w: k for k, w in enumerate(words)}
         self.rare = math.log(1 + n) + 1
-        self.templates = [(name, *self._vector(one), len(terms(one))) for name, many in sorted(templates.items()) for one in many]
-
-    def _vector(self, text: str) -> tuple[dict[str, float], float]:
-        v = {w: c * self.idf.get(w, self.rare) for w, c in Counter(terms(text)).items()}
-        return v, math.sqrt(sum(x * x for x in v.values()))
-
-    def best(self, text: str, least: float) -> tuple[str | None, float]:
-        """The most similar specific licence if it reaches ``least``, otherwise the most similar of all."""
-        v, norm = self._vector(text)
-        found: list[tuple[str | None, float]] = [(None, 0.0), (None, 0.0)]
-        for name, t, t_norm, _ in self.templates:
-            small, large = (v, t) if len(v) < len(t) else (t, v)
-            dot = sum(x * large.get(w, 0.0) for w, x in small.items())
-            at = name == GENERAL
-            if dot and (cosine := dot / (norm * t_norm)) > found[at][1] + 1e-12:
-                found[at] = (name, min(1.0, cosine))
-        return found[0] if found[0][1] >= least else max(found, key=lambda x: x[1])
-
-    def best_span(self, text: str) -> tuple[str | None, float]:
-        """The same over all spans of consecutive terms that are as long as a template."""
-        words = terms(text)
-        w = np.array([self.idf.get(x, self.rare) for x in words])
+        #: weight of each word of the vocabulary, and of any other at the end
+        self.idf = np.array([math.log((1 + n) / (1 + frequencies.get(w, 0))) + 1 for w in words] + [self.rare])
+        self.names, self.sizes, rows = [], [], []
+        for name, one in ((name, one) for name, many in sorted(templates.items()) for one in many):
+            found = terms(one)
+            v = np.bincount([self.column[w] for w in found], minlength=len(self.idf)) * self.idf
+            self.names.append(name)
+            self.sizes.append(len(found))
+            rows.append(v / np.linalg.norm(v))
+        self.templates = np.array(rows).reshape(len(rows), len(self.idf))
+        self.squares = self.templates**2
+
+    def reachable(self, words: list[str], least: float) -> np.ndarray:
+        """Templates with which a text of these words, or a part of it, may have a cosine of ``least``."""
+        at = [k for k in map(self.column.get, set(words)) if k is not None]
+        return np.flatnonzero(self.squares[:, at].sum(1) >= least * least - 1e-9)
+
+    def _best(self, cosines: list[tuple[int, float]], least: float) -> tuple[str | None, float]:
+        """The most similar specific licence that reaches ``least``, else the general one if it does; ties to the first."""
+        passed = [(self.names[k] != GENERAL, round(min(1.0, x), 12), -k) for k, x in cosines if x >= least - 1e-12]
+        if not passed:
+            return None, 0.0
+        _, x, k = max(passed)
+        return self.names[-k], x
+
+    def best(self, words: list[str], least: float) -> tuple[str | None, float]:
+        """Of all templates, by the cosine with these words as one vector."""
+        some = self.reachable(words, least)
+        if not len(some):
+            return None, 0.0
+        known = self.templates.shape[1] - 1
+        counts = Counter(words)
+        at, n = [], []
+        norm = 0.0
+        for w, c in counts.items():
+            k = self.column.get(w, known)
+            if k < known:
+                at.append(k)
+                n.append(c)
+            else:
+                norm += (c * self.rare) ** 2
+        v = np.array(n) * self.idf[at]
+        norm = math.sqrt(norm + float(v @ v))
+        return self._best(list(zip(some.tolist(), (self.templates[np.ix_(some, at)] @ v / norm).tolist())), least)
+
+    def best_span(self, words: list[str], least: float) -> tuple[str | None, float]:
+        """The same over all spans of consecutive words that are as long as a template."""
+        some = [k for k in self.reachable(words, least).tolist() if self.sizes[k] < len(words)]  # as a whole the text is compared by ``best``
+        if not some:
+            return None, 0.0
+        at = np.array([self.column.get(x, len(self.idf) - 1) for x in words])
+        w = self.idf[at]
         squares = np.concatenate([[0.0], np.cumsum(w * w)])
         norms: dict[int, np.ndarray] = {}
-        found: list[tuple[str | None, float]] = [(None, 0.0), (None, 0.0)]
-        for name, t, t_norm, n in self.templates:
-            if n >= len(words):  # the whole text is compared by ``best``
-                continue
-            dots = np.concatenate([[0.0], np.cumsum(w * np.array([t.get(x, 0.0) for x in words]))])
+        found = []
+        for k in some:
+            n = self.sizes[k]
+            dots = np.concatenate([[0.0], np.cumsum(w * self.templates[k][at])])
             dots = dots[n:] - dots[:-n]
-            if (dots / np.sqrt(squares[n:] - squares[:-n])).max() < LEAST_SPAN * t_norm:  # repeated terms only lengthen a vector
+            if (dots / np.sqrt(squares[n:] - squares[:-n])).max() < least - 1e-9:  # repeated terms only lengthen a vector
                 continue
             if n not in norms:
                 norms[n] = self._span_norms(words, w, n)
-            cosine = float((dots / norms[n]).max() / t_norm)
-            at = name == GENERAL
-            if cosine > found[at][1] + 1e-12:
-                found[at] = (name, min(1.0, cosine))
-        return found[0] if found[0][1] >= LEAST_SPAN else max(found, key=lambda x: x[1])
+            found.append((k, float((dots / norms[n]).max())))
+        return self._best(found, least)
 
     @staticmethod
     def _span_norms(words: list[str], w: np.ndarray, n: int) -> np.ndarray:
@@ -146,17 +182,16 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, te
         def work(texts: list[str | None]) -> list[list]:
             own, cosine, whole, whole_cosine = [], [], [], []
             for text in texts:
-                line, file, span = (None, 0.0), (None, 0.0), (None, 0.0)
-                lines = []
-                if text and CUE.search(text):
-                    lines = [matcher.best(part, LEAST_LINE) for part in text.split("\n") if CUE.search(part)]
-                    file = matcher.best(text, LEAST_FILE)
-                    span = matcher.best_span(text)
-                passed = [x for x in (*lines, file) if x[1] >= LEAST_LINE] + [span] * (span[1] >= LEAST_SPAN)
-                line = max(passed or [*lines, file], key=lambda x: (bool(passed) and x[0] != GENERAL, x[1]))
-                own.append(line[0] if passed else None)
+                passed, file = [], (None, 0.0)
+                words = terms(text or "")
+                if len(matcher.reachable(words, min(LEAST_LINE, LEAST_FILE, LEAST_SPAN))):
+                    file = matcher.best(words, LEAST_FILE)
+                    passed = [matcher.best(terms(part), LEAST_LINE) for part in text.split("\n")]
+                    passed = [x for x in (*passed, file, matcher.best_span(words, LEAST_SPAN)) if x[0]]
+                line = max(passed, key=lambda x: (x[0] != GENERAL, x[1]), default=(None, 0.0))
+                own.append(line[0])
                 cosine.append(round(line[1], 6))
-                whole.append(file[0] if file[1] >= LEAST_FILE else None)
+                whole.append(file[0])
                 whole_cosine.append(round(file[1], 6))
             return [own, cosine, whole, whole_cosine]
 
@@ -169,10 +204,8 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     """(id, path, own_license, cosine, license, origin, license_dir): origin is own, inherited or none."""
     picked = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     found = scan(picked, templates, "text", "s").select("id", "path", F.expr("nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), '')").alias("dir"), "s.license", "s.cosine", "s.file_license", "s.file_cosine")
-    from draftmetrics.llm.shared import table
-
     found = table(found, "license-files")
-    holders = found.filter("file_license IS NOT NULL AND dir IS NOT NULL").groupBy(F.col("dir").alias("license_dir")).agg(F.max_by("file_license", F.struct("file_cosine", F.expr("-xxhash64(path)"))).alias("dir_license"))
+    holders = found.filter("file_license IS NOT NULL AND dir IS NOT NULL").groupBy(F.col("dir").alias("license_dir")).agg(F.min_by("file_license", F.struct((-F.col("file_cosine")).alias("c"), "file_license", "path")).alias("dir_license"))
     dirs = found.filter("dir IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
     ancestors = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("depth", "license_dir"))
