@@ -11,7 +11,10 @@ exact bound, no approximation).
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0.  Rows with a null
 language or text are not learned from.  A model of an empty table knows no language and
-calls every document ``und``.
+calls every document ``und``; an empty table gives an empty table.  Ties go to the language
+whose name comes first.  Repeated rows get the same result each.  Very long texts are whole
+mixtures of all their units; likelihoods are summed a bounded run of units at a time.  Other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ EM_ROUNDS, SMOOTHING = 12, 0.5
 #: Values in a model at most: buckets are halved until they fit (16 MB as float32).
 MODEL_VALUES = 1 << 22
 MAX_BUCKET_BITS, MIN_BUCKET_BITS = 16, 10
+#: Log probabilities that are looked up at once.
+LOOKED_UP = 1 << 22
 #: Counters of different languages that a training task holds before it passes them on.
 HELD_LANGUAGES = 64
 
@@ -73,12 +78,22 @@ class LanguageModel:
         first = np.cumsum(count) - count
         units = -(-count // UNIT)
         starts = np.repeat(first, units) + UNIT * (np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units))
-        ll = np.add.reduceat(self.log_p[bucket], starts, axis=0).astype(np.float64) * TEMPER
+        ll = self._unit_likelihoods(bucket, starts)
         docs = np.flatnonzero(readable)
         for d, mix in zip(docs.tolist(), _select(ll, np.cumsum(units) - units, units, docs)):
             out[d] = [(self.languages[k], p) for k, p in mix]
         return out
 
+    def _unit_likelihoods(self, bucket: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(units, languages): log likelihoods of the units that begin at ``starts``."""
+        step = max(1, LOOKED_UP // (UNIT * len(self.languages)))
+        out = np.empty((len(starts), len(self.languages)))
+        for a in range(0, len(starts), step):
+            some = starts[a : a + step]
+            end = starts[a + step] if a + step < len(starts) else len(bucket)
+            out[a : a + step] = np.add.reduceat(self.log_p[bucket[some[0] : end]], some - some[0], axis=0)
+        return out * TEMPER
+
 
 def _select(ll: np.ndarray, first: np.ndarray, units: np.ndarray, docs: np.ndarray) -> list[list[tuple[int, float]]]:
     """For each of ``docs`` the selected languages and proportions."""
