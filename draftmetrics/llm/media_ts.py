@@ -2,12 +2,18 @@
 
 ``mux`` wraps a payload of 8-bit samples into 188-byte packets: a program association
 table, a program map table, and one elementary stream of PES packets with presentation
-timestamps (90 kHz).  ``demux`` works on any stream of this kind: it follows the tables
-(checking their CRC), checks every stream's continuity counters, reassembles PES packets
-and gives timestamps with the random-access points.
+timestamps (90 kHz) and clock references at its random-access points.  ``demux`` works on
+any stream of this kind: it follows the tables (sections may span packets; their CRC is
+checked), checks every stream's continuity counters (a packet may be sent twice, a marked
+discontinuity is none), reassembles PES packets and gives timestamps with the random-access
+points.  PES packets that are broken or cut short are counted and left out or kept as far
+as they go.
 
 Nulls: a null or empty text is one unit of filler; a null doc_id stays null.  Equal
-texts give equal bytes.  An empty table gives an empty table.
+texts give equal bytes, and repeated rows equal rows.  Bytes that are no transport stream,
+and streams without a program, give a row with ``error`` and no payload.  An empty table
+gives an empty table.  Very long texts are streams of their own, one in memory at a time.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from draftmetrics.llm.shared import slices, table
+from draftmetrics.llm.shared import table, text_slices, tidied
 
 PACKET, PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID = 188, 0x1000, 0x100, 0x06, 0xBD
 #: Payload unit in bytes, its duration in 90 kHz ticks (8-bit samples at 48 kHz), units in a PES packet, PES packets from one random-access point to the next.
@@ -55,10 +63,10 @@ def _tables(counter: int) -> np.ndarray:
 
 @lru_cache(maxsize=256)
 def _shape(pes_bytes: int, random_access: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Packets of a PES packet without its bytes and counters, and where its bytes go."""
+    """Packets of a PES packet without its bytes, counters and clock reference, and where its bytes go."""
     packets, left, first = [], pes_bytes, True
     while left:
-        extra = 2 if first and random_access else 0
+        extra = 8 if first and random_access else 0  # length, flags, clock reference
         n = min(left, PACKET - 4 - extra)
         gap = PACKET - 4 - n  # bytes of adaptation field
         row = np.full(PACKET, 255, np.uint8)
@@ -66,7 +74,7 @@ def _shape(pes_bytes: int, random_access: bool) -> tuple[np.ndarray, np.ndarray]
         if gap:
             row[4] = gap - 1
             if gap > 1:
-                row[5] = 0x40 if first and random_access else 0
+                row[5] = 0x50 if extra else 0
         packets.append((row, np.arange(PACKET) >= PACKET - n))
         left, first = left - n, False
     return np.stack([p for p, _ in packets]), np.stack([m for _, m in packets])
@@ -88,6 +96,8 @@ def mux(payload: bytes) -> bytes:
         rows, mask = _shape(len(head) + len(part), access)
         rows = rows.copy()
         rows[mask] = np.frombuffer(head + part, np.uint8)
+        if access:  # base in 33 bits, 6 reserved ones, extension 0
+            rows[0, 6:12] = np.frombuffer((pts << 15 | 0x7E00).to_bytes(6, "big"), np.uint8)
         rows[:, 3] |= ((counter + np.arange(len(rows))) & 15).astype(np.uint8)
         counter += len(rows)
         out.append(rows)
@@ -102,29 +112,50 @@ class Stream:
     stream_type: int
     data: bytes = b""
     continuity_errors: int = 0
+    damaged: int = 0  #: PES packets that are broken (left out) or cut short
+    repeated: int = 0  #: packets sent a second time
     pts: list[int] = field(default_factory=list)  #: of each PES packet (-1: none)
     pes_offset: list[int] = field(default_factory=list)  #: of each PES packet's first byte in ``data``
     random_access: list[int] = field(default_factory=list)  #: numbers of PES packets that are random-access points
+    clock: list[int] = field(default_factory=list)  #: clock references (base, 90 kHz)
 
 
-def _sections(packets: np.ndarray, table_id: int) -> Iterator[bytes]:
-    for row in packets:
-        skip = 4 + (1 + int(row[4]) if row[3] & 0x20 else 0)
-        body = row[skip:].tobytes()
-        if not row[1] & 0x40 or not row[3] & 0x10 or not body:
+def _payload_start(rows: np.ndarray) -> np.ndarray:
+    """Where each packet's payload begins; PACKET where it has none."""
+    start = 4 + np.where(rows[:, 3] & 0x20, 1 + rows[:, 4].astype(np.int64), 0)
+    return np.where(rows[:, 3] & 0x10, np.minimum(start, PACKET), PACKET)
+
+
+def _sections(rows: np.ndarray, table_id: int) -> Iterator[bytes]:
+    """Whole sections of a table with a right CRC, from one PID's packets."""
+    held = b""
+    for row, start in zip(rows, _payload_start(rows).tolist()):
+        body = row[start:].tobytes()
+        if not body:
+            continue
+        parts = [body]
+        if row[1] & 0x40:  # the pointer says where the next section begins
+            parts = [body[1 : 1 + body[0]], body[1 + body[0] :]]
+        elif not held:
             continue
-        body = body[1 + body[0] :]
-        if len(body) > 3 and body[0] == table_id:
-            size = 3 + ((body[1] & 15) << 8 | body[2])
-            if size <= len(body) and _section_crc(body[: size - 4]) == int.from_bytes(body[size - 4 : size], "big"):
-                yield body[:size]
+        for k, part in enumerate(parts):
+            held = part if k == 1 else held + part if held else b""
+            while len(held) > 3 and held[0] != 0xFF:
+                size = 3 + ((held[1] & 15) << 8 | held[2])
+                if size > len(held):
+                    break
+                section, held = held[:size], held[size:]
+                if section[0] == table_id and size >= 12 and _section_crc(section[:-4]) == int.from_bytes(section[-4:], "big"):
+                    yield section
+            if held[:1] == b"\xff":  # filler
+                held = b""
 
 
 @lru_cache(maxsize=64)
 def _programs(raw: bytes) -> tuple[int, ...]:
     found = []
     for s in _sections(np.frombuffer(raw, np.uint8).reshape(-1, PACKET), 0):
-        found += [(s[i + 2] & 31) << 8 | s[i + 3] for i in range(8, len(s) - 4, 4) if s[i] << 8 | s[i + 1]]
+        found += [(s[i + 2] & 31) << 8 | s[i + 3] for i in range(8, len(s) - 7, 4) if s[i] << 8 | s[i + 1]]
     return tuple(dict.fromkeys(found))
 
 
@@ -140,15 +171,16 @@ def _streams(raw: bytes) -> tuple[tuple[int, int], ...]:
 
 
 def _distinct(packets: np.ndarray) -> bytes:
-    """A table's packets without repeats: they differ in their counters only."""
+    """A table's packets; where each holds whole sections, without repeats, which differ in their counters only."""
     rows = packets.copy()
     rows[:, 3] &= 0xF0
-    return b"".join(dict.fromkeys(r.tobytes() for r in rows))
+    every = [r.tobytes() for r in rows]
+    return b"".join(dict.fromkeys(every) if (rows[:, 1] & 0x40).all() else every)
 
 
 def demux(media: bytes) -> list[Stream]:
     """Elementary streams that the program tables list."""
-    if len(media) % PACKET:
+    if not media or len(media) % PACKET:
         raise ValueError("not whole packets")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (p[:, 0] != 0x47).any():
@@ -157,40 +189,64 @@ def demux(media: bytes) -> list[Stream]:
     out = []
     for program in _programs(_distinct(p[pid == 0])):
         for es_pid, kind in _streams(_distinct(p[pid == program])):
-            rows = p[pid == es_pid]
-            out.append(_elementary(rows, Stream(es_pid, kind)))
+            out.append(_elementary(p[pid == es_pid], Stream(es_pid, kind)))
     return out
 
 
+def _repeats(rows: np.ndarray, has_clock: np.ndarray) -> np.ndarray:
+    """Which packets are the one before sent once more (clock references may differ)."""
+    same = rows[1:] == rows[:-1]
+    same[:, 6:12] |= has_clock[1:, None]
+    again = np.concatenate([[False], same.all(1) & ((rows[1:, 3] & 0x10) > 0)])
+    for k in np.flatnonzero(again[1:] & again[:-1]).tolist():  # a third one is no legal repeat
+        again[k + 1] = not again[k]
+    return again
+
+
+#: Streams whose PES packets have no optional header; of these, filler.
+_PLAIN_IDS, _FILLER_ID = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}, 0xBE
+
+
 def _elementary(rows: np.ndarray, stream: Stream) -> Stream:
-    control = rows[:, 3]
-    carries = (control & 0x10) > 0
-    adapted = (control & 0x20) > 0
-    skip = 4 + np.where(adapted, 1 + rows[:, 4].astype(np.int64), 0)
-    counter = (control & 15).astype(np.int64)[carries]
-    stream.continuity_errors = int(((counter[1:] - counter[:-1]) % 16 != 1).sum())
-    access = adapted & (rows[:, 4] > 0) & ((rows[:, 5] & 0x40) > 0)
-    rows, skip, access = rows[carries], np.minimum(skip, PACKET)[carries], access[carries]
-    starts_here = (rows[:, 1] & 0x40) > 0
-    flat = rows[np.arange(PACKET) >= skip[:, None]]
-    ends = np.cumsum(PACKET - skip)
-    begin = (ends - (PACKET - skip))[starts_here]
-    if not len(begin):
+    if not len(rows):
         return stream
-    keep = np.ones(len(flat), bool)
-    keep[: begin[0]] = False
-    dropped = int(begin[0])
-    for b in begin.tolist():
-        h = flat[b : b + 14].tobytes()
-        if h[:3] != b"\0\0\1":
-            raise ValueError("no PES packet where one should start")
-        has_pts = h[7] >> 7
+    adapted = ((rows[:, 3] & 0x20) > 0) & (rows[:, 4] > 0)
+    flags = np.where(adapted, rows[:, 5], 0)
+    has_clock = (flags & 0x10) > 0
+    again = _repeats(rows, has_clock)
+    stream.repeated = int(again.sum())
+    rows, flags, has_clock = rows[~again], flags[~again], has_clock[~again]
+    stream.clock = [int.from_bytes(r.tobytes(), "big") >> 15 for r in rows[has_clock, 6:12]]
+    carries = (rows[:, 3] & 0x10) > 0
+    rows, flags = rows[carries], flags[carries]
+    counter = (rows[:, 3] & 15).astype(np.int64)
+    stream.continuity_errors = int((((counter[1:] - counter[:-1]) % 16 != 1) & ((flags[1:] & 0x80) == 0)).sum())
+    start = _payload_start(rows)
+    flat = rows[np.arange(PACKET) >= start[:, None]].tobytes()
+    ends = np.cumsum(PACKET - start)
+    first = np.flatnonzero((rows[:, 1] & 0x40) > 0)
+    begin = (ends - (PACKET - start))[first].tolist()
+    parts, size = [], 0
+    for k, b, e in zip(first.tolist(), begin, [*begin[1:], len(flat)]):
+        h = flat[b : min(e, b + 14)]
+        if len(h) < 6 or h[:3] != b"\0\0\1" or (h[3] not in _PLAIN_IDS and len(h) < 9):
+            stream.damaged += 1
+            continue
+        plain = h[3] in _PLAIN_IDS
+        skip = 6 if plain else 9 + h[8]
+        promised = h[4] << 8 | h[5]
+        end = min(e, b + 6 + promised) if promised else e
+        stream.damaged += bool(promised and b + 6 + promised > e)
+        if h[3] == _FILLER_ID:
+            continue
+        has_pts = not plain and h[7] >> 7 and len(h) == 14
+        if flags[k] & 0x40:
+            stream.random_access.append(len(stream.pts))
         stream.pts.append((h[9] >> 1 & 7) << 30 | h[10] << 22 | (h[11] >> 1) << 15 | h[12] << 7 | h[13] >> 1 if has_pts else -1)
-        stream.pes_offset.append(b - dropped)
-        keep[b : b + 9 + h[8]] = False
-        dropped += 9 + h[8]
-    stream.random_access = np.flatnonzero(access[starts_here]).tolist()
-    stream.data = flat[keep].tobytes()
+        stream.pes_offset.append(size)
+        parts.append(flat[b + skip : end])
+        size += len(parts[-1])
+    stream.data = b"".join(parts)
     return stream
 
 
@@ -199,40 +255,54 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(x) for x in raw], 8 << 20):
-                media = [mux(x + b"\xff" * (max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x))) for x in raw[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in raw[a:b]], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            for a, b, texts in text_slices(batch.column(1), 4 << 20):
+                raw = [(t or "").encode() for t in texts]
+                media = [mux(x + b"\xff" * (max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x))) for x in raw]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return picked.mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary")
+
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access_pts array<long>, continuity_errors long, error string"
+
+
+def features(blob: bytes | None) -> dict:
+    """One stored stream parsed, by its first elementary stream; what does not parse has ``error``."""
+    out: dict = dict.fromkeys(x.split()[0] for x in FEATURES.split(", "))
+    if blob is None:
+        return out | {"error": "no media"}
+    out |= {"media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest()}
+    try:
+        streams = demux(blob)
+    except ValueError as e:
+        return out | {"error": str(e)}
+    if not streams:
+        return out | {"error": "no program"}
+    s = streams[0]
+    samples = np.frombuffer(s.data, np.uint8)
+    access = [s.pts[k] for k in s.random_access]
+    first, last = (s.pts[0], s.pts[-1]) if s.pts else (-1, -1)
+    mean = int(samples.sum(dtype=np.int64)) * 1000 // max(1, len(samples))
+    feature = f"pid={s.pid};type={s.stream_type};packets={len(blob) // PACKET};pes={len(s.pts)};cc_errors={s.continuity_errors};damaged={s.damaged};first_pts={first};last_pts={last};rap={len(access)};pcr={len(s.clock)};mean={mean}"
+    return out | {
+        "payload_bytes": len(s.data), "payload_sha256": hashlib.sha256(s.data).hexdigest(), "tail_crc32": zlib.crc32(s.data[-32:]),
+        "feature": feature, "pts": s.pts, "random_access_pts": access, "continuity_errors": s.continuity_errors,
+    }
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Stored streams parsed: payload, timestamps and random-access points of the first elementary stream."""
+    """Stored streams (doc_id, n_bytes, media) parsed: payload, timestamps and random-access points of the first elementary stream."""
+    ddl = f"doc_id long, n_bytes long, {FEATURES}"
+    schema = to_arrow_schema(StructType.fromDDL(FEATURES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            cols: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access_pts", "continuity_errors")}
-            for blob in batch.column(2).to_pylist():
-                s = demux(blob)[0]
-                samples = np.frombuffer(s.data, np.uint8)
-                access = [s.pts[k] for k in s.random_access]
-                cols["payload_bytes"].append(len(s.data))
-                cols["payload_sha256"].append(hashlib.sha256(s.data).hexdigest())
-                cols["tail_crc32"].append(zlib.crc32(s.data[-32:]))
-                cols["media_bytes"].append(len(blob))
-                cols["media_sha256"].append(hashlib.sha256(blob).hexdigest())
-                cols["feature"].append(f"pid={s.pid};type={s.stream_type};packets={len(blob) // PACKET};pes={len(s.pts)};cc_errors={s.continuity_errors};first_pts={s.pts[0]};last_pts={s.pts[-1]};rap={len(access)};mean={int(samples.sum(dtype=np.int64)) * 1000 // len(samples)}")
-                cols["pts"].append(s.pts)
-                cols["random_access_pts"].append(access)
-                cols["continuity_errors"].append(s.continuity_errors)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(cols.values(), kinds))], names=["doc_id", "n_bytes", *cols])
-            assert n == len(cols["feature"])
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access_pts array<long>, continuity_errors long")
+            for a, b, blobs in text_slices(batch.column(2), 8 << 20):
+                found = pa.RecordBatch.from_pylist([features(x) for x in blobs], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *found.columns], names=["doc_id", "n_bytes", *schema.names])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), ddl)
 
 
 def media_roundtrip(docs: DataFrame) -> DataFrame:
