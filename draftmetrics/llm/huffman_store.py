@@ -16,8 +16,10 @@ File layout, little-endian::
 Blocks of ``BLOCK`` ids are coded on their own: block b starts at its checkpoint, so
 blocks are decoded side by side with one table look-up per id and block.
 
-Nulls: a null text has no ids but its end id; a null doc_id sorts first and comes back
-null.  Rows with equal doc_id keep one entry each.  An empty table gives no files.
+Nulls: a null text has no ids but its end id, as an empty one; a null doc_id sorts first
+and comes back null.  Rows with equal doc_id keep one entry each, in the order in which they
+were read.  A very long text is a file of its own.  An empty table gives no files.  Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from draftmetrics.llm.shared import drop_table, slices, write_table
+from draftmetrics.llm.shared import drop_table, shared_path, text_slices, tidied
 
 MAGIC, VERSION, BLOCK = b"DMHF", 1, 512
 #: Ids in one file at most (a longer document is a file of its own).
 FILE_TOKENS = 1 << 19
 MAX_LEN = 20
-#: Range partitions whose summary may be broadcast (16 bytes each).
-BROADCAST_PARTS = 100_000
+#: Files whose places may be broadcast (32 bytes each).
+BROADCAST_FILES = 100_000
 
 
 # -- ids ----------------------------------------------------------------------------
@@ -55,13 +57,13 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = Non
         tok = tokenizer(tokenizer_path)
         tail = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 1 << 20):
-                coded = [np.concatenate([x, tail]).astype("<u4") for x in tok.encode(texts[a:b])]
+            ids = batch.column(0)
+            for a, b, texts in text_slices(batch.column(1), 1 << 20):
+                coded = [np.concatenate([x, tail]).astype("<u4") for x in tok.encode(texts)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(x) for x in coded], pa.int64()), pa.array([x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes() for x in coded], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return picked.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids binary")
 
 
 def stored_ids(raw: bytes | None, n_tokens: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "n_tokens").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # -- code ---------------------------------------------------------------------------
@@ -218,8 +220,8 @@ def read_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(doc, null)], np.cumsum(n.astype(np.int64)), ids
 
 
-def write_store(tokens: DataFrame, max_len: int = MAX_LEN) -> str:
-    """Write the files of a stable ``tokens`` table in ascending doc_id order; returns the store's path."""
+def write_store(tokens: DataFrame, path: str, max_len: int = MAX_LEN) -> str:
+    """Write the files of a stable ``tokens`` table in ascending doc_id order to ``path``, where they stay; returns it."""
     spark = tokens.sparkSession
     # bounded by the vocabulary, whatever the corpus
     counts = {r["id"]: r["n"] for r in count_ids(tokens).toLocalIterator()}
@@ -252,8 +254,9 @@ def write_store(tokens: DataFrame, max_len: int = MAX_LEN) -> str:
 
     n_parts = max(1, -(-sum(counts.values()) // (8 * FILE_TOKENS)))
     dealt = tokens.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n_parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    files = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, chunk int, n_tokens long, blob binary")
-    return write_table(files, "huffman-store", "uncompressed")
+    files = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(tidied(run), "part int, chunk int, n_tokens long, blob binary")
+    files.write.option("compression", "uncompressed").parquet(path)
+    return path
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -278,17 +281,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "chunk", "doc_id", "in_file", "n_tokens", "ids_crc32"],
                 )
 
-    decoded = files.select("part", "chunk", "blob").mapInArrow(run, "part int, chunk int, doc_id long, in_file long, n_tokens long, ids_crc32 long")
-    small = files.agg(F.max("part")).first()[0]
-    side = F.broadcast(starts) if (small or 0) < BROADCAST_PARTS else starts
+    decoded = files.select("part", "chunk", "blob").mapInArrow(tidied(run), "part int, chunk int, doc_id long, in_file long, n_tokens long, ids_crc32 long")
+    side = F.broadcast(starts) if files.select("part").count() <= BROADCAST_FILES else starts  # a row for each file
     return decoded.join(side, ["part", "chunk"]).select("doc_id", (F.col("part_start") + F.col("chunk_start") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32", "part", "chunk")
 
 
-def store_roundtrip(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """Encode ``docs``, write the Huffman store, read it back."""
+def store_roundtrip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str | None = None) -> DataFrame:
+    """Encode ``docs``, write the Huffman store, read it back; without a ``path`` the store goes when Python ends."""
     spark = docs.sparkSession
     schema = T.StructType.fromDDL("doc_id long, n_tokens long, ids binary")
-    ids_path = write_table(encode_tokens(docs, tokenizer_path, end_id), "token-ids")
-    store = write_store(spark.read.schema(schema).parquet(ids_path))
+    ids_path = shared_path(spark, "token-ids")
+    encode_tokens(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(ids_path)
+    store = write_store(spark.read.schema(schema).parquet(ids_path), path or shared_path(spark, "huffman-store"))
     drop_table(spark, ids_path)
     return read_store(spark, store)

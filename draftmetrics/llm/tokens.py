@@ -1,18 +1,20 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded cache of words.
 
-A byte-pair merge never crosses a pre-token, and in both supported files a pre-token
-boundary lies before every single space or line break that stands between two
+A byte-pair merge never crosses a pre-token, and in files with one of the two known
+set-ups (``KNOWN``) a pre-token boundary lies before every single space or line break that stands between two
 non-blank characters.  So a text is cut there, each distinct piece is encoded by the
 library once per worker and cache, and ids are gathered from the cache.  Latin words
 with marks after them go straight to the file's byte-pair model (they are one or two
 pre-tokens, which need no splitter); any other piece goes through the whole tokenizer.  Texts with other white
 space (runs, tabs, leading or trailing blanks) go to the library whole wherever blanks
 are themselves tokens, and so do texts that hold an added token such as <|endoftext|>.
+With a file of any other set-up every text goes to the library whole.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 
 import numpy as np
@@ -27,6 +29,24 @@ LATIN_END = "\u0250"
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
+# Set-ups (normaliser, pre-tokenizer, model without its vocabulary) whose pre-token boundaries are known.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+KNOWN = (
+    (None, _BYTE_LEVEL | {"use_regex": True}, _MODEL | {"end_of_word_suffix": None}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+        _MODEL | {"end_of_word_suffix": "</w>"},
+    ),
+)
+
+
+def set_up(tokenizer) -> tuple:
+    """A tokenizer's (normaliser, pre-tokenizer, model without its vocabulary)."""
+    parts = json.loads(tokenizer.to_str())
+    return parts["normalizer"], parts["pre_tokenizer"], {k: v for k, v in parts["model"].items() if k not in ("vocab", "merges")}
+
 
 class _Pieces(dict):
     """Numbers of pieces in the order in which they are first met; ``new`` lists those whose ids are still to be found."""
@@ -54,7 +74,7 @@ class WordCachedTokenizer:
         one = lambda s: self._tok.encode(s, add_special_tokens=False).ids
         self._blank_is_token = one("a b") != one("a") + one("b")
         self._mark = one("\n") if self._blank_is_token else one("\x01")
-        self._cacheable = len(self._mark) == 1 and not any(t.normalized for t in added)  # such a token can match text that is written otherwise
+        self._cacheable = set_up(self._tok) in KNOWN and len(self._mark) == 1 and not any(t.normalized for t in added)  # such a token can match text that is written otherwise
         self._model = self._tok.model
         self._mark_ids: dict[str, list[int]] = {}
         self._clear()
