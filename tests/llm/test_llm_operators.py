@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 pytest.importorskip("draftmetrics.llm")
 
-from draftmetrics.llm import decontaminate, huffman_store, jaccard_join, language_mixture, license_scan, media_ts, packing, pii_feistel, queries, shard_permutation, tokens, url_rules
+from draftmetrics.llm import decontaminate, huffman_store, jaccard_join, language_mixture, license_scan, media_ts, packing, pii_feistel, queries, shard_permutation, tokens, url_rules, wordhash
 from draftmetrics.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,15 +46,13 @@ def shingles(text):
 def test_cached_tokenizer_equals_library(file, spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     texts += ["", None, " ", "a\n", " a b", "a  b", "a\n\nb", "a \n b", "tab\there it's don't 'S", "<|endoftext|> x", "Ünḯ ΣΑΣ ΑΣ", "\x01 a\x01b c", "x\r\ny z", "a\x1cb\x85c d", "é ́a b", "İs x", "a!!\nb%%% c.", "Straße, ªb º."]
-    t = tokens.WordCachedTokenizer(queries.tokenizer_path(file))
-    for text, ids in zip(texts, t.encode(texts)):
-        assert ids.tolist() == (t.whole(text) if text else [])
+    plain = Tokenizer.from_file(queries.tokenizer_path(file))
+    for text, ids in zip(texts, tokens.WordCachedTokenizer(queries.tokenizer_path(file)).encode(texts)):
+        assert ids.tolist() == (plain.encode(text, add_special_tokens=False).ids if text else [])
 
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_added_tokens_are_encoded_as_by_a_plain_tokenizer(file):
-    from tokenizers import Tokenizer
-
     plain = Tokenizer.from_file(queries.tokenizer_path(file))
     special = [t.content for t in plain.get_added_tokens_decoder().values()]
     texts = ["x <|endoftext|> y", "<|endoftext|>", "a <|ENDOFTEXT|> b", "no special token here", *[f"word {s} word{s}\n{s}x" for s in special[:200]]]
@@ -61,6 +60,20 @@ def test_added_tokens_are_encoded_as_by_a_plain_tokenizer(file):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_file_of_another_set_up_goes_to_the_library(tmp_path):
+    import json
+
+    with open(queries.tokenizer_path("word_bpe_49k.json")) as f:
+        parts = json.load(f)
+    parts["normalizer"] = {"type": "NFD"}  # upper case stays and accents come apart
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(parts))
+    texts = ["Plain Words Here", "é à la carte", "x"]
+    plain = Tokenizer.from_file(str(path))
+    for text, ids in zip(texts, tokens.WordCachedTokenizer(str(path)).encode(texts)):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_length_limited_codes_are_optimal_and_decode():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 40, 700):
@@ -75,25 +88,33 @@ def test_length_limited_codes_are_optimal_and_decode():
 
 def test_token_store_roundtrip(spark, edge, empty):
     path = queries.tokenizer_path("byte_bpe_50k.json")
-    t = tokens.WordCachedTokenizer(path)
-    rows = sorted(huffman_store.store_roundtrip(edge, path).collect(), key=lambda r: r.start)
+    t = Tokenizer.from_file(path)
+    rows = sorted(huffman_store.store_roundtrip(edge.withColumn("n_tokens", F.lit(1)), path).collect(), key=lambda r: r.start)
     expected = sorted(EDGE, key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r.doc_id for r in rows] == [r[0] for r in expected]
     start = 0
     for row, (_, text, *_) in zip(rows, expected):
-        ids = np.array([*(t.whole(text) if text else []), 0], "<u4")
+        ids = np.array([*(t.encode(text, add_special_tokens=False).ids if text else []), 0], "<u4")
         assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert huffman_store.store_roundtrip(empty, path).count() == 0
 
 
+def test_a_written_store_stays_and_reads_back(spark, edge, tmp_path):
+    path = str(tmp_path / "store")
+    ids = huffman_store.encode_tokens(edge, queries.tokenizer_path("byte_bpe_50k.json"), 0)
+    assert huffman_store.write_store(ids, path) == path
+    got = {r.start: (r.n_tokens, r.ids_crc32) for r in huffman_store.read_store(spark, path).collect()}
+    assert len(got) == len(EDGE) and sum(n for n, _ in got.values()) == ids.agg(F.sum("n_tokens")).first()[0]
+
+
 # -- packing -----------------------------------------------------------------------------
 
 
 def test_packing_places_every_id_once(spark, edge, empty):
     path = queries.tokenizer_path("word_bpe_49k.json")
-    t = tokens.WordCachedTokenizer(path)
-    rows = packing.pack(edge, path, capacity=256).collect()
+    t = Tokenizer.from_file(path)
+    rows = packing.pack(edge.withColumn("START", F.lit(1)), path, capacity=256, group_tokens=2000).collect()
     by_seq, by_doc = {}, {}
     for r in rows:
         by_seq.setdefault(r.sequence_id, []).append(r)
@@ -107,7 +128,7 @@ def test_packing_places_every_id_once(spark, edge, empty):
     for doc, text, *_ in EDGE:
         if doc == 7:
             continue
-        ids = np.array([*(t.whole(text) if text else []), 2], "<u4")
+        ids = np.array([*(t.encode(text, add_special_tokens=False).ids if text else []), 2], "<u4")
         at = 0
         for p in sorted(by_doc[doc], key=lambda p: p.start):
             assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
@@ -116,6 +137,22 @@ def test_packing_places_every_id_once(spark, edge, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_what_a_group_leaves_over_is_carried_on(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    rows = packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"), capacity=512, group_tokens=8000).collect()
+    size = Counter()
+    for r in rows:
+        size[r.sequence_id] += r.length
+        assert r.sequence_tokens >= r.offset + r.length
+    short = [n for n in size.values() if n < 512]
+    assert len(size) > 100 and all(n & (n - 1) == 0 for n in size.values()) and len(set(short)) == len(short)
+    whole = {r.doc_id: 0 for r in rows}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == whole[r.doc_id]
+        whole[r.doc_id] += r.length
+    assert all(whole[r.doc_id] == r.doc_tokens for r in rows)
+
+
 def test_packing_balances_cost():
     rng = random.Random(3)
     lengths = [rng.randint(1, 900) for _ in range(2000)]
@@ -174,6 +211,11 @@ def test_url_rules_against_plain_matching(spark):
         fits = [(len(h + p), h + p, a) for h, p, a in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits)[1:] if fits else (None, "allow")
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+    long = spark.createDataFrame([(1, "a://" + "a." * 100_000 + "com/en/")], "page_id long, url string")
+    assert url_rules.judge_urls(long, rules).select("rule").first()[0] == "com/"
+    twice = spark.createDataFrame([("com", "/", "allow"), ("com", "/", "block")], "host string, path string, action string")
+    assert {r.verdict for r in url_rules.judge_urls(pages.filter("url LIKE 'http://com%'"), twice).collect()} == {"block", "allow"}
+    assert url_rules.judge_urls(pages.limit(0).withColumn("row", F.lit(1)), rules).count() == 0
     none = spark.createDataFrame([], "host string, path string, action string")
     assert {r.verdict for r in url_rules.judge_urls(pages, none).collect()} == {"allow"}
 
@@ -269,6 +311,39 @@ def test_signatures_of_similar_sets_meet():
             assert (a.tolist() == b.tolist()) or np.intersect1d(jaccard_join.signatures(a, 85), jaccard_join.signatures(b, 85)).size
 
 
+def test_sketches_reject_no_linked_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 20, 90, 400, 1500):
+        for _ in range(20):
+            base = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+            m = int(rng.integers(max(1, int(0.85 * n)), n + 1))
+            k = int(rng.integers(0, m + 1))
+            a, b = base[:n], np.sort(np.concatenate([base[:k], base[n : n + m - k]]))
+            linked = 100 * k >= 85 * (n + m - k)
+            ((close,),) = jaccard_join.close_by_sketch([(n, jaccard_join.sketch(a))], [(m, jaccard_join.sketch(b))], 85)
+            assert close or not linked
+            assert not close or k > 0.6 * n or n < 20  # most others are rejected
+
+
+def test_sketches_differ_as_in_workers(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (40, 43, 85, 90, 171)]
+    maps = [jaccard_join.sketch(s) for s in sets]
+    df = spark.createDataFrame([(i, j, maps[i].tolist(), maps[j].tolist()) for i, j in ((0, 1), (1, 2), (2, 1), (3, 4), (3, 3))], "i int, j int, x array<long>, y array<long>")
+    for r in df.withColumn("d", jaccard_join.sketches_differ(F.col("x"), F.col("y"))).collect():
+        n = 64 * min(len(r.x), len(r.y))
+        fold = [np.bitwise_xor.reduce(np.unpackbits(maps[k].view(np.uint8), bitorder="little").reshape(-1, n)) for k in (r.i, r.j)]
+        assert r.d == int((fold[0] != fold[1]).sum())
+
+
+def test_long_words_with_equal_polynomials_differ():
+    thue = [bin(k).count("1") & 1 for k in range(2048)]
+    for n in (64, 1024, 2048):
+        one, other = ("".join("ab"[x ^ flip] for x in thue[:n]) for flip in (0, 1))
+        hashes, _ = wordhash.hash_words([f"{one} {other} {one}"], jaccard_join.WORDS)
+        assert hashes[0] == hashes[2] != hashes[1]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 4), (7, 8), (3, 9), (9, 9)], "u long, v long")
     assert {r.node: r.label for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7}
@@ -323,6 +398,43 @@ def test_contamination_against_brute_force(spark, monkeypatch, seed, block):
         assert (c.n_words, c.n_hit, c["items"], c.contaminated) == brute_contamination(text, items), (i, text)
 
 
+def longest_by_hand(text, items):
+    w, best = words10(text), 0
+    for x in (words10(t) for _, t in items):
+        for a in range(len(w)):
+            for b in range(len(x)):
+                k = 0
+                while a + k < len(w) and b + k < len(x) and w[a + k] == x[b + k]:
+                    k += 1
+                best = max(best, k)
+    return best
+
+
+@pytest.mark.parametrize("seed,piece", [(3, 1 << 18), (4, 40)])
+def test_matches_and_their_length_against_all_positions(monkeypatch, seed, piece):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", piece)
+    docs, items = contamination_case(seed)
+    found = decontaminate.match([t for _, t in docs], decontaminate.Benchmark([(None if i is None else str(i), t) for i, t in items]))
+    for (_, text), (n, flags, ids, longest, spans) in zip(docs, found):
+        assert (n, int(flags.sum()), sorted(ids)) == brute_contamination(text, items)[:3] and longest == longest_by_hand(text, items)
+        assert sum(k for _, k in spans) == flags.sum()
+
+
+def test_one_word_repeated_very_often():
+    ((n, flags, ids, longest, spans),) = decontaminate.match(["a " * 100_000], decontaminate.Benchmark([("1", "a " * 3000)]))
+    assert (n, flags.all(), ids, longest, spans) == (100_000, True, {"1"}, 3000, [(0, 100_000)])
+
+
+def test_suffix_array_orders_all_suffixes():
+    rng = np.random.default_rng(2)
+    for letters in (1, 2, 5):
+        counts = rng.integers(0, 30, 9)
+        words = rng.integers(0, letters, counts.sum()).astype(np.uint64)
+        array = decontaminate.SuffixArray(words, counts, 4)
+        text = array.text.tolist()
+        assert array.order.tolist() == sorted(range(len(text)), key=lambda k: text[k:])
+
+
 def test_longest_match_and_empty_benchmark(spark, edge):
     item = " ".join(f"q{k}" for k in range(20))
     docs = spark.createDataFrame([(1, "x " + item + " y"), (2, " ".join(f"q{k}" for k in range(2, 17)))], "doc_id long, text string")
@@ -354,6 +466,55 @@ def test_language_mixture_and_edges(spark, edge, empty, sf):
     assert language_mixture.identify(empty, model).count() == 0
 
 
+def plain_mixture(model, text):
+    """The same model by plain loops: units, EM over all sets of growing size."""
+    import math
+
+    bucket, _ = language_mixture._trigrams([text], model.bits)
+    unit = [bucket[k : k + language_mixture.UNIT] for k in range(0, len(bucket), language_mixture.UNIT)]
+    ll = [[float(sum(float(model.log_p[b, j]) for b in u)) * language_mixture.TEMPER for j in range(len(model.languages))] for u in unit]
+
+    def em(allowed):
+        pi = {j: 1 / len(allowed) for j in allowed}
+        for _ in range(language_mixture.EM_ROUNDS):
+            total = dict.fromkeys(allowed, 0.0)
+            for row in ll:
+                top = max(row[j] for j in allowed)
+                r = {j: pi[j] * math.exp(row[j] - top) for j in allowed}
+                for j in allowed:
+                    total[j] += r[j] / sum(r.values())
+            pi = {j: total[j] / len(ll) for j in allowed}
+        like = sum(math.log(sum(pi[j] * math.exp(row[j] - max(row[i] for i in allowed)) for j in allowed)) + max(row[j] for j in allowed) for row in ll)
+        return pi, like
+
+    every = range(len(model.languages))
+    single = [sum(row[j] for row in ll) for j in every]
+    best = max(every, key=lambda j: (single[j], -j))
+    share, _ = em(list(every))
+    order = [best, *sorted((j for j in every if j != best), key=lambda j: (-share[j], j))]
+    chosen, current = {best: 1.0}, single[best]
+    for k in range(2, len(order) + 1):
+        pi, like = em(order[:k])
+        if like - current <= language_mixture.PENALTY + 0.5 * math.log(len(ll)):
+            break
+        chosen, current = pi, like
+    return {model.languages[j]: p for j, p in chosen.items()}
+
+
+def test_mixtures_against_plain_loops(spark, sf, monkeypatch):
+    monkeypatch.setattr(language_mixture, "LOOKED_UP", 1000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_mixture.train(docs)
+    texts = [r.text[:900] for r in docs.orderBy("doc_id").limit(40).collect()]
+    texts += [a + " " + b for a, b in zip(texts[::2], texts[1::2])]
+    mixed = 0
+    for text, got in zip(texts, model.mixture(texts)):
+        expected = plain_mixture(model, text)
+        mixed += len(expected) > 1
+        assert dict(got).keys() == expected.keys() and all(abs(p - expected[x]) < 1e-4 for x, p in got)
+    assert mixed > 3
+
+
 # -- personal data ---------------------------------------------------------------------------
 
 
@@ -402,6 +563,34 @@ def test_values_beside_other_numbers_are_found(text, old):
         assert len(new) == len(text) and pii_feistel.replace_all(new, back) == (text, found)
 
 
+@pytest.mark.parametrize("value", ["иван@example.com", "김철수@example.co.kr", "ÉLISE.müller@exämple.fr", "山田@例え.jp", "a@b.xn--p1ai", "2001:db8::8a2e:370:7334", "FE80:0:0:0:202:B3FF:FE1E:8329", "x.1@ünï.de"])
+def test_values_in_any_script_are_replaced(value):
+    for key in range(20):
+        names, back = (pii_feistel.Pseudonyms(b"%d" % key, b) for b in (False, True))
+        text = f"see {value}, please"
+        new, found = pii_feistel.replace_all(text, names)
+        assert [k for k, _, _ in found] == ["email" if "@" in value else "ipv6"]
+        old, made = value.split("@")[0], new[4:].split(",")[0].split("@")[0]
+        assert made != old and len(made) == len(old) and [c.isalnum() for c in made] == [c.isalnum() for c in old]
+        assert pii_feistel.replace_all(new, back) == (text, found)
+
+
+def test_no_value_is_reported_unchanged(spark, sf):
+    names = pii_feistel.Pseudonyms(b"k")
+    for text in ("12:30:45 and 1:2:3", "std::vector a::b", "+.%@example.com"):
+        assert pii_feistel.replace_all(text, names) == (text, [])
+    scanners = [r"[\w.+-]+@[\w-]+\.[\w.-]+", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", r"(?<![\d -])(?:\d{4}[ -]){3}\d{4}(?![\d-])", r"\b[A-Z]{2}\d{2}(?: ?\w{4}){3,7}\b"]
+    seen = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        new, found = pii_feistel.replace_all(r.text, names)
+        for k, a, b in found:
+            seen += 1
+            assert new[a:b] not in r.text or k == "day_date"
+        old = {m for p in scanners[:3] for m in re.findall(p, r.text)}
+        assert not [m for m in old if m in new and names.value("email" if "@" in m else "ip" if m.count(".") == 3 else "ssn", m)]
+    assert seen > 5
+
+
 def test_numbers_that_do_not_validate_stay():
     names = pii_feistel.Pseudonyms(b"k")
     for text in ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", "BE68539007547035 EUR", "1,234 567 8901 units", "4111 1111 1111 1112 123"):
@@ -431,11 +620,51 @@ def test_media_counts_lost_packets_and_checks_tables():
     media = bytearray(media_ts.mux(bytes(range(256)) * 90))
     assert media_ts.demux(bytes(media))[0].continuity_errors == 0
     del media[188 * 6 : 188 * 7]
-    assert media_ts.demux(bytes(media))[0].continuity_errors == 1
+    cut = media_ts.demux(bytes(media))[0]
+    assert (cut.continuity_errors, cut.damaged) == (1, 1)
     with pytest.raises(ValueError):
         media_ts.demux(b"x" * 188)
 
 
+def packets(media):
+    return [media[k : k + 188] for k in range(0, len(media), 188)]
+
+
+def section_packets(pid, table_id, body):
+    section = bytes([table_id, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255, 0, 1, 0xC1, 0, 0]) + body
+    data, out = b"\0" + section + media_ts._section_crc(section + b"").to_bytes(4, "big"), []
+    while data:
+        out.append((bytes([0x47, (0 if out else 0x40) | pid >> 8, pid & 255, 0x10 | len(out) & 15]) + data[:184]).ljust(188, b"\xff"))
+        data = data[184:]
+    return b"".join(out)
+
+
+def test_media_of_other_muxers():
+    payload = bytes(range(256)) * 90
+    media = media_ts.mux(payload)
+    assert media_ts.demux(media)[0].clock == media_ts.demux(media)[0].pts[:: media_ts.RANDOM_ACCESS_EVERY]
+    twice = media_ts.demux(b"".join(p + p if k % 5 == 0 else p for k, p in enumerate(packets(media))))[0]
+    assert (twice.data, twice.continuity_errors) == (payload, 0) and twice.repeated > 0
+    pid = lambda p: (p[1] & 31) << 8 | p[2]
+    pat = next(p for p in packets(media) if pid(p) == 0)
+    stream = b"".join(p for p in packets(media) if pid(p) == media_ts.ES_PID)
+    long_table = section_packets(media_ts.PMT_PID, 2, bytes([0xE1, 0, 0xF1, 0x2C]) + bytes(300) + bytes([6, 0xE1, 0, 0xF0, 0]))
+    assert len(long_table) == 2 * 188 and media_ts.demux(pat + long_table + stream)[0].data == payload
+    assert media_ts.demux(section_packets(0, 0, b"") + stream) == []
+    broken = bytearray(media)
+    at = next(k for k, p in enumerate(packets(media)) if pid(p) == media_ts.ES_PID and p[1] & 0x40 and k > 30)
+    broken[188 * (at + 1) - packets(media)[at][::-1].index(b"\0\0\1"[::-1]) - 3] = 9
+    assert media_ts.demux(bytes(broken))[0].damaged == 1
+
+
+def test_bytes_that_are_no_stream_give_an_error_row(spark):
+    good = media_ts.mux(b"x" * 576)
+    rows = spark.createDataFrame([(1, 1, b"x"), (2, 1, bytearray(188)), (3, 1, None), (4, 1, bytearray(good)), (5, 1, bytearray(good[376:]))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media_ts.media_features(rows).collect()}
+    assert [got[k].error for k in range(1, 6)] == ["not whole packets", "lost synchronisation", "no media", None, "no program"]
+    assert got[4].payload_bytes == 576 and got[5].payload_sha256 is None and got[1].media_bytes == 1
+
+
 # -- licences ----------------------------------------------------------------------------------
 
 
@@ -463,6 +692,55 @@ def test_full_licence_texts_headers_and_notices_in_long_lines(spark):
     assert [got[i].license for i in range(20, 25)] == ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "Proprietary", None]
 
 
+def test_cosines_against_plain_vectors_without_a_bound():
+    import math
+
+    rng = random.Random(6)
+    pool = license_scan.vocabulary(license_scan.TEMPLATES) + [f"w{k}" for k in range(60)]
+    parts = [t for many in license_scan.TEMPLATES.values() for t in many]
+    texts = []
+    for _ in range(60):
+        words = license_scan.terms(rng.choice(parts))
+        words = words[: rng.randint(1, len(words))] + rng.choices(pool, k=rng.choice([0, 1, 3, 20]))
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    n = Counter(w for t in texts for w in set(license_scan.terms(t)))
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, {**n, "": len(texts)})
+    known = set(license_scan.vocabulary(license_scan.TEMPLATES))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + (n[w] if w in known else 0))) + 1
+
+    def cosine(a, b):
+        x, y = ({w: c * idf(w) for w, c in Counter(k).items()} for k in (a, b))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    hits = 0
+    for text in texts:
+        words = license_scan.terms(text)
+        whole = {name: max(cosine(words, license_scan.terms(t)) for t in many) for name, many in license_scan.TEMPLATES.items()}
+        passed = {k: v for k, v in whole.items() if v >= 0.6}
+        special = {k: v for k, v in passed.items() if k != license_scan.GENERAL} or passed
+        name, value = matcher.best(words, 0.6)
+        hits += bool(passed)
+        assert (name is None) == (not passed) and (not passed or (abs(value - max(special.values())) < 1e-9 and abs(special[name] - value) < 1e-9))
+        spans = {k: max((cosine(words[i : i + m], license_scan.terms(t)) for t in many if (m := len(license_scan.terms(t))) < len(words) for i in range(len(words) - m + 1)), default=0) for k, many in license_scan.TEMPLATES.items()} if len(words) < 200 else {}
+        if spans:
+            found = {k: v for k, v in spans.items() if v >= 0.8}
+            special = {k: v for k, v in found.items() if k != license_scan.GENERAL} or found
+            name, value = matcher.best_span(words, 0.8)
+            assert (name is None) == (not found) and (not found or abs(value - max(special.values())) < 1e-9)
+    assert hits > 20
+
+
+def test_license_edge_rows(spark):
+    long = "plain prose words " * 60_000 + "Released under the MIT License."
+    files = [(1, "a/x.txt", long), (2, "a/x.txt", long), (3, "a/b/LICENSE", "Released under the MIT License."), (4, "a/b/COPYING", "Released under the MIT License."), (5, "a/b/c.txt", ""), (None, "/d.txt", "..."), (7, "", "")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("DIR", F.lit("x")).withColumn("license", F.lit("y"))
+    got = license_scan.scan_licenses(df).collect()
+    assert len(got) == len(files)
+    by = {r.doc_id: (r.license, r.origin) for r in got}
+    assert by[1] == by[2] == ("MIT", "own") and by[5] == ("MIT", "inherited") and by[None] == (None, "none")
+
+
 def test_document_frequencies_count_terms_beside_any_mark(spark):
     files = spark.createDataFrame([("(the) mit; 4.0",), ("the: x",), ("licence 'the'",), (None,)], "text string")
     assert license_scan.document_frequencies(files, ["the", "mit", "4.0"]) == {"": 4, "the": 3, "mit": 1, "4.0": 1}
