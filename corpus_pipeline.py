@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from draftmetrics.llm import decontaminate, jaccard_join, language_mixture, packing, pii_feistel, queries
 from draftmetrics.llm.rowmap import free_name
-from draftmetrics.llm.shared import write_table
+from draftmetrics.llm.shared import drop_table, write_table, written
 from draftmetrics.session import ship_package
 
 
@@ -63,8 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage.  A stage's input and its own tables go when its rows are written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = spark.read.parquet(write_table(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        before = written() - {last}
+        last = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        for path in written() - before - {last}:
+            drop_table(spark, path)
+        docs = spark.read.parquet(last)
     return docs
