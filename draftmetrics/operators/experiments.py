@@ -12,18 +12,36 @@ def hash_order(seed: int, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
+#: Hexadecimal digits of the hash that name a bucket (4096 buckets for each class).
+BUCKET_DIGITS = 3
+
+
+def ranked_in_class(df: DataFrame, id_col: str, label_col: str, seed: int, rank: str, size: str) -> DataFrame:
+    """``df`` with each row's rank in its class, from 1, in hash order, and the rows of the class.
+
+    Rows are ranked within buckets of the hash and moved on by the rows of the buckets
+    before, so no task sorts a whole class.  Null labels are a class.
+    """
+    keyed = df.withColumn("_h", hash_order(seed, id_col)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    before = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    counted = keyed.groupBy(label_col, "_b").agg(F.count("*").alias("_n"))
+    counted = counted.select(F.col(label_col).alias("_l"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy(label_col)).alias(size))
+    inside = Window.partitionBy(label_col, "_b").orderBy("_h", id_col)
+    placed = keyed.withColumn("_r", F.row_number().over(inside)).join(counted, F.col(label_col).eqNullSafe(F.col("_l")) & (F.coalesce("_b", F.lit("")) == F.coalesce("_c", F.lit(""))))
+    return placed.select(*df.columns, (F.col("_first") + F.col("_r")).alias(rank), size)
+
+
 def stratified_split(df: DataFrame, id_col: str, label_col: str, seed: int = 0, test_percent: int = 20) -> DataFrame:
     """``df`` with ``split``: of each class the first ``test_percent`` in hash order (rounded half up) are the test set."""
-    ordered = Window.partitionBy(label_col).orderBy(hash_order(seed, id_col), id_col)
-    n = F.count("*").over(Window.partitionBy(label_col))
-    quota = F.floor((n * test_percent + 50) / 100)
-    return df.withColumn("split", F.when(F.row_number().over(ordered) <= quota, "test").otherwise("train"))
+    ranked = ranked_in_class(df, id_col, label_col, seed, "_rank", "_size")
+    quota = F.floor((F.col("_size") * test_percent + 50) / 100)
+    return ranked.withColumn("split", F.when(F.col("_rank") <= quota, "test").otherwise("train")).drop("_rank", "_size")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, folds: int = 5, seed: int = 0) -> DataFrame:
     """``df`` with ``fold``: each class is dealt out in hash order."""
-    ordered = Window.partitionBy(label_col).orderBy(hash_order(seed, id_col), id_col)
-    return df.withColumn("fold", ((F.row_number().over(ordered) - 1) % folds).cast("int"))
+    ranked = ranked_in_class(df, id_col, label_col, seed, "_rank", "_size")
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank", "_size")
 
 
 def balanced_weights(df: DataFrame, label_col: str) -> DataFrame:

@@ -1,21 +1,30 @@
-"""Classifiers of the experiment grid: MLlib where it has them, extremely randomised trees and permutation nulls in workers."""
+"""Classifiers of the experiment grid: MLlib on whole tables; folds, permutations and extremely randomised trees by fits in workers."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmetrics.operators.experiments import balanced_weights, scores, standardize, stratified_split
+from draftmetrics.operators import fits
+from draftmetrics.operators.experiments import balanced_weights, cv_summary, scores, standardize, stratified_folds, stratified_split
+from draftmetrics.operators.fits import MODELS, Fit
+from draftmetrics.session import scratch_table
 
-#: Rows that a tree or a permuted fit sees at most; a larger training set is sampled by hash (documented bound).
+#: Training rows that a fit in a worker sees at most; a larger training set is sampled by hash (documented bound).
 FIT_ROWS = 200_000
+#: Permuted fits whose models are held at once: linear ones, and forests (a quarter of a MB for 400 trees).
+LINEAR_BLOCK, FOREST_BLOCK = 1000, 100
+#: Trees that one task grows.
+TASK_TREES = 25
 
 
 @dataclass(frozen=True)
@@ -74,109 +83,80 @@ def random_forest(train: DataFrame, trees: int = 400, depth: int = 5, seed: int
     return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", maxBins=256, seed=seed).fit(train)
 
 
-# -- extremely randomised trees --------------------------------------------------------
-
-
-def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, rng: np.random.Generator, gains: np.ndarray) -> list[tuple[int, float, int, int, float]]:
-    """Nodes (feature, threshold, left, right, share of class 1); feature -1 is a leaf."""
-    nodes: list[tuple[int, float, int, int, float]] = []
-
-    def gini(rows: np.ndarray) -> tuple[float, float]:
-        total = w[rows].sum()
-        p = (w[rows] * y[rows]).sum() / total if total else 0.0
-        return total, 2 * p * (1 - p)
-
-    def build(rows: np.ndarray, level: int) -> int:
-        at = len(nodes)
-        total, impurity = gini(rows)
-        share = float((w[rows] * y[rows]).sum() / total) if total else 0.0
-        nodes.append((-1, 0.0, -1, -1, share))
-        if level == depth or len(rows) < 2 or impurity <= 1e-12:
-            return at
-        best = None
-        tried = 0
-        for f in rng.permutation(x.shape[1]):
-            lo, hi = x[rows, f].min(), x[rows, f].max()
-            if lo == hi:
-                continue
-            t = rng.uniform(lo, hi)
-            left = x[rows, f] <= t
-            (wl, gl), (wr, gr) = gini(rows[left]), gini(rows[~left])
-            gain = total * impurity - wl * gl - wr * gr
-            if best is None or gain > best[0]:
-                best = (gain, f, t, left)
-            tried += 1
-            if tried >= max(1, int(np.sqrt(x.shape[1]))):
-                break
-        if best is None:
-            return at
-        gain, f, t, left = best
-        gains[f] += gain
-        a = build(rows[left], level + 1)
-        b = build(rows[~left], level + 1)
-        nodes[at] = (int(f), float(t), a, b, share)
-        return at
-
-    build(np.arange(len(y)), 0)
-    return nodes
-
-
-def _tree_share(nodes: list, x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x))
-    for i, row in enumerate(x):
-        k = 0
-        while nodes[k][0] >= 0:
-            k = nodes[k][2] if row[nodes[k][0]] <= nodes[k][1] else nodes[k][3]
-        out[i] = nodes[k][4]
-    return out
+# -- fits in workers -------------------------------------------------------------------
+
+
+def bounded(train: DataFrame, id_col: str, limit: int = FIT_ROWS) -> DataFrame:
+    """All rows, or the first ``limit`` in hash order where there are more."""
+    return train.orderBy(F.xxhash64(id_col)).limit(limit) if train.count() > limit else train
+
+
+def training_matrix(train: DataFrame, features: list[str], id_col: str, extra: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    """(x, y, extra columns) of at most FIT_ROWS rows, in the order of ids."""
+    kept = bounded(train, id_col).select(*[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)], F.col("y").cast("int").alias("_y"), id_col, *(extra or []))
+    data = kept.toPandas().sort_values(id_col, kind="stable")
+    return data[[f"_x{k}" for k in range(len(features))]].to_numpy(float), data["_y"].to_numpy(), data[extra or []]
+
+
+def _fit_all(spark: SparkSession, jobs: int, work) -> list[Fit]:
+    """``work(job)`` for each job, each in a task of its own; gives the fits in order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in frame["id"]:
+                yield pd.DataFrame({"job": [k], "fit": [pickle.dumps(work(int(k)))]})
+
+    made = spark.range(jobs).repartition(jobs, "id").mapInPandas(run, "job long, fit binary").collect()
+    return [pickle.loads(bytes(r["fit"])) for r in sorted(made, key=lambda r: r["job"])]
+
+
+def confusion(rows: DataFrame, features: list[str], jobs: list[tuple[dict, int, Fit]], part_col: str) -> DataFrame:
+    """The jobs' columns and tn, fp, fn, tp: each (columns, part, fit) scores all rows of its part."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast([(part, fit) for _, part, fit in jobs])
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros((len(jobs), 4), np.int64)
+        for frame in frames:
+            x, y, part = frame.iloc[:, :-2].to_numpy(float), frame.iloc[:, -2].to_numpy(), frame.iloc[:, -1].to_numpy()
+            for k, (wanted, fit) in enumerate(shared.value):
+                mine = part == wanted
+                if mine.any():
+                    cells[k] += np.bincount(2 * y[mine] + fit.predict(x[mine]), minlength=4)
+        yield pd.DataFrame({"job": range(len(jobs)), "tn": cells[:, 0], "fp": cells[:, 1], "fn": cells[:, 2], "tp": cells[:, 3]})
+
+    picked = rows.select(*[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)], F.col("y").cast("int").alias("_y"), F.col(part_col).cast("int").alias("_p"))
+    summed = picked.mapInPandas(count, "job int, tn long, fp long, fn long, tp long").groupBy("job").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+    names = spark.createDataFrame(pd.DataFrame([{"job": k} | columns for k, (columns, _, _) in enumerate(jobs)]))
+    return names.join(summed, "job").drop("job")  # a row for each job
 
 
 @dataclass
 class ExtraTreesModel:
-    """Node lists of all trees (at most 2^(depth+1) nodes each) and normalised importances."""
+    """Fitted trees and normalised importances."""
 
-    trees: list[list]
+    fit: Fit
     importances: list[float]
 
     def transform(self, df: DataFrame, columns: list[str]) -> DataFrame:
         """``df`` with ``probability_1`` and ``prediction``."""
-        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+        shared = df.sparkSession.sparkContext.broadcast(self.fit)
 
         @F.pandas_udf("double")
         def share(*cols: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(float) for c in cols])
-            return pd.Series(np.mean([_tree_share(t, x) for t in shared.value], axis=0))
+            return pd.Series(shared.value.probability(np.column_stack([c.to_numpy(float) for c in cols])))
 
         out = df.withColumn("probability_1", share(*[F.col(c) for c in columns]))
         return out.withColumn("prediction", (F.col("probability_1") > 0.5).cast("double"))
 
 
-def bounded(train: DataFrame, id_col: str, limit: int = FIT_ROWS) -> DataFrame:
-    """All rows, or the first ``limit`` in hash order where there are more."""
-    return train.orderBy(F.xxhash64(id_col)).limit(limit) if train.count() > limit else train
-
-
 def extra_trees(train: DataFrame, columns: list[str], id_col: str, trees: int = 400, depth: int = 5, seed: int = 0) -> ExtraTreesModel:
-    """Each tree is grown on all training rows (no bootstrap) in one task of its own."""
-    data = bounded(train, id_col).select(*[F.col(c).cast("double") for c in columns], F.col("label").cast("double"), "weight").orderBy(*columns, "label").toPandas()
-    x, y, w = data[columns].to_numpy(), data["label"].to_numpy(), data["weight"].to_numpy()
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((x, y, w))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, w = shared.value
-        for frame in frames:
-            rows = []
-            for k in frame["id"]:
-                gains = np.zeros(x.shape[1])
-                nodes = _grow(x, y, w, depth, np.random.default_rng([seed, int(k)]), gains)
-                total = gains.sum()
-                rows.append((k, [n[0] for n in nodes], [n[1] for n in nodes], [n[2] for n in nodes], [n[3] for n in nodes], [n[4] for n in nodes], list(gains / total if total else gains)))
-            yield pd.DataFrame(rows, columns=["tree", "f", "t", "l", "r", "p", "gains"])
-
-    made = spark.range(trees).repartition(min(trees, 64)).mapInPandas(run, "tree long, f array<int>, t array<double>, l array<int>, r array<int>, p array<double>, gains array<double>").orderBy("tree").collect()
-    importance = np.mean([m["gains"] for m in made], axis=0)
-    return ExtraTreesModel([list(zip(m["f"], m["t"], m["l"], m["r"], m["p"])) for m in made], list(importance / importance.sum() if importance.sum() else importance))
+    """Trees on all training rows (no bootstrap), grown in tasks of TASK_TREES."""
+    x, y, _ = training_matrix(train, columns, id_col)
+    shared = train.sparkSession.sparkContext.broadcast((x, y))
+    grown = _fit_all(train.sparkSession, -(-trees // TASK_TREES), lambda k: fits.fit(fits.EXTRA_TREES, *shared.value, [seed, k], min(TASK_TREES, trees - TASK_TREES * k), depth))
+    whole = Fit(fits.EXTRA_TREES, **{c: np.concatenate([getattr(g, c) for g in grown]) for c in ("feature", "threshold", "share", "gains")})
+    return ExtraTreesModel(whole, fits.importances(whole.gains).tolist())
 
 
 # -- evaluation -----------------------------------------------------------------------------
@@ -184,7 +164,7 @@ def extra_trees(train: DataFrame, columns: list[str], id_col: str, trees: int =
 
 def predictions(df: DataFrame, features: list[str], id_col: str, model: str = "logistic", seed: int = 0, **options) -> DataFrame:
     """(model, id, split, y, yhat) of one fit; ``df`` has y and split."""
-    rows = prepared(df, features).cache()
+    rows = scratch_table(prepared(df, features))
     train = rows.filter("split = 'train'")
     columns = [f"z_{c}" for c in features]
     if model == "logistic":
@@ -200,32 +180,51 @@ def predictions(df: DataFrame, features: list[str], id_col: str, model: str = "l
     return out.select(F.lit(model).alias("model"), F.col(id_col), "split", F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
 
 
-def evaluate(df: DataFrame, runs: list[Run], id_col: str, models: tuple[str, ...] = ("logistic",), **options) -> DataFrame:
-    """(run, model, split, accuracy, f1_macro, …) of a grid; ``df`` has the targets and all features."""
-    from functools import reduce
+def fold_confusion(df: DataFrame, features: list[str], id_col: str, models: tuple[str, ...] = MODELS, folds: int = 5, seed: int = 0, trees: int = 400, depth: int = 5) -> DataFrame:
+    """(model, fold, tn, fp, fn, tp): ``df`` has y and split; fold -1 is the test rows after a fit on all training rows.
+
+    Every fold of the training rows is scored, as a whole, by a fit on the other folds; a fit
+    standardises its columns by its own rows.
+    """
+    train = stratified_folds(df.filter("split = 'train'"), id_col, "y", folds, seed)
+    rows = scratch_table(train.unionByName(df.filter("split = 'test'").withColumn("fold", F.lit(-1))))
+    x, y, extra = training_matrix(rows.filter("fold >= 0"), features, id_col, ["fold"])
+    shared = df.sparkSession.sparkContext.broadcast((x, y, extra["fold"].to_numpy()))
+    jobs = [(m, k) for m in models for k in range(-1, folds)]
+
+    def work(job: int) -> Fit:
+        x, y, fold = shared.value
+        model, k = jobs[job]
+        return fits.fit(model, x[fold != k], y[fold != k], [seed, k + 1], trees, depth)
+
+    made = _fit_all(df.sparkSession, len(jobs), work)
+    return confusion(rows, features, [({"model": m, "fold": k}, k, f) for (m, k), f in zip(jobs, made)], "fold")
+
+
+def cross_validate(df: DataFrame, features: list[str], id_col: str, models: tuple[str, ...] = MODELS, folds: int = 5, seed: int = 0, **options) -> DataFrame:
+    """(model, fold, tn, fp, fn, tp, accuracy, f1_macro) of every fold and of the test rows (fold -1)."""
+    return scores_of_cells(fold_confusion(df, features, id_col, models, folds, seed, **options))
 
+
+def evaluate(df: DataFrame, runs: list[Run], id_col: str, models: tuple[str, ...] = MODELS, **options) -> DataFrame:
+    """One row for each run and model: mean and deviation of the folds' scores, scores and confusion counts of the test rows.
+
+    ``df`` has the targets and all features.
+    """
     parts = []
     for run in runs:
         cut = df.filter(F.col(run.target).isNotNull()).withColumn("y", (F.col(run.target) > run.cut).cast("int")).na.drop(subset=list(run.features))
         split = stratified_split(cut, id_col, "y", run.seed)
-        for m in models:
-            parts.append(scores(predictions(split, list(run.features), id_col, m, run.seed, **options), ["model", "split"]).withColumn("run", F.lit(run.name)))
+        found = scratch_table(cross_validate(split, list(run.features), id_col, models, seed=run.seed, **options))
+        folds = cv_summary(found.filter("fold >= 0"), ["model"], ["accuracy", "f1_macro"])
+        parts.append(folds.join(found.filter("fold = -1").drop("fold"), "model").withColumn("run", F.lit(run.name)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Weighted logistic regression with an L2 penalty on all but the intercept (strength 1)."""
-    z = np.column_stack([x, np.ones(len(x))])
-    penalty = np.eye(z.shape[1])
-    penalty[-1, -1] = 1e-10
-    beta = np.zeros(z.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (w * p * (1 - p))[:, None]) + penalty, z.T @ (w * (p - y)) + penalty @ beta)
-        beta -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return beta
+def scores_of_cells(cells: DataFrame) -> DataFrame:
+    """Accuracy and macro F1 beside columns tn, fp, fn and tp."""
+    accuracy = F.try_divide(F.col("tn") + F.col("tp"), F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    return cells.withColumn("accuracy", accuracy).withColumn("f1_macro", macro_f1_of_cells())
 
 
 def macro_f1_of_cells() -> Column:
@@ -236,43 +235,40 @@ def macro_f1_of_cells() -> Column:
     return F.coalesce(F.try_divide(F.coalesce(f1[0], F.lit(0.0)) + F.coalesce(f1[1], F.lit(0.0)), seen), F.lit(0.0))
 
 
-def permutation_null(df: DataFrame, features: list[str], id_col: str, permutations: int = 1000, seed: int = 0) -> DataFrame:
-    """(perm_id, score): macro F1 on all test rows after fitting permuted training labels; -1 is the true labels' score."""
-    rows = prepared(df, features)
-    columns = [f"z_{c}" for c in features]
-    data = bounded(rows.filter("split = 'train'"), id_col).select(*columns, "label", id_col).orderBy(id_col).toPandas()
+def permutation_null(df: DataFrame, features: list[str], id_col: str, models: tuple[str, ...] = MODELS, permutations: int = 1000, seed: int = 0, trees: int = 400, depth: int = 5) -> DataFrame:
+    """(model, perm_id, score): macro F1 on all test rows after a fit on permuted training labels; -1 is the true labels' score.
+
+    Every model sees the same permutations, drawn one after another.  Models are fitted and
+    scored in blocks, so that the driver holds a block's models at most.
+    """
+    rows = scratch_table(df)
+    x, y, _ = training_matrix(rows.filter("split = 'train'"), features, id_col)
+    test = rows.filter("split = 'test'").withColumn("part", F.lit(0))
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((data[columns].to_numpy(), data["label"].to_numpy()))
+    whole = spark.sparkContext.broadcast((x, y))
+    parts = []
+    for model in models:
+        rng = np.random.default_rng(seed)
+        block = FOREST_BLOCK if model in (fits.FOREST, fits.EXTRA_TREES) else LINEAR_BLOCK
+        for a in range(-1, permutations, block):
+            ids = list(range(a, min(permutations, a + block)))
+            drawn = spark.sparkContext.broadcast(np.stack([y if k < 0 else rng.permutation(y) for k in ids]).astype(np.int8))
+            made = _fit_blocks(spark, model, whole, drawn, ids, seed, trees, depth)
+            cells = confusion(test, features, [({"model": model, "perm_id": k}, 0, f) for k, f in zip(ids, made)], "part")
+            parts.append(scratch_table(cells.select("model", F.col("perm_id").cast("long"), macro_f1_of_cells().alias("score"))))
+            drawn.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = shared.value
-        for frame in frames:
-            out = []
-            for k in frame["id"]:
-                labels = y if k < 0 else np.random.default_rng([seed, int(k)]).permutation(y)
-                share = labels.mean()
-                w = np.where(labels == 1, 0.5 / share if share else 0, 0.5 / (1 - share) if share < 1 else 0)
-                out.append(list(_newton(x, labels, w)))
-            yield pd.DataFrame({"perm_id": frame["id"], "beta": out})
 
-    fitted = spark.range(-1, permutations).mapInPandas(fit, "perm_id long, beta array<double>").orderBy("perm_id").collect()
-    ids, beta = [r["perm_id"] for r in fitted], spark.sparkContext.broadcast(np.array([r["beta"] for r in fitted]).T)
+def _fit_blocks(spark: SparkSession, model: str, whole, drawn, ids: list[int], seed: int, trees: int, depth: int, tasks: int = 64) -> list[Fit]:
+    """The fits of a block of permutations, some in each task."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros((2, 2, len(ids)), np.int64)
-        for frame in frames:
-            x, y = frame[columns].to_numpy(), frame["label"].to_numpy()
-            for k in range(0, len(y), 4096):
-                yhat = x[k : k + 4096] @ beta.value[:-1] + beta.value[-1] > 0
-                for c in (0, 1):
-                    mine = yhat[y[k : k + 4096] == c]
-                    cells[c, 1] += mine.sum(axis=0)
-                    cells[c, 0] += len(mine) - mine.sum(axis=0)
-        yield pd.DataFrame({"perm_id": ids, "tn": cells[0, 0], "fp": cells[0, 1], "fn": cells[1, 0], "tp": cells[1, 1]})
-
-    counted = rows.filter("split = 'test'").select(*columns, "label").mapInPandas(count, "perm_id long, tn long, fp long, fn long, tp long")
-    summed = counted.groupBy("perm_id").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
-    return summed.select("perm_id", macro_f1_of_cells().alias("score"))
+    def work(job: int) -> list[Fit]:
+        x, _ = whole.value
+        return [fits.fit(model, x, drawn.value[k], [seed, ids[k] + 1], trees, depth).small() for k in range(job, len(ids), tasks)]
+
+    made = _fit_all(spark, min(tasks, len(ids)), work)
+    return [made[k % tasks][k // tasks] for k in range(len(ids))]
 
 
 def coefficients(model, features: list[str], spark) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -9,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -64,6 +66,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    """A new folder name under the shared folder; what is written there goes when Python ends."""
+    _scratch.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def scratch_table(df: DataFrame) -> DataFrame:
+    """``df`` written into the shared folder and read back: computed once, and safe from lost executors."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _scratch:
+        with contextlib.suppress(Exception):
+            if spark is not None:
+                target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

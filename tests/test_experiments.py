@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftmetrics.operators import experiments as ex
+from draftmetrics.operators import fits
 from draftmetrics.operators import models as ml
 
 
@@ -45,16 +46,103 @@ def test_standardize_fits_training_rows_only(spark):
     assert got == {1: (-1.0, 0.0), 2: (1.0, 0.0), 3: (98.0, 0.0)}
 
 
-def test_logistic_equals_newton(planted):
+def matrix(df, split="train"):
+    data = df.filter(F.col("split") == split).orderBy("id").select("a", "b", "c", "y").toPandas()
+    return data[["a", "b", "c"]].to_numpy(), data["y"].to_numpy()
+
+
+def test_fits_in_workers_equal_mllib(planted):
     rows = ml.prepared(planted, ["a", "b", "c"])
     train = rows.filter("split = 'train'")
     model = ml.logistic(train)
-    p = train.select("z_a", "z_b", "z_c", "y", "weight").toPandas()
-    beta = ml._newton(p[["z_a", "z_b", "z_c"]].to_numpy(), p["y"].to_numpy(), p["weight"].to_numpy())
-    assert np.allclose(model.coefficients.toArray(), beta[:3], atol=1e-4) and abs(model.intercept - beta[3]) < 1e-4
-
-
-@pytest.mark.parametrize("model,options", [("logistic", {}), ("forest", {"trees": 10}), ("extra_trees", {"trees": 20})])
+    fit = fits.fit("logistic", *matrix(planted), [0])
+    assert np.allclose(model.coefficients.toArray(), fit.beta[:3], atol=1e-4) and abs(model.intercept - fit.beta[3]) < 1e-4
+    svc, own = ml.linear_svc(train), fits.fit("svc", *matrix(planted), [0])
+    assert np.allclose(svc.coefficients.toArray(), own.beta[:3], atol=0.05)
+
+    def objective(beta):
+        x, y = matrix(planted)
+        z = (x - own.mean) / own.scale
+        return 0.5 * beta[:3] @ beta[:3] + (fits.balanced(y.astype(float)) * np.maximum(0, 1 - (2 * y - 1) * (z @ beta[:3] + beta[3]))).sum()
+
+    assert objective(own.beta) < objective(np.append(svc.coefficients.toArray(), svc.intercept)) + 1e-2
+
+
+def plain_tree(feature, threshold, share, row):
+    k = 0
+    while feature[k] >= 0:
+        k = 2 * k + 1 + (row[feature[k]] > threshold[k])
+    return share[k]
+
+
+@pytest.mark.parametrize("kind", ["forest", "extra_trees"])
+def test_trees_grown_together_equal_plain_walks_and_sums(planted, kind):
+    x, y = matrix(planted)
+    fit = fits.fit(kind, x, y, [3], trees=7)
+    expected = [np.mean([plain_tree(fit.feature[t], fit.threshold[t], fit.share[t], row) for t in range(7)]) for row in x]
+    assert np.allclose(fit.probability(x), expected)
+    if kind == "extra_trees":  # every node's share and split are those of its own rows
+        w = fits.balanced(y.astype(float))
+        for t in range(7):
+            stack = [(0, np.arange(len(y)))]
+            while stack:
+                k, rows = stack.pop()
+                assert fit.share[t, k] == pytest.approx((w[rows] * y[rows]).sum() / w[rows].sum())
+                if fit.feature[t, k] >= 0:
+                    right = x[rows, fit.feature[t, k]] > fit.threshold[t, k]
+                    assert 0 < right.sum() < len(rows)
+                    stack += [(2 * k + 1, rows[~right]), (2 * k + 2, rows[right])]
+    assert fits.importances(fit.gains).argmax() == 0
+
+
+def test_best_cut_is_the_best_of_all(planted):
+    x, y = matrix(planted)
+    x = np.round(x[:, :1] * 4)  # few values: every cut is a threshold
+    feature, threshold, share, _ = fits.grow(x, y.astype(float), np.ones((1, len(y))), 1, np.random.default_rng(0), True)
+
+    def impurity(rows):
+        p = y[rows].mean()
+        return rows.sum() * 2 * p * (1 - p)
+
+    every = {c: impurity(x[:, 0] <= c) + impurity(x[:, 0] > c) for c in (np.unique(x)[1:] + np.unique(x)[:-1]) / 2}
+    assert feature[0, 0] == 0 and every[threshold[0, 0]] == pytest.approx(min(every.values()))
+
+
+def test_folds_are_scored_whole_by_fits_that_have_not_seen_them(spark, planted):
+    got = {(r.model, r.fold): r for r in ml.cross_validate(planted, ["a", "b", "c"], "id", trees=20).collect()}
+    assert set(got) == {(m, k) for m in ml.MODELS for k in range(-1, 5)}
+    folds = ex.stratified_folds(planted.filter("split = 'train'"), "id", "y")
+    sizes = {r.fold: r["count"] for r in folds.groupBy("fold").count().collect()} | {-1: planted.filter("split = 'test'").count()}
+    assert all(r.tn + r.fp + r.fn + r.tp == sizes[k] for (_, k), r in got.items())
+    data = folds.orderBy("id").toPandas()
+    for k in range(5):
+        held, seen = data[data.fold == k], data[data.fold != k]
+        fit = fits.fit("logistic", seen[["a", "b", "c"]].to_numpy(), seen.y.to_numpy(), [0])
+        assert np.allclose(fit.mean, seen[["a", "b", "c"]].mean()) and got["logistic", k].accuracy == pytest.approx((fit.predict(held[["a", "b", "c"]].to_numpy()) == held.y).mean())
+    # rows of a fold, however far off, change no fit that is scored on them
+    far = planted.withColumn("a", F.when(F.col("id") == int(data[data.fold == 2].id.iloc[0]), 1e9).otherwise(F.col("a")))
+    moved = {(r.model, r.fold): r for r in ml.cross_validate(far, ["a", "b", "c"], "id", models=("logistic",)).collect()}
+    assert abs(moved["logistic", 2].accuracy - got["logistic", 2].accuracy) <= 1 / sizes[2] + 1e-9
+
+
+def test_grid_rows(spark, planted):
+    runs = [ml.Run("one", "y", 0, ("a", "b"), 1), ml.Run("two", "y", 0, ("c",))]
+    got = {(r.run, r.model): r for r in ml.evaluate(planted.drop("split"), runs, "id", trees=10).collect()}
+    assert len(got) == 8 and got["one", "forest"].f1_macro > got["two", "forest"].f1_macro and got["one", "svc"].accuracy_mean > 0.75
+
+
+def test_ranks_in_class_equal_a_sort(spark):
+    rows = [(i, None if i % 7 == 0 else i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    got = {r.id: (r.k, r.n) for r in ex.ranked_in_class(df, "id", "y", 5, "k", "n").collect()}
+    import hashlib
+
+    for y in (None, 0, 1, 2):
+        ids = sorted((i for i, v in rows if v == y), key=lambda i: (hashlib.md5(f"5|{i}".encode()).hexdigest(), i))
+        assert [got[i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]
+
+
+@pytest.mark.parametrize("model,options", [("logistic", {}), ("svc", {"max_iter": 20}), ("forest", {"trees": 10}), ("extra_trees", {"trees": 20})])
 def test_models_find_the_planted_signal(planted, model, options):
     got = {r.split: r.f1_macro for r in ex.scores(ml.predictions(planted, ["a", "b", "c"], "id", model, **options), ["split"]).collect()}
     assert got["test"] > 0.75
@@ -62,32 +150,32 @@ def test_models_find_the_planted_signal(planted, model, options):
 
 def test_extra_trees_importance_and_seed(planted):
     rows = ml.prepared(planted, ["a", "b", "c"]).filter("split = 'train'")
-    a, b = (ml.extra_trees(rows, ["z_a", "z_b", "z_c"], "id", trees=12) for _ in range(2))
-    assert a.trees == b.trees and np.argmax(a.importances) == 0 and sum(a.importances) == pytest.approx(1)
+    a, b = (ml.extra_trees(rows, ["z_a", "z_b", "z_c"], "id", trees=30) for _ in range(2))
+    assert len(a.fit.feature) == 30 and (a.fit.threshold == b.fit.threshold).all() and np.argmax(a.importances) == 0 and sum(a.importances) == pytest.approx(1)
 
 
-def test_permutation_null(planted):
-    r = ml.permutation_null(planted, ["a", "b", "c"], "id", permutations=20).collect()
-    true = next(x.score for x in r if x.perm_id == -1)
-    assert len(r) == 21 and true > max(x.score for x in r if x.perm_id >= 0)
+def macro_f1(y, hat):
+    f1 = [2 * ((y == c) & (hat == c)).sum() / max(1, (y == c).sum() + (hat == c).sum()) for c in (0, 1)]
+    return np.mean(f1)
 
 
-def test_permutation_null_scores_all_test_rows(planted, monkeypatch):
-    rows = ml.prepared(planted, ["a", "b", "c"])
-    expected = ex.scores(ml.predictions(planted, ["a", "b", "c"], "id"), ["split"]).filter("split = 'test'").first()
-    got = ml.permutation_null(planted, ["a", "b", "c"], "id", permutations=1).filter("perm_id = -1").first()
-    assert got.score == pytest.approx(expected.f1_macro)
-    kept = []
+def test_permutation_null_of_every_model_on_all_test_rows(planted, monkeypatch):
+    monkeypatch.setattr(ml, "FOREST_BLOCK", 7)
     plain = ml.bounded
-    monkeypatch.setattr(ml, "bounded", lambda df, id_col: kept.append(plain(df, id_col, 100)) or kept[-1])
-    some = ml.permutation_null(planted, ["a", "b", "c"], "id", permutations=1).filter("perm_id = -1").first()
-    p, t = (x.select("z_a", "z_b", "z_c", "y").toPandas().to_numpy() for x in (kept[0], rows.filter("split = 'test'")))
-    share = p[:, 3].mean()
-    beta = ml._newton(p[:, :3], p[:, 3], np.where(p[:, 3] == 1, 0.5 / share, 0.5 / (1 - share)))
-    hat = t[:, :3] @ beta[:3] + beta[3] > 0
-    cells = [int(((t[:, 3] == a) & (hat == b)).sum()) for a, b in ((0, 0), (0, 1), (1, 0), (1, 1))]
-    assert sum(cells) == planted.filter("split = 'test'").count()
-    assert kept[0].count() == 100 and some.score == pytest.approx((2 * cells[0] / (2 * cells[0] + cells[1] + cells[2]) + 2 * cells[3] / (2 * cells[3] + cells[1] + cells[2])) / 2)
+    monkeypatch.setattr(ml, "bounded", lambda df, id_col: plain(df, id_col, 100))
+    r = ml.permutation_null(planted, ["a", "b", "c"], "id", permutations=15, trees=20).collect()
+    kept = plain(planted.filter("split = 'train'"), "id", 100).orderBy("id").toPandas()
+    x, y = kept[["a", "b", "c"]].to_numpy(), kept["y"].to_numpy()
+    xt, yt = matrix(planted, "test")
+    for model in ml.MODELS:
+        score = {x.perm_id: x.score for x in r if x.model == model}
+        assert sorted(score) == list(range(-1, 15))
+        true = macro_f1(yt, fits.fit(model, x, y, [0, 0], trees=20).predict(xt))
+        assert score[-1] == pytest.approx(true) or model in ("forest", "extra_trees")
+    rng = np.random.default_rng(0)
+    for k in range(3):
+        fit = fits.fit("svc", x, rng.permutation(y), [0])
+        assert next(v.score for v in r if v.model == "svc" and v.perm_id == k) == pytest.approx(macro_f1(yt, fit.predict(xt)))
 
 
 def test_grid_is_the_published_one():
