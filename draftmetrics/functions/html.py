@@ -25,7 +25,7 @@ def page_text(html: Column) -> Column:
 
 def element(html: Column, tag: str, css_class: str | None = None) -> Column:
     """The text of the first ``tag`` (of a class); null if there is none or it is blank."""
-    attributes = rf'[^>]*class="{css_class}"[^>]*' if css_class else r"(?:\s[^>]*)?"
+    attributes = rf'[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*' if css_class else r"(?:\s[^>]*)?"
     inner = F.regexp_extract(html, rf"(?is)<{tag}{attributes}>(.*?)</{tag}>", 1)
     return F.nullif(trim_blanks(collapse_blanks(F.regexp_replace(inner, r"(?s)<[^>]*>", ""))), F.lit(""))
 
@@ -37,11 +37,17 @@ def first_of(html: Column, *choices: tuple[str, str | None]) -> Column:
 
 def elements(html: Column, tag: str, css_class: str | None = None) -> Column:
     """The texts of all elements of a kind, without blank ones."""
-    attributes = rf'[^>]*class="{css_class}"[^>]*' if css_class else r"(?:\s[^>]*)?"
+    attributes = rf'[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*' if css_class else r"(?:\s[^>]*)?"
     found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}{attributes}>(.*?)</{tag}>"), F.lit(1))
     return F.filter(F.transform(found, lambda x: trim_blanks(collapse_blanks(F.regexp_replace(x, r"(?s)<[^>]*>", "")))), lambda x: x != "")
 
 
+def titled_element(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """The ``title`` attribute of the first ``tag`` (of a class), else its text."""
+    head = F.regexp_extract(html, rf'(?is)<{tag}\b([^>]*)>' if css_class is None else rf'(?is)<{tag}\b([^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*)>', 1)
+    return F.coalesce(F.nullif(F.regexp_extract(head, r'(?is)(?:^|\s)title="([^"]*)"', 1), F.lit("")), element(html, tag, css_class))
+
+
 def links(html: Column, target: str = r'[^"]*') -> Column:
     """All link targets that match."""
     return F.regexp_extract_all(html, F.lit(rf'href="({target})"'), F.lit(1))

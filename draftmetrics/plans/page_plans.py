@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draftmetrics.functions import dom
 from draftmetrics.functions import html as h
 from draftmetrics.functions import scalars as sc
 from draftmetrics.session import ship_package
@@ -54,6 +55,14 @@ def page_sections(spark: SparkSession, d: str) -> DataFrame:
     return h.sections(pages(spark, d), "page_id", "html", ("article", "nav", "footer"))
 
 
+_DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id AS id, {_DECODED.format(_element_sql('h1'))} AS value FROM pages WHERE {_element_sql('h1')} IS NOT NULL")
+def page_selected(spark: SparkSession, d: str) -> DataFrame:
+    return dom.selected(pages(spark, d), "page_id", "html", "h1")
+
+
 @query()
 def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     return h.labelled_pairs(pages(spark, d), "page_id", "html", "h1", "p")
