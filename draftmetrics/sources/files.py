@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,23 +35,43 @@ def _decode_fallback(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("cp949", "ignore"))
 
 
-def decodes_as_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether all files at ``path`` are valid UTF-8."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.filter(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty()
+def _csv_rows(content: bytes, names: list[str]) -> Iterator[list[str | None]]:
+    """The named columns of one file in UTF-8 (a byte order mark is ignored), or else in cp949; empty fields are null."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("cp949")
+    rows = csv.reader(io.StringIO(text, newline=""), strict=True)
+    header = next(rows, None)
+    if header is None:
+        return
+    if missing := [n for n in names if n not in header]:
+        raise ValueError(f"no column {', '.join(missing)}")
+    at = [header.index(n) for n in names]
+    for row in rows:
+        if row:
+            if len(row) > len(header):
+                raise ValueError(f"too many fields: {row}")
+            yield [row[k] or None if k < len(row) else None for k in at]
 
 
 def read_table_any(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A CSV table in UTF-8, or else in cp949 (which Spark's reader doesn't know): lines are decoded, then parsed.
+    """CSV tables whose files are each in UTF-8 or else in cp949 (which Spark's reader doesn't know).
 
-    Quoted fields must not hold line breaks in the second case.
+    Columns are found by name in each file's header; quoted fields may hold line breaks.  A
+    file is parsed as a whole in one task; large UTF-8 tables are for ``read_table``.
     """
-    if decodes_as_utf8(spark, path):
-        return read_table(spark, path, schema)
-    raw = spark.read.format("binaryFile").load(path)
-    lines = raw.select(F.posexplode(F.split(_decode_fallback("content"), r"\r\n?|\n")).alias("pos", "line")).filter("pos > 0 AND line <> ''")
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    return lines.select(F.from_csv("line", kind.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    names = kind.names
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                rows = list(_csv_rows(bytes(content), names))
+                yield pd.DataFrame({"row": pd.Series(rows, dtype=object)})
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row array<string>")
+    return rows.select(*[F.col("row")[k].cast(f.dataType).alias(f.name) for k, f in enumerate(kind.fields)])
 
 
 def text_folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,8 +16,10 @@ def append_stream(stream: DataFrame, key: str, target: str, checkpoint: str, onc
         spark: SparkSession = batch.sparkSession
         try:
             old = spark.read.parquet(target).select(key)
-        except Exception:  # noqa: BLE001  the first batch makes the table
-            old = batch.select(key).limit(0)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            old = batch.select(key).limit(0)  # the first batch makes the table
         fresh = batch.join(old.distinct(), key, "left_anti").dropDuplicates([key])
         fresh.write.mode("append").parquet(target)
 
