@@ -70,5 +70,33 @@ def grade_number(c: Column) -> Column:
     return extract(c, r"(\d+)").try_cast("double")
 
 
+def strict_date(c: Column, pattern: str = "yyyy-MM-dd") -> Column:
+    """A date in exactly this form; null stays null, anything else is an error."""
+    whole = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c) if pattern == "yyyy-MM-dd" else c
+    return F.when(c.isNull(), F.lit(None).cast("date")).when(whole.isNull(), F.raise_error(F.concat(F.lit("no date: "), c)).cast("date")).otherwise(F.to_date(whole, pattern))
+
+
+def lenient_date(c: Column) -> Column:
+    """The same, with null for what is no date."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded by the value that the binary number has exactly, ties to even (2.675 to 2.67, 0.125 to 0.12).
+
+    The product with the power of ten is taken as a sum of two doubles without error.
+    """
+    x, scale = c.cast("double"), float(10**digits)
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    low = x - high
+    total = high * scale + low * scale
+    rest = (high * scale - total) + low * scale
+    n = F.floor(total).cast("double")
+    over = (total - n - 0.5) + rest
+    up = (over > 0) | ((over == 0) & (F.pmod(n, F.lit(2.0)) == 1))
+    return F.when(F.abs(x) < 1e12, (n + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
+
+
 def truncated(c: Column) -> Column:
     return c.cast("double").cast("long")

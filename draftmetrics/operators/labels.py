@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: An answer: dimensions with name, score and rationale, an overall score and notes.
-ANSWER = "dimensions array<struct<name: string, score: double, rationale: string>>, overall_score double, notes string"
+ANSWER = "struct<dimensions: array<struct<name: string, score: double, rationale: string>>, overall_score: double, notes: string>"
 
 
-def json_block(raw: Column) -> Column:
-    """The answer itself if it is JSON, else the largest block in braces if that is; null otherwise."""
-    block = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(raw).isNotNull(), raw).when(F.try_parse_json(block).isNotNull() & (block != ""), block)
+def parsed_block(raw: Column) -> Column:
+    """The answer itself if it is JSON, else the largest block in braces if that is; null otherwise.  A block is looked for only where that failed."""
+    return F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))))
 
 
 def parse_answers(df: DataFrame, raw_col: str, schema: str = ANSWER) -> DataFrame:
-    """``df`` with ``answer`` (null where there is no JSON) and ``_error``."""
-    block = json_block(F.col(raw_col))
-    return df.withColumn("_block", block).withColumn("answer", F.when(F.col("_block").isNotNull(), F.from_json("_block", schema))).withColumn("_error", F.when(F.col("_block").isNull(), "no JSON in the answer")).drop("_block")
+    """``df`` with ``answer`` (null where there is no JSON) and ``_error``; the text is parsed once."""
+    found = df.withColumn("_block", parsed_block(F.col(raw_col)))
+    return found.select(*df.columns, F.try_variant_get("_block", "$", schema).alias("answer"), F.when(F.col("_block").isNull(), "no JSON in the answer").alias("_error"))
 
 
 def flatten_answers(parsed: DataFrame, key: str) -> DataFrame:
@@ -28,8 +27,13 @@ def flatten_answers(parsed: DataFrame, key: str) -> DataFrame:
     return named.groupBy(key, "dim").agg(F.max_by("d.score", "pos").alias("score"), F.max_by("d.rationale", "pos").alias("rationale"))
 
 
+def unknown_dimensions(long: DataFrame, dims: list[str]) -> DataFrame:
+    """Rows of ``flatten_answers`` whose dimension is not named: misspelt ones, to be looked at."""
+    return long.filter(F.col("dim").isNull() | ~F.col("dim").isin(dims))
+
+
 def pivot_answers(long: DataFrame, key: str, dims: list[str]) -> DataFrame:
-    """One row for each key: ``score_<dim>`` and ``rationale_<dim>`` of the dimensions named; others are left out."""
+    """One row for each key: ``score_<dim>`` and ``rationale_<dim>`` of the dimensions named; ``unknown_dimensions`` has the others."""
     wide = long.groupBy(key)
     aggs = []
     for d in dims:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from draftmetrics.functions import text as tx
-from draftmetrics.functions.profiles import ScriptProfile
+from draftmetrics.functions.profiles import EXACT, PHRASE, START, ScriptProfile
+from draftmetrics.functions.scalars import rounded, tag_class
 
 #: Vocabularies of at most so many words are broadcast; larger ones meet the tokens in a shuffled join.
 BROADCAST_ROWS = 200_000
@@ -20,12 +22,13 @@ def checked_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
 
 
-def sentence_length(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile) -> DataFrame:
-    """(id, n_sentences, n_words, avg_words): mean words of a sentence, 0 without sentences; not rounded."""
+def sentence_length(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile, digits: int | None = None) -> DataFrame:
+    """(id, n_sentences, n_words, avg_words): mean words of a sentence, 0 without sentences; rounded only if ``digits`` are given."""
     found = docs.select(id_col, tx.sentences(F.col(text_col), profile.letters).alias("s"))
     n_words = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + F.size(tx.words(x)))
     counted = found.select(id_col, F.when(F.col("s").isNull(), 0).otherwise(F.size("s")).cast("long").alias("n_sentences"), F.coalesce(n_words, F.lit(0)).alias("n_words"))
-    return counted.withColumn("avg_words", F.coalesce(F.try_divide("n_words", "n_sentences"), F.lit(0.0)))
+    mean = F.coalesce(F.try_divide("n_words", "n_sentences"), F.lit(0.0))
+    return counted.withColumn("avg_words", mean if digits is None else rounded(mean, digits))
 
 
 def exception_candidates(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile) -> DataFrame:
@@ -39,13 +42,14 @@ def exception_summary(docs: DataFrame, id_col: str, candidates: DataFrame, simil
     """(id, exception_count, avg_similarity, examples) of every document.
 
     ``similarity`` (a column of ``candidates``) must exceed the threshold and is averaged as
-    rounded to three places; without it every candidate counts.
+    rounded to three places, the mean is rounded to three places as well; without it every
+    candidate counts.
     """
-    sim = F.round(similarity, 3) if similarity is not None else F.lit(None).cast("double")
+    sim = rounded(similarity, 3) if similarity is not None else F.lit(None).cast("double")
     kept = candidates if similarity is None else candidates.filter(similarity > threshold)
     kept = kept.withColumn("sim", sim).withColumn("rn", F.row_number().over(Window.partitionBy(id_col).orderBy("pos")))
     few = F.collect_list(F.when(F.col("rn") <= examples, F.struct("pos", "sentence")))  # ``examples`` entries at most
-    summary = kept.groupBy(id_col).agg(F.count("*").alias("n"), F.avg("sim").alias("a"), F.array_join(F.transform(F.array_sort(few), lambda x: x["sentence"]), " | ").alias("examples"))
+    summary = kept.groupBy(id_col).agg(F.count("*").alias("n"), rounded(F.avg("sim"), 3).alias("a"), F.array_join(F.transform(F.array_sort(few), lambda x: x["sentence"]), " | ").alias("examples"))
     joined = docs.select(id_col).join(summary, id_col, "left")
     return joined.select(id_col, F.coalesce("n", F.lit(0)).alias("exception_count"), F.coalesce("a", F.lit(0.0)).alias("avg_similarity"), F.coalesce("examples", F.lit("")).alias("examples"))
 
@@ -53,11 +57,9 @@ def exception_summary(docs: DataFrame, id_col: str, candidates: DataFrame, simil
 def rule_condition(token: Column, tag: Column, profile: ScriptProfile) -> dict[str, Column]:
     """For each token rule of a profile, whether a token (with its tag) meets it."""
     out = {}
-    for name, start in profile.prefix_rules:
-        cond = token.startswith(start)
-        out[name] = cond & tag.startswith(profile.prefix_tag[name]) if name in profile.prefix_tag else cond
-    for name in profile.exact_rules:
-        out[name] = token == name
+    for name, kind, pattern, start in profile.of_kind(START, EXACT):
+        cond = token.startswith(pattern) if kind == START else token == pattern
+        out[name] = cond & tag.startswith(start) if start else cond
     return out
 
 
@@ -70,9 +72,9 @@ def vague_terms(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProf
     tag = F.lit("") if tag is None else tag
     tokens = docs.select(id_col, F.explode(tx.words(text)).alias("token"))
     rules = rule_condition(F.col("token"), tag, profile)
-    starts = "|".join([re.escape(x) for _, x in profile.prefix_rules] + [re.escape(x) + "$" for x in profile.exact_rules])
+    starts = "|".join(re.escape(pattern) + ("$" if kind == EXACT else "") for _, kind, pattern, _ in profile.of_kind(START, EXACT))
     hits = tokens.filter(F.col("token").rlike(f"^(?:{starts})")).groupBy(id_col).agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
-    phrases = docs.select(id_col, *[F.coalesce(tx.phrase_count(text, p), F.lit(0)).cast("long").alias(n) for n, p in profile.phrase_rules])
+    phrases = docs.select(id_col, *[F.coalesce(tx.phrase_count(text, p), F.lit(0)).cast("long").alias(n) for n, _, p, _ in profile.of_kind(PHRASE)])
     joined = phrases.join(hits, id_col, "left")
     columns = [F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long").alias(n) for n in profile.rule_names]
     total = sum((F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in profile.rule_names[1:]), F.coalesce(F.col(f"`{profile.rule_names[0]}`"), F.lit(0)))
@@ -122,10 +124,42 @@ def pick_senses(candidates: DataFrame, key: list[str], threshold: float = 0.45)
     return picked.select(*key, grade.alias("grade"))
 
 
-def vocabulary_grade(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, profile: ScriptProfile) -> DataFrame:
-    """(id, n_sentences, n_matched, avg_grade): mean grade of tokens that the lexicon (word, grade) knows."""
-    found = docs.select(id_col, tx.sentences(F.col(text_col), profile.letters).alias("s"))
-    counted = found.select(id_col, F.coalesce(F.size(F.coalesce("s", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("n_sentences"))
-    tokens = found.select(id_col, F.explode(F.flatten(F.transform("s", tx.words))).alias("word"))
-    graded = tokens.join(checked_broadcast(lexicon.select("word", "grade")), "word").groupBy(id_col).agg(F.count("*").alias("n_matched"), F.avg("grade").alias("avg_grade"))
-    return counted.join(graded, id_col, "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
+def first_senses(lexicon: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key of a lexicon (keys, grade, sense_ord): the grade of the first sense."""
+    if "sense_ord" not in lexicon.columns:
+        return lexicon.select(*keys, "grade").groupBy(*keys).agg(F.min("grade").alias("grade"))
+    return lexicon.groupBy(*keys).agg(F.min_by("grade", "sense_ord").alias("grade"))
+
+
+def vocabulary_grade(
+    docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, profile: ScriptProfile, tokens: Callable[[Column], Column] | None = None, similarity: Callable[[Column, Column], Column] | None = None, threshold: float = 0.45, digits: int | None = None
+) -> DataFrame:
+    """(id, n_sentences, n_matched, avg_grade): mean grade of the tokens of sentences that the lexicon knows.
+
+    The lexicon has word and grade, and may have pos, sense_ord and gloss.  ``tokens`` gives a
+    sentence's (form, tag) pairs (default: words; a lexicon with pos then needs tags, whose
+    class is compared with pos).  Of several senses the one whose gloss is most similar to the
+    sentence counts (``similarity`` of sentence and gloss, by ``pick_senses``); without
+    ``similarity`` the first one.  A word counts once for each occurrence, however many senses.
+    """
+    by_class = "pos" in lexicon.columns
+    keys = ["word", "pos"] if by_class else ["word"]
+    found = docs.select(id_col, F.coalesce(tx.sentences(F.col(text_col), profile.letters), F.array().cast("array<string>")).alias("s"))
+    size = F.size("s").cast("long").alias("n_sentences")
+    if similarity is None and tokens is None:  # one row for each token; documents without any keep a row
+        opened = found.select(id_col, size, F.explode_outer(F.flatten(F.transform("s", tx.words))).alias("word"))
+    else:
+        opened = found.select(id_col, size, F.posexplode_outer("s").alias("at", "sentence"))
+        parts = tokens(F.col("sentence")) if tokens else F.transform(tx.words(F.col("sentence")), lambda w: F.struct(w.alias("form"), F.lit("").alias("tag")))
+        opened = opened.select("*", F.posexplode_outer(parts).alias("place", "token")).withColumn("word", F.col("token.form"))
+    if by_class:
+        opened = opened.withColumn("pos", tag_class(F.col("token.tag")))
+    if similarity is None:
+        graded = opened.join(checked_broadcast(first_senses(lexicon, keys)), keys, "left")
+    else:
+        senses = opened.filter("word IS NOT NULL").join(checked_broadcast(lexicon), keys).withColumn("sim", similarity(F.col("sentence"), F.col("gloss")))
+        occurrence = [id_col, "at", "place"]
+        picked = pick_senses(senses, occurrence, threshold)
+        graded = opened.select(*occurrence, "n_sentences").join(picked, occurrence, "left")
+    mean = F.avg("grade")
+    return graded.groupBy(id_col).agg(F.max("n_sentences").alias("n_sentences"), F.count("grade").alias("n_matched"), (mean if digits is None else rounded(mean, digits)).alias("avg_grade"))

@@ -6,6 +6,9 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from draftmetrics.session import scratch_table
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -19,11 +22,42 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
     def stats(c: str) -> Column:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max"))
-
-    one = df.agg(*[stats(c).alias(c) for c in columns])
-    return one.unpivot([], columns, "column", "s").select("column", "s.*")
+        return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+    one = df.agg(*[stats(c).alias(c) for c in columns]).unpivot([], columns, "column", "s")
+    joined = one.join(quantiles(df, columns, [0.25, 0.5, 0.75]), "column", "left")
+    return joined.select("column", "s.n", "s.mean", "s.std", "s.min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "s.max")
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(column, q): exact quantiles, interpolated between neighbours, of known values.
+
+    Distinct values are counted, dealt by range and ranked by running sums within their range
+    and over ranges, so no task holds all values of a column.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*").filter("value IS NOT NULL")
+    counted = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    dealt = scratch_table(counted.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = dealt.groupBy("column", "part").agg(F.sum("n").alias("n"))
+    starts = sums.select("column", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("column")).alias("total"))
+    inside = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["column", "part"]).withColumn("first", F.col("first") + F.col("start"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("value")))
+
+    place = [(F.col("total") - 1) * s for s in shares]
+    found = placed.groupBy("column", "total").agg(*[at(g(p)).alias(f"{n}{k}") for k, p in enumerate(place) for n, g in (("l", F.floor), ("h", F.ceil))])
+    q = [F.when(F.ceil(p) == F.floor(p), F.col(f"l{k}")).otherwise((F.ceil(p) - p) * F.col(f"l{k}") + (p - F.floor(p)) * F.col(f"h{k}")) for k, p in enumerate(place)]
+    return found.select("column", F.array(*q).alias("q"))
+
+
+def info(df: DataFrame) -> DataFrame:
+    """(position, column, dtype, n_rows, n_known) of every column."""
+    counted = null_profile(df, df.columns)
+    kinds = df.sparkSession.createDataFrame([(k, c, t) for k, (c, t) in enumerate(df.dtypes)], "position int, column string, dtype string")
+    return kinds.join(counted, "column").select("position", "column", "dtype", "n_rows", (F.col("n_rows") - F.col("n_null")).alias("n_known"))
 
 
 def _correlation(a: Column, b: Column) -> Column:
