@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from draftmetrics.functions import scalars as sc
 from draftmetrics.functions import text as tx
 from draftmetrics.functions import vectors as vec
-from draftmetrics.functions.profiles import LATIN
+from draftmetrics.functions.profiles import EXACT, LATIN, PHRASE, START
 from draftmetrics.operators import metrics as m
 from draftmetrics.session import ship_package
 from draftmetrics.sources import sinks
@@ -56,8 +56,9 @@ def sentence_length_metric(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LENGTHS + "SELECT CAST(quality AS BIGINT) AS quality, count(*) AS n_docs, CAST(sum(n_sentences) AS BIGINT) AS n_sentences, round(avg(avg_words), 6) AS mean_avg_words FROM lengths JOIN labels USING (doc_id) GROUP BY quality")
 def quality_by_sentence_length(spark: SparkSession, d: str) -> DataFrame:
-    measured = m.sentence_length(t(spark, d, "documents"), "doc_id", "text", LATIN)
-    joined = measured.join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    # labels first: only labelled documents are cut into sentences
+    labelled = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    joined = m.sentence_length(labelled, "doc_id", "text", LATIN).join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     return joined.groupBy(F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"), F.round(F.avg("avg_words"), 6).alias("mean_avg_words"))
 
 
@@ -82,12 +83,12 @@ def _vague(spark: SparkSession, d: str) -> DataFrame:
     return m.vague_terms(t(spark, d, "documents"), "doc_id", "text", LATIN, _tag(F.col("token")))
 
 
-_RULE_SQL = [f"count(*) FILTER (starts_with(w, '{s}'){' AND ends_with(w, ' + chr(39) + 'ing' + chr(39) + ')' if n in LATIN.prefix_tag else ''})" for n, s in LATIN.prefix_rules] + [f"count(*) FILTER (w = '{n}')" for n in LATIN.exact_rules]
-_TOKEN_NAMES = LATIN.rule_names[: len(_RULE_SQL)]
+_RULE_SQL = [f"count(*) FILTER ({f"starts_with(w, '{p}')" if kind == START else f"w = '{p}'"}{" AND ends_with(w, 'ing')" if tag else ''})" for _, kind, p, tag in LATIN.of_kind(START, EXACT)]
+_TOKEN_NAMES = [n for n, *_ in LATIN.of_kind(START, EXACT)]
 _VAGUE_SQL = rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS w FROM documents),
 r AS (SELECT doc_id, {', '.join(f'{c} AS "{n}"' for c, n in zip(_RULE_SQL, _TOKEN_NAMES))} FROM w GROUP BY doc_id),
-p AS (SELECT doc_id, {', '.join(f"CAST(len(regexp_extract_all(regexp_replace(text, '{chr(92)}s+', ' ', 'g'), '{pat}')) AS BIGINT)" + f' AS "{n}"' for n, pat in LATIN.phrase_rules)} FROM documents),
+p AS (SELECT doc_id, {', '.join(f"CAST(len(regexp_extract_all(regexp_replace(text, '{chr(92)}s+', ' ', 'g'), '{pat}')) AS BIGINT)" + f' AS "{n}"' for n, _, pat, _ in LATIN.of_kind(PHRASE))} FROM documents),
 v AS (SELECT p.doc_id, {', '.join(f'coalesce("{n}", 0) AS "{n}"' for n in LATIN.rule_names)} FROM p LEFT JOIN r USING (doc_id))
 """
 
@@ -151,6 +152,38 @@ def vocab_grade(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("avg_grade", F.round("avg_grade", 6))
 
 
+_SENSE_CLASS = "CASE WHEN ends_with({w}, 'ing') THEN '동사' WHEN ends_with({w}, 'ly') THEN '형용사' ELSE '명사' END"
+
+
+@query(
+    rf"""
+WITH {SENTENCES},
+sent2 AS (SELECT doc_id, s, row_number() OVER () AS sid FROM sent),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}')) AS word FROM benchmark),
+lex AS (SELECT word, {_SENSE_CLASS.format(w="word")} AS pos, k AS sense_ord, CAST((length(word) + 2 * k) % 5 + 1 AS DOUBLE) AS grade, (length(word) * (k + 1)) % 7 AS gloss FROM w, range(3) r(k) WHERE k <= length(word) % 3),
+tok AS (SELECT doc_id, sid, length(s) AS n, unnest(x) AS word, generate_subscripts(x, 1) AS place FROM (SELECT *, regexp_extract_all(s, '{WORD}') AS x FROM sent2)),
+c AS (SELECT doc_id, sid, place, sense_ord, grade, ((n + gloss) % 10) / 10.0 AS sim FROM tok JOIN lex ON lex.word = tok.word AND lex.pos = {_SENSE_CLASS.format(w="tok.word")}),
+r AS (SELECT *, count(*) OVER p AS k, max(sim) OVER p AS best, row_number() OVER (PARTITION BY doc_id, sid, place ORDER BY sim DESC, sense_ord) AS by_sim, row_number() OVER (PARTITION BY doc_id, sid, place ORDER BY sense_ord) AS by_ord FROM c WINDOW p AS (PARTITION BY doc_id, sid, place)),
+g AS (SELECT doc_id, count(*) AS n_matched, round(avg(grade), 6) AS avg_grade FROM r WHERE CASE WHEN k = 1 OR best < 0.45 THEN by_ord = 1 ELSE by_sim = 1 END GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_sentences FROM sent GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_matched, 0) AS n_matched, avg_grade FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+)
+def vocab_senses(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three senses for each (word, class); their similarity to a sentence is a rule on lengths, with ties."""
+    word = F.col("word")
+    words = t(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
+    senses = words.select("word", sc.tag_class(_sense_tag(word)).alias("pos"), F.explode(F.sequence(F.lit(0), F.length("word") % 3)).alias("sense_ord"))
+    lexicon = senses.withColumn("grade", ((F.length("word") + 2 * F.col("sense_ord")) % 5 + 1).cast("double")).withColumn("gloss", (F.length("word") * (F.col("sense_ord") + 1)) % 7)
+    tokens = lambda s: F.transform(tx.words(s), lambda w: F.struct(w.alias("form"), _sense_tag(w).alias("tag")))
+    out = m.vocabulary_grade(t(spark, d, "documents"), "doc_id", "text", lexicon, LATIN, tokens, lambda s, gloss: ((F.length(s) + gloss) % 10) / 10)
+    return out.withColumn("avg_grade", F.round("avg_grade", 6))
+
+
+def _sense_tag(word):
+    return F.when(word.endswith("ing"), "VV").when(word.endswith("ly"), "VA").otherwise("NNG")
+
+
 def _first_vectors(spark: SparkSession, d: str, n: int) -> list[list[float]]:
     """The first vectors by id: as many as there are exemplars."""
     return [list(r["embedding"]) for r in t(spark, d, "embeddings").orderBy("vec_id").limit(n).collect()]

@@ -5,11 +5,13 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from draftmetrics.functions import dom
 from draftmetrics.functions import html as h
 from draftmetrics.functions import scalars as sc
 from draftmetrics.functions import text as tx
 from draftmetrics.functions import vectors as vec
 from draftmetrics.functions.profiles import HANGUL
+from draftmetrics.operators import engines
 from draftmetrics.operators import features as ft
 from draftmetrics.operators import labels as lb
 from draftmetrics.operators import metrics as m
@@ -62,6 +64,7 @@ def test_vague_terms(spark):
     r = {x.id: x for x in m.vague_terms(docs, "id", "text", HANGUL, tag).collect()}
     assert (r[1]["적절히"], r[1]["일정하게"], r[1]["필요 시"], r[1]["가끔"], r[1]["어느 정도"], r[1]["할 수도"], r[1]["일정 수준"]) == (1, 1, 2, 2, 1, 1, 1)
     assert r[1].total == 9 and r[2].total == 0 and len(r[1]) == 32
+    assert list(r[1].asDict())[1:5] == ["적절히", "충분히", "일부", "일정하게"] and list(r[1].asDict())[-2:] == ["자주", "total"]
 
 
 def test_top_tokens_break_ties_by_first_appearance(spark):
@@ -223,3 +226,208 @@ def test_append_stream_is_idempotent(spark, tmp_path):
         append_stream(stream, "id", target, str(tmp_path / "cp")).awaitTermination()
         spark.createDataFrame([(2, "z"), (3, "c")], "id long, x string").write.mode("append").parquet(source)
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("digits", [2, 3])
+def test_rounding_is_that_of_the_binary_value(spark, digits):
+    import random
+
+    rng = random.Random(1)
+    values = [2.675, 0.125, 0.375, 1.005, 2.5, -2.675, -0.125, 0.0, 1e9 + 0.005, 3.14159, 1 / 3] + [rng.uniform(-100, 100) for _ in range(3000)] + [k / 8 for k in range(-40, 40)] + [round(rng.uniform(0, 9), digits + 1) for _ in range(3000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sc.rounded(F.col("v"), digits).alias("r")).collect()
+    assert all(x.r == round(x.v, digits) for x in got)
+
+
+def test_strict_dates(spark):
+    assert one(spark, "2020-06-01", sc.strict_date) == dt.date(2020, 6, 1) and one(spark, None, sc.strict_date) is None
+    for bad in ("2020-6-1", "2020-02-30", "01.06.2020", "", "2020-06-01 "):
+        with pytest.raises(Exception):
+            one(spark, bad, sc.strict_date)
+        assert one(spark, bad, sc.lenient_date) is None
+
+
+def test_senses_count_each_occurrence_once(spark):
+    docs = spark.createDataFrame([(1, "법률을 정하고 법률을 지킨다."), (2, "없음"), (3, None)], "id long, text string")
+    lexicon = spark.createDataFrame([("법률을", "명사", 0, 1.0, 3), ("법률을", "명사", 1, 5.0, 9), ("법률을", "동사", 0, 3.0, 9), ("정하고", "명사", 0, 2.0, 0)], "word string, pos string, sense_ord int, grade double, gloss int")
+    tokens = lambda s: F.transform(tx.words(s), lambda w: F.struct(w.alias("form"), F.lit("NNG").alias("tag")))
+
+    def grades(**options):
+        return {r.id: (r.n_sentences, r.n_matched, r.avg_grade) for r in m.vocabulary_grade(docs, "id", "text", lexicon, HANGUL, tokens, **options).collect()}
+
+    assert grades() == {1: (1, 3, pytest.approx(4 / 3)), 2: (0, 0, None), 3: (0, 0, None)}
+    assert grades(similarity=lambda s, gloss: gloss / 10)[1] == (1, 3, 4.0)  # the second sense is nearer
+    assert grades(similarity=lambda s, gloss: gloss / 100)[1][2] == pytest.approx(4 / 3)  # neither is near enough
+    assert grades(similarity=lambda s, gloss: F.lit(0.8))[1][2] == pytest.approx(4 / 3)  # a tie goes to the first
+    assert grades(digits=3)[1][2] == 1.333
+    several = m.vocabulary_grade(docs, "id", "text", lexicon.drop("pos", "gloss"), HANGUL)
+    assert several.filter("id = 1").first().n_matched == 3
+
+
+PAGE = """<div class="section"><h4>법사위 회의정보</h4><table><tbody><tr><td class="mtngName x"><span> 제1차
+ 회의 </span><i><span>no</span></i></td></tr></tbody></table></div>
+<table><caption>소관위 회의정보 표</caption><tbody><tr><td class="mtngName"><span>소위</span><span> </span></td></tr></table>
+<ul class="member_list_img"><li><a href="https://x/assembly.go.kr/members/1"><p class="jdang">가당</p></a></li><li><p class="jdang b">나당</p></ul>
+<input id="pager_pages_text" value=" (1/2 페이지)"><div class="paging-navigation"><a class="number" onclick="fnSearch(9)">9</a></div><a onclick="fnSearch(70)">x</a> / 55 페이지"""
+
+
+def test_tables_by_heading_and_caption():
+    assert dom.meeting_names(PAGE) == [("소관위 회의정보", "소위"), ("법사위 회의정보", "제1차 회의")]
+    assert dom.meeting_names(None) == [] and dom.meeting_names("<h4>본회의 심의정보</h4><table></table>") == []
+    root = dom.parse(PAGE)
+    assert [n.text() for n in root.select("ul.member_list_img p.jdang")] == ["가당", "나당"]
+    assert [n.attributes["href"][-1] for n in root.select("ul.member_list_img a[href*='assembly.go.kr/members']")] == ["1"]
+    assert len(root.select("td.mtngName > span")) == 3 and len(root.select("td.mtngName span")) == 4
+
+
+def test_pages_are_counted_in_the_pager_alone():
+    assert dom.page_count(PAGE) == 2
+    assert dom.page_count(PAGE.replace("(1/2 페이지)", "")) == 9
+    assert dom.page_count("fnSearch(3) / 4 페이지") == 1 and dom.page_count(None) == 1
+
+
+def test_profiles():
+    old = "<dl><dt>정당</dt><dd>가</dd><dt>당선횟수</dt><dd>3선 <b>(제20대)</b></dd></dl>"
+    new = "<div class='jeonzik_left_info'><div class='profile_info'><dl><dt>초선</dt><dd>(제21대)</dd></dl></div></div>"
+    assert dom.profile_text(old) == "3선 (제20대)" and dom.profile_text(new) == "초선 (제21대)"
+    assert dom.profile_text("<dt>당선횟수</dt><dd> </dd>" + new) == "초선 (제21대)"
+    assert dom.profile_text("<dt>당선횟수 </dt><dd>2선</dd>") is None and dom.profile_text(None) is None
+
+
+def test_pages_as_tables(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, None)], "id long, html string")
+    assert sorted((r.section[:2], r.name) for r in dom.meetings(pages, "id", "html").collect()) == [("법사", "제1차 회의"), ("소관", "소위")]
+    assert [r.value for r in dom.selected(pages, "id", "html", "p.jdang").orderBy("value").collect()] == ["가당", "나당"]
+    assert one(spark, '<h3 class="a detailh3" title="[7] T">x</h3>', lambda c: h.titled_element(c, "h3", "detailh3")) == "[7] T"
+    assert one(spark, '<h3 class="detailh3">[8]</h3>', lambda c: h.titled_element(c, "h3", "detailh3")) == "[8]"
+    assert one(spark, '<p class="x tit y">t</p>', lambda c: h.element(c, "p", "tit")) == "t"
+
+
+def test_tables_decide_on_their_encoding_one_by_one(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('word,grade\n다만,3\n"두\n줄",\n'.encode("cp949"))
+    (tmp_path / "b.csv").write_bytes("﻿grade,word\n4,그러나\n\n5,가\n".encode())
+    got = files.read_table_any(spark, str(tmp_path), "word string, grade int").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("다만", 3), ("두\n줄", None), ("그러나", 4), ("가", 5)], key=str)
+    (tmp_path / "c.csv").write_bytes(b"other\n1\n")
+    with pytest.raises(Exception):
+        files.read_table_any(spark, str(tmp_path), "word string, grade int").collect()
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_parquet(spark.range(3), path)
+    with pytest.raises(Exception):
+        sinks.write_parquet(spark.range(5).select((F.raise_error(F.lit("no")).cast("long")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.write_parquet(spark.read.parquet(path).filter("id > 0"), path)  # from the table itself
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    sinks.write_scores(spark.createDataFrame([("m", 1, 0.5)], "model string, perm_id long, score double"), path, metric="f1_macro", n_permutations=1)
+    assert spark.read.parquet(path).first().metric == "f1_macro"
+    log = str(tmp_path / "log")
+    for _ in range(2):
+        sinks.append_failures(spark.createDataFrame([("x", "Traceback")], "path string, _error string"), log)
+    assert spark.read.parquet(log).filter("failed_at IS NOT NULL").count() == 2
+    line = sinks.report_lines(spark.createDataFrame([("svc", 0.5, 1, 2, 3, 4)], "model string, accuracy double, tn long, fp long, fn long, tp long")).first().line
+    assert line == "=== svc ===, accuracy 0.500, tn 1, fp 2, fn 3, tp 4"
+
+
+def test_info(spark):
+    got = pr.info(spark.createDataFrame([(1, None), (2, "x")], "a long, b string")).orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(0, "a", "bigint", 2, 2), (1, "b", "string", 2, 1)]
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for values in (rng.normal(size=101), rng.integers(0, 5, 50).astype(float), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "a double")
+        q = pr.quantiles(df.repartition(5), ["a"], [0.25, 0.5, 0.75]).first().q
+        assert np.allclose(q, np.quantile(values, [0.25, 0.5, 0.75]))
+    assert pr.describe(spark.createDataFrame([(None,)], "a double"), ["a"]).first().q50 is None
+
+
+def test_sessions_listings_and_caches(spark, tmp_path):
+    class Board:
+        """A session that must see the page before the form."""
+
+        def __init__(self):
+            self.seen = None
+
+        def get(self, url):
+            self.seen = url
+            if "bad" in url:
+                raise OSError("gone")
+            return "page"
+
+        def post(self, url, form, headers):
+            return f"{url}|{form['billId']}|{headers['Referer'] == self.seen}"
+
+    none = harvest.RetryPolicy(2, "fixed", 0.0)
+    ids = spark.createDataFrame([("A 1",), ("bad",)], "id string")
+    got = {r.id: r for r in harvest.fetch_forms(ids, "id", Board, "http://p", "http://f", "billId", policy=none).collect()}
+    assert got["A 1"].body == "http://f|A 1|True" and got["bad"].body is None and got["bad"]._error == "OSError: gone"
+
+    def listing(url):
+        if "pageNo=" not in url:
+            return "nothing"
+        return "<li>member " + url[-1] + '</li><input id="pager_pages_text" value="1/3 페이지">'
+
+    pages = harvest.fetch_listings(spark.createDataFrame([("u?x=1",)], "url string"), "url", listing, lambda body: "member" in body, none)
+    assert [(r.page, "member " + str(r.page) in r.body) for r in pages.orderBy("page").collect()] == [(1, True), (2, True), (3, True)]
+    with pytest.raises(OSError):
+        harvest.with_retries(Board().get, none, lambda s: None, raising=True)("bad")
+    waits = []
+    harvest.rest((0.5, 1.2), waits.append)
+    harvest.rest(0.0, waits.append)
+    assert len(waits) == 1 and 0.5 <= waits[0] <= 1.2
+
+    def fetch(url):
+        if url == "bad":
+            raise OSError("x")
+        return "new " + url
+
+    cache, urls = str(tmp_path / "cache"), spark.createDataFrame([("a",), ("bad",)], "url string")
+    run = lambda when, **o: {r.url: r.body for r in harvest.fetch_cached(urls, "url", fetch, cache, F.lit(when), policy=none, **o).collect()}
+    day = dt.datetime(2024, 1, 1)
+    assert run(day) == {"a": "new a", "bad": None}
+    sinks.write_parquet(spark.read.parquet(cache).withColumn("body", F.lit("kept")), cache)
+    assert run(day + dt.timedelta(hours=23))["a"] == "kept" and run(day + dt.timedelta(hours=23), use_cache=False)["a"] == "new a"
+    assert run(day + dt.timedelta(hours=25))["a"] == "new a" and spark.read.parquet(cache).count() == 1
+
+
+def test_engines(spark):
+    class Bits:
+        def encode(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    class Oracle(engines.ReplayJudge):
+        """Fails once for each document, keeps count of what it stores."""
+
+        def __init__(self):
+            engines.ReplayJudge.__init__(self, {"a": '{"dimensions": []}', "b": "no json"})
+            self.held, self.failed = [], set()
+
+        def upload(self, name, content):
+            self.held.append(name)
+            return name
+
+        def ask(self, handle, prompt):
+            if handle not in self.failed:
+                self.failed.add(handle)
+                raise OSError("busy")
+            return engines.ReplayJudge.ask(self, handle, prompt) + str(len(self.held))
+
+        def delete(self, handle):
+            self.held.remove(handle)
+
+    df = spark.createDataFrame([(1, "두 말", "a", b"x"), (2, None, "b", None)], "id long, text string, name string, content binary")
+    got = df.select("id", engines.tagged_tokens(F.col("text")).alias("k"), engines.embedded(F.col("text"), Bits).alias("e")).orderBy("id").collect()
+    assert [(t.form, t.tag) for t in got[0].k] == [("두", "NNG"), ("말", "NNG")] and got[0].e == [3.0, 1.0] and got[1].k is None and got[1].e is None
+    policy = harvest.RetryPolicy(3, "doubling", 0.0)
+    rows = {r.id: r for r in engines.judged(df.coalesce(1), "id", "name", "content", "?", Oracle, lambda raw: "{" in raw, policy).collect()}
+    assert rows["1"].raw == '{"dimensions": []}1' and rows["2"].raw is None and "no answer in" in rows["2"]._error and "Traceback" in rows["2"]._error
+
+
+def test_unknown_dimensions(spark):
+    long = spark.createDataFrame([(1, "a", 1.0, ""), (1, "misspelt", 2.0, "")], "id long, dim string, score double, rationale string")
+    assert [r.dim for r in lb.unknown_dimensions(long, ["a"]).collect()] == ["misspelt"]
