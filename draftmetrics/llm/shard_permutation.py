@@ -10,8 +10,10 @@ A keyed Feistel network over pairs (l, r) of numbers below a = ceil(sqrt(n)) per
 makes a permutation of 0 .. n - 1.  Place p goes to shard ``p % shards``, slot
 ``p // shards``: shard sizes differ by one row at most and slots have no gaps.
 
-Nulls: a null text has no bytes; null ids come first in their bucket.  An empty table
-gives an empty table.  DataFrame functions only.
+Nulls: a null text has no bytes; null ids come first in their bucket.  Repeated rows have
+places of their own.  Of a very long text only size and hashes are kept.  An empty table
+gives an empty table.  Other columns are not read, whatever their names.  DataFrame
+functions only.
 """
 
 from __future__ import annotations
