@@ -39,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -310,75 +311,73 @@ def close_by_sketch(left: list[tuple[int, np.ndarray]], right: list[tuple[int, n
     return out
 
 
-def in_blocks(together: DataFrame, compare, ddl: str) -> DataFrame:
-    """``compare(sides)`` for each pair of blocks (b1, b2): rows without b1, b2 and side, as two lists; it yields rows of ``ddl``."""
-    schema = [x.split() for x in ddl.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        now = None
-
-        def done() -> pa.RecordBatch:
-            rows = list(compare(now, held[0], held[1] or held[0]))
-            cols = list(zip(*rows)) if rows else [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[n for n, _ in schema])
-
-        for batch in batches:
-            for b1, b2, side, *rest in zip(*(col.to_pylist() for col in batch.columns)):
-                if now is not None and now != (b1, b2):
-                    yield done()
-                    held = ([], [])
-                now = (b1, b2)
-                held[side].append(rest)
-        if now is not None:
-            yield done()
-
-    return together.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side").mapInArrow(tidied(run), ddl)
-
-
 def open_members(members: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(b1, b2, side, cls, label): members of open pivots that may link to one of another component, by pairs of blocks.
 
     ``members`` is (pivot_cls, size, cls, n, label).  Every member has a home, its largest
-    pivot, and lies in one block of that home; blocks that meet at some pivot are compared
-    as a whole.  A near-copy group of g members so gives about (g / BLOCK)^2 comparisons of
-    blocks of sketches and no rows for pairs.
+    pivot, and lies in one block of that home (large homes are cut by set size first); blocks
+    that meet at some pivot, and whose sets may be alike in size, are compared as a whole.  A
+    block's sketches are one row, so a group of g members that share signatures without being
+    linked gives (g / BLOCK)^2 rows at most, each of two blocks, and none for members or pairs.
     """
     homes = members.groupBy("cls").agg(F.max(F.struct("size", "pivot_cls")).alias("h"), F.first("label").alias("label"), F.first("n").alias("n")).select("cls", "label", "n", F.col("h.pivot_cls").alias("home"))
     homes = scratch.table(homes, "jaccard-homes")
     # a home that few chose is what a larger one has left of its pivot: it joins that one
-    taken = homes.groupBy("home").agg(F.count("*").alias("chosen"))
+    taken = scratch.table(homes.groupBy("home").agg(F.count("*").alias("chosen")), "jaccard-taken")
     larger = members.select("pivot_cls", "cls").join(homes.join(taken, "home").select("cls", "home", "chosen"), "cls").groupBy(F.col("pivot_cls").alias("home")).agg(F.max(F.struct("chosen", "home")).alias("l"))
+    larger = scratch.table(larger, "jaccard-larger")
     moved = homes.join(taken, "home").join(larger, "home").withColumn("home", F.when(F.col("chosen") < BLOCK / 2, F.col("l.home")).otherwise(F.col("home"))).select("cls", "label", "n", "home")
-    parts = moved.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VOLUME)).alias("parts"))
-    blocked = scratch.table(moved.join(parts, "home").select("cls", "label", "n", F.xxhash64("home", F.pmod(F.hash("cls"), "parts")).alias("block")), "jaccard-blocks")
-    where = scratch.table(members.select("pivot_cls", "cls").join(blocked, "cls").groupBy("pivot_cls", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "jaccard-where")
+    moved = scratch.table(moved, "jaccard-moved")
+    large = moved.groupBy("home").count().filter(F.col("count") > BLOCK).select("home", F.lit(True).alias("large"))
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))  # sets that are not of neighbouring steps are never linked
+    cut = moved.join(large, "home", "left").withColumn("step", F.when(F.col("large"), step).otherwise(-1)).drop("large")
+    parts = cut.groupBy("home", "step").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VOLUME)).alias("parts"))
+    blocked = cut.join(parts, ["home", "step"]).select("cls", "label", "n", F.xxhash64("home", "step", F.pmod(F.hash("cls"), "parts")).alias("block"))
+    blocked = scratch.table(blocked, "jaccard-blocks")
+    row = F.collect_list(F.struct("cls", "label", "n", "sketch"))  # a block's members: BLOCK on average, BLOCK_VOLUME shingles
+    packed_blocks = scratch.table(blocked.join(sketches, "cls").groupBy("block").agg(row.alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")), "jaccard-packed")
+    where = members.select("pivot_cls", "cls").join(blocked, "cls").groupBy("pivot_cls", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    where = scratch.table(where.join(packed_blocks.select("block", "least", "most"), "block"), "jaccard-where")
     x, y = where.alias("x"), where.alias("y")
-    meet = x.join(y, F.expr("x.pivot_cls = y.pivot_cls AND x.block <= y.block AND NOT (x.lo = y.hi AND x.hi = y.lo AND x.lo = x.hi)")).select(F.col("x.block").alias("b1"), F.col("y.block").alias("b2")).distinct()
-    sides = meet.select(F.col("b1").alias("block"), "b1", "b2", F.lit(0).alias("side")).union(meet.filter("b1 <> b2").select(F.col("b2").alias("block"), "b1", "b2", F.lit(1).alias("side")))
-    together = blocked.join(sketches, "cls").join(sides, "block").select("b1", "b2", "side", "cls", "label", "n", "sketch")
+    alike = f"100 * x.most >= {percent} * y.least AND 100 * y.most >= {percent} * x.least"
+    meet = x.join(y, F.expr(f"x.pivot_cls = y.pivot_cls AND x.block <= y.block AND {alike} AND NOT (x.lo = y.hi AND x.hi = y.lo AND x.lo = x.hi)")).select(F.col("x.block").alias("b1"), F.col("y.block").alias("b2")).distinct()
+    side = lambda k, name: packed_blocks.select(F.col("block").alias(f"b{k}"), F.col("rows").alias(name))
+    together = meet.join(side(1, "left"), "b1").join(side(2, "right"), "b2").select("b1", "b2", "left", "right")
+
+    def sets(block: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+        """(classes, labels, (size, sketch) of each) of a block's members."""
+        cls, label, n = (block.field(c).to_numpy() for c in ("cls", "label", "n"))
+        maps = block.field("sketch")
+        values, at = maps.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(maps).to_pylist()])
+        return cls, label, [(k, values[a:b]) for k, a, b in zip(n.tolist(), at, at[1:])]
 
-    def compare(blocks: tuple[int, int], left: list, right: list) -> Iterator[tuple]:
-        close = close_by_sketch(*([(n, np.array(k, np.int64)) for _, _, n, k in side] for side in (left, right)), percent)
-        close &= np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])[None, :]
-        for side, rows, any_ in ((0, left, close.any(1)), (1, right, close.any(0))):
-            for k in np.flatnonzero(any_).tolist():
-                if side == 0 or right is not left:
-                    yield (*blocks, side, rows[k][0], rows[k][1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b1, b2 = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                left = sets(batch.column(2)[k].values)
+                right = left if b1 == b2 else sets(batch.column(3)[k].values)
+                close = close_by_sketch(left[2], right[2], percent) & (left[1][:, None] != right[1][None, :])
+                for side, (cls, label, _), any_ in ((0, left, close.any(1)), (1, right, close.any(0))):
+                    at = np.flatnonzero(any_)
+                    if len(at) and (side == 0 or b1 != b2):
+                        same = [pa.array(np.full(len(at), v, np.int64)) for v in (b1, b2, side)]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(cls[at], pa.int64()), pa.array(label[at], pa.int64())], names=["b1", "b2", "side", "cls", "label"])
 
-    return in_blocks(together, compare, "b1 long, b2 long, side long, cls long, label long")
+    return together.mapInArrow(tidied(run), "b1 long, b2 long, side long, cls long, label long")
 
 
 def verify_blocks(close: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v): labels of components that links join; each pair of blocks passes on a spanning forest of the links that it finds."""
     together = close.join(texts, "cls").select("b1", "b2", "side", "cls", "label", "text")
 
-    def compare(blocks: tuple[int, int], left: list, right: list) -> Iterator[tuple]:
-        sets = [packed_sets([t for _, _, t in side], words) for side in ([left] if right is left else [left, right])]
+    def links(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
+        """Labels that links between two lists of (label, text) join."""
         if not left or not right:
             return
+        sets = [packed_sets([t for _, t in side], words) for side in ([left] if right is left else [left, right])]
         linked = links_across(sets[0], sets[-1], percent)
-        linked &= np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])[None, :]
+        linked &= np.array([g for g, _ in left])[:, None] != np.array([g for g, _ in right])[None, :]
         parent: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -388,12 +387,30 @@ def verify_blocks(close: DataFrame, texts: DataFrame, words: int, percent: int)
             return v
 
         for i, j in zip(*(k.tolist() for k in np.nonzero(linked))):
-            u, v = find(left[i][1]), find(right[j][1])
+            u, v = find(left[i][0]), find(right[j][0])
             if u != v:
                 parent[u] = v
-                yield left[i][1], right[j][1]
+                yield left[i][0], right[j][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        now = None
+
+        def done() -> pa.RecordBatch:
+            rows = list(links(held[0], held[0] if now[0] == now[1] else held[1]))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for b1, b2, side, _, label, text in zip(*(col.to_pylist() for col in batch.columns)):
+                if now is not None and now != (b1, b2):
+                    yield done()
+                    held = ([], [])
+                now = (b1, b2)
+                held[side].append((label, text))
+        if now is not None:
+            yield done()
 
-    return in_blocks(together, compare, "u long, v long")
+    return together.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side").mapInArrow(tidied(run), "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

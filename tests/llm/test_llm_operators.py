@@ -60,6 +60,14 @@ def test_added_tokens_are_encoded_as_by_a_plain_tokenizer(file):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_full_cache_keeps_what_is_used_most(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    t, plain = tokens.WordCachedTokenizer(queries.tokenizer_path("byte_bpe_50k.json"), 500), Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    for k in range(0, len(texts), 5):
+        for text, ids in zip(texts[k : k + 5], t.encode(texts[k : k + 5])):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_a_file_of_another_set_up_goes_to_the_library(tmp_path):
     import json
 
@@ -270,6 +278,24 @@ def test_jaccard_components_against_all_pairs(spark, seed, sizes):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_a_passage_that_many_documents_share(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(block)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = [f"v{rng.randint(0, 200)}" for _ in range(rng.choice([6, 9, 30, 60]))]
+        at = rng.randrange(len(own) + 1)
+        w = own[:at] + passage + own[at:]
+        rows.append((2 * k, " ".join(w)))
+        if rng.random() < 0.4:
+            w[rng.randrange(len(w))] = "changed"
+            rows.append((2 * k + 1, " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+
+
 def test_large_group_of_near_copies_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     monkeypatch.setattr(jaccard_join, "PIVOT_CHUNK", 8)
