@@ -41,7 +41,7 @@ WORDS = separators(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 WINDOW, SHARE = 13, 20
 BLOCK_BYTES = 16 << 20
 #: Bytes of training text that are read at once, and words of one suffix array (more where items are very long).
-SHARD_BYTES, SHARD_WORDS = 1 << 20, 1 << 18
+SHARD_BYTES, SHARD_WORDS = 1 << 19, 1 << 17
 #: (document, item) pairs that are listed before repeated ones go.
 PAIRS = 1 << 20
 

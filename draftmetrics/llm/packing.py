@@ -35,6 +35,8 @@ from draftmetrics.llm.shared import text_slices, tidied
 
 #: Ids packed together; one longer document is a group of its own.
 GROUP_TOKENS = 1 << 22
+#: Distinct words whose ids a worker holds (about 100 bytes each).
+CACHE_PIECES = 400_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, cost double"
 
@@ -86,7 +88,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from draftmetrics.llm.tokens import tokenizer
 
-        tok = tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path, CACHE_PIECES)
         tail = np.array([end_id], "<u4")
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         made = 0

@@ -19,7 +19,7 @@ import os
 
 import numpy as np
 
-#: Distinct pieces held by one worker; the cache is emptied when it is full.
+#: Distinct pieces held by one worker; when it is full the half that was used least goes.
 CACHE_PIECES = 1_000_000
 #: Marks that form one pre-token when they follow a letter (no apostrophe: contractions are split otherwise).
 MARKS = ".,;:!?%*$&#"
@@ -64,7 +64,7 @@ class _Pieces(dict):
 class WordCachedTokenizer:
     """``encode(texts)`` gives one uint32 array of ids for each text (null: empty)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,14 +77,28 @@ class WordCachedTokenizer:
         self._cacheable = set_up(self._tok) in KNOWN and len(self._mark) == 1 and not any(t.normalized for t in added)  # such a token can match text that is written otherwise
         self._model = self._tok.model
         self._mark_ids: dict[str, list[int]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
+        self._limit = cache_pieces
         self._at = _Pieces()
         self._ids = np.zeros(1 << 20, np.uint32)
         self._start = np.zeros(1 << 16, np.int64)
         self._len = np.zeros(1 << 16, np.int64)
         self._used = self._known = 0
+        self._uses = np.zeros(1 << 16, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the half of the pieces that was used most."""
+        kept = np.sort(np.argsort(-self._uses[: self._known], kind="stable")[: self._limit // 2])
+        pieces, old = list(self._at), (self._ids, self._start, self._len)
+        self._at = _Pieces()
+        self._at.update((pieces[k], n) for n, k in enumerate(kept.tolist()))
+        lens = self._len[kept]
+        total = np.cumsum(lens)
+        place = np.arange(total[-1] if len(total) else 0) + np.repeat(self._start[kept] - (total - lens), lens)
+        self._uses[: len(kept)] = self._uses[kept] // 2
+        self._uses[len(kept) :] = 0
+        self._ids[: len(place)] = old[0][place]
+        self._start[: len(kept)], self._len[: len(kept)] = total - lens, lens
+        self._used, self._known = len(place), len(kept)
 
     def _add(self, each: list[list[int]]) -> None:
         """Store the ids of the pieces met last, in their order."""
@@ -92,7 +106,7 @@ class WordCachedTokenizer:
         lens = np.fromiter(map(len, each), np.int64, k)
         flat = np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(lens.sum()))
         while n + k > len(self._start):
-            self._start, self._len = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._len))
+            self._start, self._len, self._uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._len, self._uses))
         while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         self._ids[self._used : self._used + len(flat)] = flat
@@ -150,12 +164,13 @@ class WordCachedTokenizer:
         return out  # type: ignore[return-value]
 
     def _gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._at) > CACHE_PIECES:
-            self._clear()
+        if len(self._at) > self._limit:
+            self._shrink()
         idx = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
         if self._at.new:
             self._learn(self._at.new)
             self._at.new = []
+        self._uses[: self._known] += np.bincount(idx, minlength=self._known)
         lens, starts = self._len[idx], self._start[idx]
         total = np.cumsum(lens)
         pos = np.arange(total[-1], dtype=np.int64)
@@ -216,8 +231,8 @@ class WordCachedTokenizer:
 _tokenizers: dict[str, WordCachedTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordCachedTokenizer:
+def tokenizer(path: str, cache_pieces: int = CACHE_PIECES) -> WordCachedTokenizer:
     """One tokenizer for each worker process and file."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordCachedTokenizer(path)
+        _tokenizers[path] = WordCachedTokenizer(path, cache_pieces)
     return _tokenizers[path]
