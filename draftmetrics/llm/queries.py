@@ -32,9 +32,9 @@ def held_out() -> F.Column:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/block of 1000 ids/doc_id.txt``."""
+    """Documents as files ``source/block of 1000 ids/doc_id.txt``; a null source is ``_``."""
     docs = read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return license_scan.scan_licenses(docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), path).alias("path")))
 
 
