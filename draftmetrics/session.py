@@ -31,7 +31,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 _shipped: set[str] = set()
 #: Bytes of a batch of rows that goes to a Python worker (one row may exceed it).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
