@@ -170,7 +170,7 @@ class WordCachedTokenizer:
         if self._at.new:
             self._learn(self._at.new)
             self._at.new = []
-        self._uses[: self._known] += np.bincount(idx, minlength=self._known)
+        self._uses[idx] += 1  # once for each call
         lens, starts = self._len[idx], self._start[idx]
         total = np.cumsum(lens)
         pos = np.arange(total[-1], dtype=np.int64)
@@ -204,6 +204,11 @@ class WordCachedTokenizer:
         core = w.rstrip(MARKS)
         if not core.isalpha() or not (core.isascii() or max(core) < LATIN_END):
             return None
+        if len(core) < len(w) and head in ("", " "):  # the word without its marks may be known
+            n = self._at.get(core, self._known)
+            if n < self._known:
+                a = self._start[n]
+                return self._ids[a : a + self._len[n]].tolist() + self._marks(w[len(core) :])
         if self._blank_is_token:
             text = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
             ids = [t.id for t in self._model.tokenize("\u0120" + text if head == " " else text)]
