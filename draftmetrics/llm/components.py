@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     execution can split.
     """
     scratch = scratch or Scratch(edges.sparkSession)
-    base, step = f"edges-{len(scratch.paths)}", 0
+    base, step = f"edges-{uuid.uuid4().hex}", 0
     now = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{base}-0")
     mark = None
     while True:

@@ -421,7 +421,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     """
     scratch = Scratch(docs.sparkSession)
     out = scratch.table(_classes(docs, words, percent, id_col, text_col, scratch), "jaccard-result")
-    scratch.drop(*(name for name in list(scratch.paths) if name != "jaccard-result"))
+    scratch.drop(*(name for name in list(scratch.paths) if name != "jaccard-result"), shuffles=True)
     return out
 
 
@@ -450,7 +450,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     of = scratch.table(slim.filter("n_shingles > 0").select("rid", "c1", "c2").join(used, "rid").join(classes, ["c1", "c2"]).select("rid", "cls", "n"), "jaccard-of")
     sketches = scratch.table(sets.select(F.col("rid").alias("cls"), "sketch").join(of.select("cls").distinct(), "cls"), "jaccard-sketches")
     del signed, sets, rows, pivots
-    scratch.drop("jaccard-signed", "jaccard-pivots")
+    scratch.drop("jaccard-signed", "jaccard-pivots", shuffles=True)
     as_a = of.select(F.col("rid").alias("pivot"), F.col("cls").alias("pivot_cls"), F.col("n").alias("pivot_n"))
     star = scratch.table(met.join(as_a, "pivot").join(of, "rid").filter("pivot_cls <> cls").select("pivot_cls", "pivot_n", "cls", "n").distinct(), "jaccard-star")
     near = f"100 * least(pivot_n, n) >= {percent} * greatest(pivot_n, n)"
@@ -470,7 +470,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     checked = scratch.table(verify(pairs, texts, words), "jaccard-checked")
     labels = components(checked.filter(f"100 * shared >= {percent} * either").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     del pairs, texts, checked
-    scratch.drop("jaccard-pairs", "jaccard-texts", "jaccard-wanted", "jaccard-checked")
+    scratch.drop("jaccard-pairs", "jaccard-texts", "jaccard-wanted", "jaccard-checked", shuffles=True)
     # members of one pivot's buckets have not met one another: where they are in different components, blocks of them do
     labelled = star.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = scratch.table(labelled.select("pivot_cls", "cls", "n", "label"), "jaccard-labelled")

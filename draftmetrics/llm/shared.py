@@ -66,12 +66,13 @@ class Scratch:
         self.paths[name] = write_table(df, name, compression)
         return self.spark.read.schema(df.schema).parquet(self.paths[name])
 
-    def drop(self, *names: str) -> None:
-        """Delete these tables (all that are left, if none is named) and what shuffles of finished plans hold."""
-        for name in names or list(self.paths):
+    def drop(self, *names: str, shuffles: bool = False) -> None:
+        """Delete these tables, and with ``shuffles`` what the shuffles of finished plans hold."""
+        for name in names:
             drop_table(self.spark, self.paths.pop(name))
-        gc.collect()  # plans that Python no longer refers to ...
-        self.spark.sparkContext._jvm.System.gc()  # ... let Spark's cleaner delete their shuffle files
+        if shuffles:
+            gc.collect()  # plans that Python no longer refers to ...
+            self.spark.sparkContext._jvm.System.gc()  # ... let Spark's cleaner delete their shuffle files
 
 
 @atexit.register
