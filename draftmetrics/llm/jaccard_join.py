@@ -475,7 +475,8 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     labelled = star.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = scratch.table(labelled.select("pivot_cls", "cls", "n", "label"), "jaccard-labelled")
     open_ = labelled.groupBy("pivot_cls").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    members = scratch.table(labelled.join(open_.drop("lo", "hi"), "pivot_cls"), "jaccard-open")
+    open_ = scratch.table(open_.drop("lo", "hi"), "jaccard-open-pivots")  # written, so that a pivot with very many members can be split
+    members = scratch.table(labelled.join(open_, "pivot_cls"), "jaccard-open")
     if not members.isEmpty():
         close = scratch.table(open_members(members, sketches, percent, scratch), "jaccard-close")
         if not close.isEmpty():
