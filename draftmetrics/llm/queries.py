@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmetrics.llm import decontaminate, huffman_store, jaccard_join, language_mixture, license_scan, media_ts, packing, pii_feistel, shard_permutation, url_rules
+from draftmetrics.llm import decontaminate, huffman_store, jaccard_join, language_mixture, license_scan, media_ts, packing, pii_feistel, sale_enrichment, shard_permutation, url_rules
 from draftmetrics.session import ship_package
 
 SHARDS = 24
+#: Batches of the shop's days.
+SALE_BATCHES, FIRST_SALE_DAY, SALE_DAYS = 12, 19_723, 152
 #: Rules of the URL query: (host, path, action).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -84,6 +86,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", "found.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "found.contaminated")
 
 
+def op12_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = lambda day: F.least(F.lit(SALE_BATCHES - 1), F.floor((day - FIRST_SALE_DAY) * SALE_BATCHES / SALE_DAYS))
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+    late_by = F.crc32(F.col("change_id").cast("string").cast("binary")) % 4
+    return sale_enrichment.enrich_sales(read(spark, sf_dir, "sales"), read(spark, sf_dir, "client_changes"), place(day("arrived_at")), place(day("valid_at") + late_by), SALE_BATCHES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_language_id, op3_token_store, op4_pii, op5_sharding, op6_url_filters, op7_packing, op8_jaccard_join, op9_media_columns, op10_decontamination, pipeline)
+    named = (op1_license_scan, op2_language_id, op3_token_store, op4_pii, op5_sharding, op6_url_filters, op7_packing, op8_jaccard_join, op9_media_columns, op10_decontamination, op12_sale_enrichment, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -131,6 +140,25 @@ sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hi
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+# crc32 of a decimal number in SQL: the table of its polynomial, then one step for each digit
+_SALES_SQL = f"""
+WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+changes AS (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL),
+crc AS (SELECT changes.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(change_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS crc FROM changes, tbl),
+s AS (SELECT sale_id, client_id, sold_at, CAST(least({SALE_BATCHES - 1}, floor((date_diff('day', DATE '1970-01-01', CAST(arrived_at AS DATE)) - {FIRST_SALE_DAY}) * {SALE_BATCHES} / {SALE_DAYS})) AS BIGINT) AS b FROM sales),
+c AS (SELECT change_id, client_id, valid_at, op, CAST(floor(100 * balance + 0.5) AS BIGINT) AS cents, CAST(least({SALE_BATCHES - 1}, floor((date_diff('day', DATE '1970-01-01', CAST(valid_at AS DATE)) + coalesce(crc, 0) % 4 - {FIRST_SALE_DAY}) * {SALE_BATCHES} / {SALE_DAYS})) AS BIGINT) AS b FROM crc),
+w AS (SELECT k, (SELECT max(sold_at) FROM s WHERE b < k) AS ws, (SELECT max(valid_at) FROM c WHERE b < k) AS wc FROM range({SALE_BATCHES}) r(k)),
+h AS (SELECT k, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM w),
+marked AS (SELECT c.*, coalesce(valid_at < wc, false) AS late, (SELECT min(k) FROM h x WHERE x.h >= valid_at) AS passed FROM c JOIN h ON h.k = c.b),
+v AS (SELECT *, greatest(b, min(CASE WHEN passed IS NOT NULL THEN greatest(b, passed) END) OVER (PARTITION BY client_id ORDER BY valid_at, change_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS later,
+  min(CASE WHEN passed IS NOT NULL THEN greatest(b, passed) END) OVER (PARTITION BY client_id ORDER BY valid_at, change_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) IS NULL AS stays FROM marked WHERE NOT late),
+e AS (SELECT *, CASE WHEN sold_at IS NULL THEN b ELSE coalesce((SELECT min(k) FROM h WHERE k >= b AND h > sold_at), {SALE_BATCHES}) END AS e FROM s),
+o AS (SELECT e.sale_id, e.e, count(v.b) AS n_held, arg_max({{'id': change_id, 'cents': cents, 'op': op}}, {{'t': valid_at, 'id': change_id}}) FILTER (WHERE valid_at <= sold_at) AS hit
+  FROM e LEFT JOIN v ON v.client_id = e.client_id AND v.b <= e.e AND (stays OR later >= e.e) GROUP BY e.sale_id, e.e)
+SELECT 'sale' AS rec, sale_id AS id, CAST(e AS BIGINT) AS batch, n_held, hit.id AS change_id, hit.cents AS balance_cents, hit.op AS op FROM o
+UNION ALL SELECT 'late', change_id, b, NULL, NULL, NULL, NULL FROM marked WHERE late
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": _URL_SQL, "op8_jaccard_join": _JACCARD_SQL, "op10_decontamination": _CONTAMINATION_SQL}
+    return {"op6_url_filters": _URL_SQL, "op8_jaccard_join": _JACCARD_SQL, "op10_decontamination": _CONTAMINATION_SQL, "op12_sale_enrichment": _SALES_SQL}
