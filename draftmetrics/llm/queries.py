@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmetrics.llm import decontaminate, huffman_store, jaccard_join, language_mixture, license_scan, media_ts, packing, pii_feistel, sale_enrichment, shard_permutation, url_rules
+from draftmetrics.llm import decontaminate, hard_negatives, huffman_store, jaccard_join, language_mixture, license_scan, media_ts, packing, pii_feistel, sale_enrichment, shard_permutation, token_counts, url_rules
 from draftmetrics.session import ship_package
 
 SHARDS = 24
+#: Documents with more tokens are marked.
+TOKEN_LIMIT = 512
 #: Batches of the shop's days.
 SALE_BATCHES, FIRST_SALE_DAY, SALE_DAYS = 12, 19_723, 152
 #: Rules of the URL query: (host, path, action).
@@ -86,6 +88,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", "found.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "found.contaminated")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def op12_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda day: F.least(F.lit(SALE_BATCHES - 1), F.floor((day - FIRST_SALE_DAY) * SALE_BATCHES / SALE_DAYS))
     day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
@@ -93,6 +100,11 @@ def op12_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_enrichment.enrich_sales(read(spark, sf_dir, "sales"), read(spark, sf_dir, "client_changes"), place(day("arrived_at")), place(day("valid_at") + late_by), SALE_BATCHES)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_language_id, op3_token_store, op4_pii, op5_sharding, op6_url_filters, op7_packing, op8_jaccard_join, op9_media_columns, op10_decontamination, op12_sale_enrichment, pipeline)
+    named = (op1_license_scan, op2_language_id, op3_token_store, op4_pii, op5_sharding, op6_url_filters, op7_packing, op8_jaccard_join, op9_media_columns, op10_decontamination, op11_hard_negatives, op12_sale_enrichment, op13_token_counts, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -159,6 +171,16 @@ SELECT 'sale' AS rec, sale_id AS id, CAST(e AS BIGINT) AS batch, n_held, hit.id
 UNION ALL SELECT 'late', change_id, b, NULL, NULL, NULL, NULL FROM marked WHERE late
 """
 
+_NEGATIVES_SQL = """
+WITH v AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": _URL_SQL, "op8_jaccard_join": _JACCARD_SQL, "op10_decontamination": _CONTAMINATION_SQL, "op12_sale_enrichment": _SALES_SQL}
+    return {"op6_url_filters": _URL_SQL, "op8_jaccard_join": _JACCARD_SQL, "op10_decontamination": _CONTAMINATION_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op12_sale_enrichment": _SALES_SQL}
