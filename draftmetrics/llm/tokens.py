@@ -204,6 +204,8 @@ class WordCachedTokenizer:
         core = w.rstrip(MARKS)
         if not core.isalpha() or not (core.isascii() or max(core) < LATIN_END):
             return None
+        if not self._blank_is_token and not core.lower().isalpha():  # lower case adds a mark, which joins those that follow
+            return None
         if len(core) < len(w) and head in ("", " "):  # the word without its marks may be known
             n = self._at.get(core, self._known)
             if n < self._known:
@@ -216,8 +218,6 @@ class WordCachedTokenizer:
                 ids = self._mark + ids
         else:
             text = core.lower()
-            if not text.isalpha():
-                return None
             if not text.isascii():
                 text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
             ids = [t.id for t in self._model.tokenize(text)]

@@ -51,6 +51,23 @@ def test_cached_tokenizer_equals_library(file, spark, sf):
         assert ids.tolist() == (plain.encode(text, add_special_tokens=False).ids if text else [])
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_do_not_depend_on_what_was_met_before(file):
+    """Words that lower case, marks or combining characters change, with a cache that holds them bare, and with a fresh one."""
+    plain = Tokenizer.from_file(queries.tokenizer_path(file))
+    warm = tokens.WordCachedTokenizer(queries.tokenizer_path(file))
+    rng = random.Random(11)
+    stems = ["CUMHURİYETİ", "İ", "İstanbul", "ŉ", "Aŉ", "ǰ", "ß", "STRASSE", "é", "e\u0301", "i\u0307", "I\u0307", "ŀ", "Σ", "word", "DŽ", "ª", "Ⱥ", "ı"]
+    texts = ["CUMHURİYETİ CUMHURİYETİ.", "İ İ,"]
+    texts += [" ".join(rng.choice(stems) + rng.choice(["", "", ".", ",", "!!", "%", "'s", "\u0307"]) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    warm.encode([" ".join(stems)])
+    for k, text in enumerate(texts):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert warm.encode([text])[0].tolist() == want, text
+        if k < 40:
+            assert tokens.WordCachedTokenizer(queries.tokenizer_path(file)).encode([text])[0].tolist() == want, text
+
+
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_added_tokens_are_encoded_as_by_a_plain_tokenizer(file):
     plain = Tokenizer.from_file(queries.tokenizer_path(file))
