@@ -205,10 +205,9 @@ def _highest(rows: DataFrame, batches: int) -> list[int | None]:
 
 def _hot_clients(rows: DataFrame, n: int, share: float, least: int) -> DataFrame:
     """(client, hot, bounds): clients with many rows (fewer than 1 / share), numbered, with the ends of their slices."""
-    many = rows.filter("client IS NOT NULL").groupBy("client").count().filter(F.col("count") > max(least, int(n * share))).select("client")
+    many = [r["client"] for r in rows.filter("client IS NOT NULL").groupBy("client").count().filter(F.col("count") > max(least, int(n * share))).collect()]  # fewer than 1 / share
     at = F.percentile_approx("t", [k / SLICES for k in range(1, SLICES)], 1000)
-    bounds = rows.join(F.broadcast(many), "client").groupBy("client").agg(at.alias("bounds"))
-    # at most 1 / share rows
+    bounds = rows.filter(F.col("client").isin(many)).groupBy("client").agg(at.alias("bounds"))
     return bounds.select("client", (F.row_number().over(Window.orderBy("client")) - 1).alias("hot"), F.coalesce("bounds", F.array().cast("array<long>")).alias("bounds"))
 
 
