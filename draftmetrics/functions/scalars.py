@@ -87,6 +87,8 @@ def rounded(c: Column, digits: int) -> Column:
     The product with the power of ten is taken as a sum of two doubles without error.
     """
     x, scale = c.cast("double"), float(10**digits)
+    # from 2^53 / 10^digits on doubles lie further apart than a place, so each is its own rounding
+    exact = F.abs(x) < float(2**53) / scale
     big = x * F.lit(134217729.0)
     high = big - (big - x)
     low = x - high
@@ -95,7 +97,7 @@ def rounded(c: Column, digits: int) -> Column:
     n = F.floor(total).cast("double")
     over = (total - n - 0.5) + rest
     up = (over > 0) | ((over == 0) & (F.pmod(n, F.lit(2.0)) == 1))
-    return F.when(F.abs(x) < 1e12, (n + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
+    return F.when(exact, (n + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
 
 
 def truncated(c: Column) -> Column:

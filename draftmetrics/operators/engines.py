@@ -1,12 +1,13 @@
 """Interfaces to what the library doesn't bundle: tokenizers with tags, sentence encoders, judges.
 
 A factory makes the engine; it is called once in each worker process, so a model is loaded
-where it is used.  The defaults need no model: words without tags, and answers replayed
-from a table.
+where it is used.  The defaults need no model file: words without tags, hashed character
+n-grams, and answers replayed from a table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 import traceback
@@ -15,18 +16,20 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftmetrics.operators.encoder import NgramEncoder
 from draftmetrics.sources.harvest import JUDGE_CALLS, RetryPolicy
 
-#: Engines of this process by their factory.
-_made: dict[Any, Any] = {}
+#: Engines of this process by their pickled factory.
+_made: dict[bytes, Any] = {}
 
 
 def engine(factory: Callable[[], Any]) -> Any:
-    """The factory's engine; made once in a process (for a factory that can be told from others)."""
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
+    """The factory's engine; made once in a process for each factory, told apart by what it is and closes over."""
+    key = hashlib.sha256(cloudpickle.dumps(factory)).digest()
     if key not in _made:
         _made[key] = factory()
     return _made[key]
@@ -89,7 +92,7 @@ def tagged_tokens(text: Column, factory: Callable[[], Tokenizer] = WordTokenizer
     return tag(text)
 
 
-def embedded(text: Column, factory: Callable[[], Embedder]) -> Column:
+def embedded(text: Column, factory: Callable[[], Embedder] = NgramEncoder) -> Column:
     """The encoder's vector of each text; null stays null."""
 
     @F.pandas_udf("array<double>")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from draftmetrics.functions import text as tx
 from draftmetrics.functions.profiles import EXACT, PHRASE, START, ScriptProfile
 from draftmetrics.functions.scalars import rounded, tag_class
+from draftmetrics.operators import encoder
 
 #: Vocabularies of at most so many words are broadcast; larger ones meet the tokens in a shuffled join.
 BROADCAST_ROWS = 200_000
@@ -54,6 +55,17 @@ def exception_summary(docs: DataFrame, id_col: str, candidates: DataFrame, simil
     return joined.select(id_col, F.coalesce("n", F.lit(0)).alias("exception_count"), F.coalesce("a", F.lit(0.0)).alias("avg_similarity"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
+def exception_similarity(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile, exemplars: Sequence[str] | None = None, model: DataFrame | None = None, threshold: float = 0.45) -> DataFrame:
+    """``exception_summary`` by the n-gram encoder: sentences that are similar to one of the exemplars (default: the profile's).
+
+    ``model`` is a fitted encoder; without one it is fitted on the candidate sentences of ``docs``.
+    """
+    candidates = exception_candidates(docs, id_col, text_col, profile)
+    model = encoder.fit(candidates, "sentence") if model is None else model
+    scored = encoder.with_similarity(candidates, "sentence", exemplars or profile.exemplars, model)
+    return exception_summary(docs, id_col, scored, F.col("similarity"), threshold)
+
+
 def rule_condition(token: Column, tag: Column, profile: ScriptProfile) -> dict[str, Column]:
     """For each token rule of a profile, whether a token (with its tag) meets it."""
     out = {}
@@ -124,6 +136,14 @@ def pick_senses(candidates: DataFrame, key: list[str], threshold: float = 0.45)
     return picked.select(*key, grade.alias("grade"))
 
 
+def chosen_grade(senses: Column, similarity: Callable[[Column], Column], threshold: float) -> Column:
+    """``pick_senses`` within an array of (sense_ord, grade, gloss) in that order; null without senses."""
+    # by similarity, then the first; null similarities are the smallest
+    best = F.array_max(F.transform(senses, lambda s: F.struct(similarity(s["gloss"]).alias("sim"), (-s["sense_ord"]).alias("o"), s["grade"].alias("grade"))))
+    by_order = (F.size(senses) == 1) | best["sim"].isNull() | (best["sim"] < threshold)
+    return F.when(by_order, F.get(senses, F.lit(0))["grade"]).otherwise(best["grade"])
+
+
 def first_senses(lexicon: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key of a lexicon (keys, grade, sense_ord): the grade of the first sense."""
     if "sense_ord" not in lexicon.columns:
@@ -132,15 +152,16 @@ def first_senses(lexicon: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vocabulary_grade(
-    docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, profile: ScriptProfile, tokens: Callable[[Column], Column] | None = None, similarity: Callable[[Column, Column], Column] | None = None, threshold: float = 0.45, digits: int | None = None
+    docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, profile: ScriptProfile, tokens: Callable[[Column], Column] | None = None, similarity: Callable[[Column, Column], Column] | None = None, threshold: float = 0.45, digits: int | None = None, view: Callable[[Column], Column] = lambda s: s
 ) -> DataFrame:
     """(id, n_sentences, n_matched, avg_grade): mean grade of the tokens of sentences that the lexicon knows.
 
     The lexicon has word and grade, and may have pos, sense_ord and gloss.  ``tokens`` gives a
     sentence's (form, tag) pairs (default: words; a lexicon with pos then needs tags, whose
     class is compared with pos).  Of several senses the one whose gloss is most similar to the
-    sentence counts (``similarity`` of sentence and gloss, by ``pick_senses``); without
-    ``similarity`` the first one.  A word counts once for each occurrence, however many senses.
+    sentence counts (``similarity`` of sentence and gloss, as in ``pick_senses``); without
+    ``similarity`` the first one.  ``view`` makes of a sentence what ``similarity`` gets, once
+    for each sentence.  A word counts once for each occurrence, however many senses.
     """
     by_class = "pos" in lexicon.columns
     keys = ["word", "pos"] if by_class else ["word"]
@@ -149,17 +170,16 @@ def vocabulary_grade(
     if similarity is None and tokens is None:  # one row for each token; documents without any keep a row
         opened = found.select(id_col, size, F.explode_outer(F.flatten(F.transform("s", tx.words))).alias("word"))
     else:
-        opened = found.select(id_col, size, F.posexplode_outer("s").alias("at", "sentence"))
-        parts = tokens(F.col("sentence")) if tokens else F.transform(tx.words(F.col("sentence")), lambda w: F.struct(w.alias("form"), F.lit("").alias("tag")))
-        opened = opened.select("*", F.posexplode_outer(parts).alias("place", "token")).withColumn("word", F.col("token.form"))
+        opened = found.select(id_col, size, F.explode_outer("s").alias("line"))
+        parts = tokens(F.col("line")) if tokens else F.transform(tx.words(F.col("line")), lambda w: F.struct(w.alias("form"), F.lit("").alias("tag")))
+        opened = opened.select(id_col, "n_sentences", view(F.col("line")).alias("sentence"), parts.alias("parts"))
+        opened = opened.select(id_col, "n_sentences", "sentence", F.explode_outer("parts").alias("token")).withColumn("word", F.col("token.form"))
     if by_class:
         opened = opened.withColumn("pos", tag_class(F.col("token.tag")))
     if similarity is None:
         graded = opened.join(checked_broadcast(first_senses(lexicon, keys)), keys, "left")
-    else:
-        senses = opened.filter("word IS NOT NULL").join(checked_broadcast(lexicon), keys).withColumn("sim", similarity(F.col("sentence"), F.col("gloss")))
-        occurrence = [id_col, "at", "place"]
-        picked = pick_senses(senses, occurrence, threshold)
-        graded = opened.select(*occurrence, "n_sentences").join(picked, occurrence, "left")
+    else:  # a word's senses are one array, so the choice needs no shuffle
+        senses = lexicon.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sense_ord", "grade", "gloss"))).alias("senses"))
+        graded = opened.join(checked_broadcast(senses), keys, "left").withColumn("grade", chosen_grade(F.col("senses"), lambda gloss: similarity(F.col("sentence"), gloss), threshold))
     mean = F.avg("grade")
     return graded.groupBy(id_col).agg(F.max("n_sentences").alias("n_sentences"), F.count("grade").alias("n_matched"), (mean if digits is None else rounded(mean, digits)).alias("avg_grade"))

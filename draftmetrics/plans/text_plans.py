@@ -10,6 +10,7 @@ from draftmetrics.functions import scalars as sc
 from draftmetrics.functions import text as tx
 from draftmetrics.functions import vectors as vec
 from draftmetrics.functions.profiles import EXACT, LATIN, PHRASE, START
+from draftmetrics.operators import encoder
 from draftmetrics.operators import metrics as m
 from draftmetrics.session import ship_package
 from draftmetrics.sources import sinks
@@ -75,6 +76,37 @@ def exception_sentences(spark: SparkSession, d: str) -> DataFrame:
     return m.exception_summary(docs, "doc_id", m.exception_candidates(docs, "doc_id", "text", LATIN))
 
 
+_CANDIDATES_SQL = rf"""
+WITH s AS (SELECT doc_id, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS s, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^.]+?\.') AS x FROM documents)),
+k AS (SELECT doc_id, s, pos FROM s WHERE length(s) >= 6 AND ends_with(s, '.') AND ({KEYWORDS}))"""
+_POINTS = "list_transform(string_split(trim(lower(regexp_replace({}, '\\s+', ' ', 'g'))), ''), lambda c: CAST(unicode(c) AS BIGINT))"
+_P, _D = encoder.BASE, encoder.DIMENSIONS
+#: The distinct numbers of n-grams of 2 and 3 code points ``cp``.
+_BUCKETS = f"list_distinct(list_concat(list_transform(range(1, len(cp)), lambda i: ((2 * {_P} + cp[i]) % {_D} * {_P} + cp[i + 1]) % {_D}), list_transform(range(1, len(cp) - 1), lambda i: (((3 * {_P} + cp[i]) % {_D} * {_P} + cp[i + 1]) % {_D} * {_P} + cp[i + 2]) % {_D})))"
+
+
+@query(
+    _CANDIDATES_SQL
+    + f""",
+b AS (SELECT doc_id, pos, s, {_BUCKETS} AS b FROM (SELECT *, {_POINTS.format("s")} AS cp FROM k)),
+e AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS e, b FROM b QUALIFY e <= 4),
+w AS (SELECT k, pow(ln(((SELECT count(*) FROM b) + 1) / (count(*) + 1)), 2) AS w FROM (SELECT unnest(b) AS k FROM b) GROUP BY k),
+m AS (SELECT doc_id, pos, sum(w) AS m FROM (SELECT doc_id, pos, unnest(b) AS k FROM b) JOIN w USING (k) GROUP BY doc_id, pos),
+em AS (SELECT e, sum(w) AS m FROM (SELECT e, unnest(b) AS k FROM e) JOIN w USING (k) GROUP BY e),
+dots AS (SELECT doc_id, pos, e, sum(w) AS d FROM (SELECT doc_id, pos, unnest(b) AS k FROM b) JOIN (SELECT e, unnest(b) AS k FROM e) USING (k) JOIN w USING (k) GROUP BY doc_id, pos, e),
+sims AS (SELECT doc_id, pos, max(CASE WHEN m.m * em.m > 0 THEN d / sqrt(m.m) / sqrt(em.m) ELSE 0 END) AS sim FROM dots JOIN m USING (doc_id, pos) JOIN em USING (e) GROUP BY doc_id, pos),
+h AS (SELECT doc_id, s, round(sim, 3) AS sim, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM sims JOIN k USING (doc_id, pos) WHERE sim > 0.45),
+g AS (SELECT doc_id, count(*) AS n, round(avg(sim), 3) AS a, string_agg(CASE WHEN rn <= 3 THEN s END, ' | ' ORDER BY rn) AS e FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS exception_count, coalesce(a, 0.0) AS avg_similarity, coalesce(e, '') AS examples FROM documents d LEFT JOIN g USING (doc_id)
+"""
+)
+def exception_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The encoder's similarity to four exemplars: the tables have none of their own, so the first candidate sentences are taken."""
+    docs = t(spark, d, "documents")
+    first = m.exception_candidates(docs, "doc_id", "text", LATIN).orderBy("doc_id", "pos").limit(4).collect()  # as many as there are exemplars
+    return m.exception_similarity(docs, "doc_id", "text", LATIN, [r["sentence"] for r in first] or ["-"])
+
+
 def _tag(token):
     return F.when(token.endswith("ing"), "VA").otherwise("NNG")
 
@@ -180,6 +212,33 @@ def vocab_senses(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("avg_grade", F.round("avg_grade", 6))
 
 
+@query(
+    rf"""
+WITH {SENTENCES},
+sent2 AS (SELECT doc_id, s, row_number() OVER () AS sid FROM sent),
+i AS (SELECT item_id, regexp_extract_all(text, '{WORD}') AS ws FROM benchmark),
+u AS (SELECT DISTINCT unnest(ws) AS word, item_id FROM i),
+ranked AS (SELECT word, item_id, row_number() OVER (PARTITION BY word ORDER BY item_id) - 1 AS sense_ord FROM u QUALIFY sense_ord < 3),
+lex AS (SELECT word, sense_ord, CAST((length(word) + 2 * sense_ord) % 5 + 1 AS DOUBLE) AS grade, {_BUCKETS} AS gloss FROM (SELECT ranked.*, {_POINTS.format("array_to_string(ws, ' ')")} AS cp FROM ranked JOIN i USING (item_id))),
+sb AS (SELECT doc_id, sid, s, {_BUCKETS} AS b FROM (SELECT *, {_POINTS.format("s")} AS cp FROM sent2)),
+tok AS (SELECT doc_id, sid, b, unnest(x) AS word, generate_subscripts(x, 1) AS place FROM (SELECT *, regexp_extract_all(s, '{WORD}') AS x FROM sb)),
+c AS (SELECT doc_id, sid, place, sense_ord, grade, len(list_intersect(b, gloss)) / sqrt(CAST(len(b) AS DOUBLE) * len(gloss)) AS sim FROM tok JOIN lex USING (word)),
+r AS (SELECT *, count(*) OVER p AS k, max(sim) OVER p AS best, row_number() OVER (PARTITION BY doc_id, sid, place ORDER BY sim DESC, sense_ord) AS by_sim, row_number() OVER (PARTITION BY doc_id, sid, place ORDER BY sense_ord) AS by_ord FROM c WINDOW p AS (PARTITION BY doc_id, sid, place)),
+g AS (SELECT doc_id, count(*) AS n_matched, round(avg(grade), 6) AS avg_grade FROM r WHERE CASE WHEN k = 1 OR best < 0.2 THEN by_ord = 1 ELSE by_sim = 1 END GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_sentences FROM sent GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_matched, 0) AS n_matched, avg_grade FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+)
+def gloss_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Senses told apart by the encoder's similarity of sentence and gloss (a benchmark text that has the word, up to three)."""
+    items = t(spark, d, "benchmark").select("item_id", tx.words(F.col("text")).alias("ws"))
+    order = Window.partitionBy("word").orderBy("item_id")
+    ranked = items.select("item_id", "ws", F.explode(F.array_distinct("ws")).alias("word")).withColumn("sense_ord", F.row_number().over(order) - 1).filter("sense_ord < 3")
+    lexicon = ranked.select("word", "sense_ord", ((F.length("word") + 2 * F.col("sense_ord")) % 5 + 1).cast("double").alias("grade"), encoder.buckets(F.array_join("ws", " ")).alias("gloss"))
+    out = m.vocabulary_grade(t(spark, d, "documents"), "doc_id", "text", lexicon, LATIN, similarity=encoder.overlap, threshold=0.2, view=encoder.buckets)
+    return out.withColumn("avg_grade", F.round("avg_grade", 6))
+
+
 def _sense_tag(word):
     return F.when(word.endswith("ing"), "VV").when(word.endswith("ly"), "VA").otherwise("NNG")
 
@@ -260,7 +319,13 @@ def nfkc_normalize(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", tx.nfkc(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, CAST(regexp_extract('[' || doc_id || '] x', '\\[(\\d+)\\]', 1) AS BIGINT) AS bracket_id, translate('[' || doc_id || '] x', '[]', '') AS bare FROM documents ORDER BY doc_id LIMIT 50")
+@query("SELECT doc_id, CAST(regexp_extract('[' || doc_id || '] x', '\\[(\\d+)\\]', 1) AS BIGINT) AS bracket_id, translate('[' || doc_id || '] x', '[]', '') AS bare FROM documents")
 def bracket_strip(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] x"))
-    return t(spark, d, "documents").select("doc_id", sc.bracket_id(name, anchored=True).alias("bracket_id"), F.translate(name, "[]", "").alias("bare")).orderBy("doc_id").limit(50)
+    return t(spark, d, "documents").select("doc_id", sc.bracket_id(name, anchored=True).alias("bracket_id"), F.translate(name, "[]", "").alias("bare"))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5")
+def table_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows of a table, as a reader looks at it."""
+    return t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").orderBy("doc_id").limit(5)
