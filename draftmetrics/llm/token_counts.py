@@ -3,9 +3,9 @@
 A byte-pair merge never crosses a pre-token, so a text has as many tokens as its pre-tokens
 have together.  Documents become frequency rows: one row for each block of about
 ``BLOCK_BYTES`` of text, with the block's distinct pre-tokens and, for each document, which
-of them it has and how often.  The distinct pre-tokens of all blocks are counted once each
-by the file's model, the counts are joined to the blocks' pre-tokens, go back to their blocks
-as one array each, and are summed over each document's frequencies.
+of them it has and how often.  The blocks' pre-tokens are dealt by name, so all rows of one
+meet in a task and the file's model counts it once; the counts go back to their blocks as
+one array each, are joined to the frequencies and summed over each document's.
 
 A frequent pre-token is one row in each block at most, so no key is hot: its share of the
 joined rows is at most one over a block's distinct pre-tokens.
@@ -39,7 +39,7 @@ from draftmetrics.llm.shared import table, text_slices, tidied
 from draftmetrics.llm.tokens import KNOWN, set_up
 
 #: Bytes of text in one block (a longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 24 << 20
 #: Distinct pieces that a worker holds; beyond them it begins anew.
 CACHE_PIECES = 400_000
 #: Characters that the library's pre-tokenizer gets at once.
@@ -68,7 +68,7 @@ class PreTokens:
         self.names: list[str] = []
         self._number: dict[str, int] = {}
         self._piece: dict[str, int] = {}
-        self._start, self._flat = [0], []
+        self._start, self._flat, self._used = np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.int64), 0
 
     def full(self) -> bool:
         return len(self._piece) > CACHE_PIECES
@@ -101,10 +101,17 @@ class PreTokens:
                 found.update((p, cuts[i + 1 : j]) for p, i, j in zip(some, [-1, *at], [*at, len(cuts)]))
             else:
                 found.update((p, self._cut(f" {p}")) for p in some)
-        for p in pieces:
-            self._piece[p] = len(self._piece)
-            self._flat += self._numbers(found[p])
-            self._start.append(len(self._flat))
+        each = [self._numbers(found[p]) for p in pieces]
+        n, lens = len(self._piece), np.fromiter(map(len, each), np.int64, len(each))
+        ends = self._used + np.cumsum(lens)
+        while n + len(each) >= len(self._start):
+            self._start = np.concatenate([self._start, np.zeros_like(self._start)])
+        while ends[-1] > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[self._used : ends[-1]] = np.fromiter((x for e in each for x in e), np.int64, int(lens.sum()))
+        self._start[n + 1 : n + 1 + len(each)] = ends
+        self._used = int(ends[-1])
+        self._piece.update((p, n + k) for k, p in enumerate(pieces))
 
     def _stretches(self, text: str) -> Iterator[str]:
         at = 0
@@ -140,7 +147,7 @@ class PreTokens:
             if new:
                 self._learn(new)
             at = np.fromiter(map(self._piece.__getitem__, words), np.int64, len(words))
-            start, flat = np.asarray(self._start, np.int64), np.asarray(self._flat, np.int64)
+            start, flat = self._start, self._flat
             lens = start[at + 1] - start[at]
             ends = np.cumsum(lens)
             numbers = flat[np.arange(ends[-1]) + np.repeat(start[at] - (ends - lens), lens)]
@@ -216,23 +223,29 @@ def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def count_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n) of distinct pre-tokens: the model's tokens of each."""
+    """(block, at, n) of (block, at, word): equal pre-tokens meet in one task, side by side, and the model counts each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pre_tokens(path)._tok.model
+        last, n_last = None, 0
         for batch in batches:
-            n = [len(model.tokenize(w)) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["word", "n"])
+            coded = batch.column(2).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            n = [n_last if w == last else len(model.tokenize(w)) for w in names]
+            if names:
+                last, n_last = names[-1], n[-1]
+            counts = np.asarray(n, np.int32)[coded.indices.to_numpy()] if names else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32())], names=["block", "at", "n"])
 
-    return words.mapInArrow(tidied(run), "word string, n int")
+    met = words.select("block", "at", "word").repartition("word").sortWithinPartitions("word")
+    return met.mapInArrow(tidied(run), "block long, at int, n int")
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every document."""
     blocks = table(frequencies(docs, path, id_col, text_col, block_bytes), "pre-token-frequencies")
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    counted = count_words(words.select("word").distinct(), path)
-    found = words.join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))  # a block's distinct pre-tokens
+    found = count_words(words, path).groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))  # a block's distinct pre-tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
