@@ -11,8 +11,8 @@ A frequent pre-token is one row in each block at most, so no key is hot: its sha
 joined rows is at most one over a block's distinct pre-tokens.
 
 Texts are cut at single blanks and line breaks between two other characters, where a
-pre-token always begins, and each distinct piece goes through the library's own
-pre-tokenizer; texts with other white space or with added tokens such as <|endoftext|> are
+pre-token always begins.  Latin words with marks after them are one or two pre-tokens; any
+other distinct piece goes through the library's own pre-tokenizer; texts with other white space or with added tokens such as <|endoftext|> are
 cut by that pre-tokenizer as a whole (long ones in stretches that end at such blanks).  An
 added token counts as one.  Files with a normaliser or another pre-tokenizer than the known
 byte-level one are counted by the whole tokenizer.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftmetrics.llm.shared import table, text_slices, tidied
-from draftmetrics.llm.tokens import KNOWN, set_up
+from draftmetrics.llm.tokens import BYTE_LETTERS, KNOWN, LATIN_END, MARKS, set_up
 
 #: Bytes of text in one block (a longer text is a block of its own).
 BLOCK_BYTES = 24 << 20
@@ -89,9 +89,31 @@ class PreTokens:
     def _cut(self, text: str) -> list[str]:
         return [x for x, _ in self._split.pre_tokenize_str(text)]
 
+    def _plain(self, pieces: list[str]) -> dict[str, list[int]]:
+        """Pre-tokens of Latin letters with a run of marks after them: one or two, told without the library."""
+        out: dict[str, list[int]] = {}
+        number, names = self._number, self.names
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            if not core.isalpha():
+                continue
+            if core.isascii():
+                word = "Ġ" + core
+            elif max(core) < LATIN_END:
+                word = "Ġ" + core.encode().decode("latin-1").translate(BYTE_LETTERS)
+            else:
+                continue
+            n = number.get(word)
+            if n is None:
+                n = number[word] = len(names)
+                names.append(word)
+            out[p] = [n] if len(core) == len(p) else [n, *self._numbers([p[len(core) :]])]
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
         """Pre-tokens of new pieces: "\\n" and "\\r" (the text's start) stand before a piece without a blank."""
-        inner = [p for p in pieces if p[:1] not in ("\n", "\r")]
+        plain = self._plain(pieces)
+        inner = [p for p in pieces if p not in plain and p[:1] not in ("\n", "\r")]
         found = {p: ["Ċ", *self._cut(p[1:])] if p[0] == "\n" else self._cut(p[1:]) for p in pieces if p[:1] in ("\n", "\r")}
         for k in range(0, len(inner), 20_000):
             some = inner[k : k + 20_000]
@@ -101,7 +123,7 @@ class PreTokens:
                 found.update((p, cuts[i + 1 : j]) for p, i, j in zip(some, [-1, *at], [*at, len(cuts)]))
             else:
                 found.update((p, self._cut(f" {p}")) for p in some)
-        each = [self._numbers(found[p]) for p in pieces]
+        each = [plain[p] if p in plain else self._numbers(found[p]) for p in pieces]
         n, lens = len(self._piece), np.fromiter(map(len, each), np.int64, len(each))
         ends = self._used + np.cumsum(lens)
         while n + len(each) >= len(self._start):

@@ -36,7 +36,7 @@ def test_random_texts_with_a_cache_that_is_full(monkeypatch):
     rng = random.Random(5)
     plain = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
     cutter = token_counts.PreTokens(queries.tokenizer_path("byte_bpe_50k.json"))
-    parts = ["word", "İİ", "ŉx", "é", "12", "'s", "'", "!!", " ", "  ", "\n", "\t", " ", " ", "ab", "Z", "。", "<|endoftext|>", "🙂", "\x85", "\x1f", "᠎"]
+    parts = ["word", "İİ", "ŉx", "é", "12", "'s", "'", "!!", " ", "  ", "\n", "\t", " ", " ", "ab", "Z", "。", "<|endoftext|>", "🙂", "Été", "ŉ.", "ab,;", "$x", "x$", "ª%", "\x85", "\x1f", "᠎"]
     for k in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
         (numbers,), (known,) = cutter.of([text])
