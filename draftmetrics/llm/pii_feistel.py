@@ -8,7 +8,8 @@ number below the size of its format; a keyed Feistel network with cycle walking
 that range without fixed points, and the image is written in the value's own layout
 (separators, case, date order).  Letters of any script are replaced by letters of their own
 kind and neighbourhood.  The key and the kind alone decide, so equal values stay linked
-across documents and with the key every value can be restored (``restore``).
+across documents, whatever stands beside them, and with the key and the report of what was
+replaced every text can be restored (``restore``).  The key is the caller's (``session_key``).
 
 Nulls: a null text stays null, without findings.  Repeated rows are treated alike.  Empty
 texts and tables stay as they are; very long texts are searched as a whole, one at a time.
@@ -20,13 +21,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
 from datetime import date
 from functools import lru_cache
 from ipaddress import AddressValueError, IPv6Address
 from math import isqrt
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from draftmetrics.llm.rowmap import free_name, with_text_struct
 
@@ -294,33 +298,50 @@ def _find(text: str, names: Pseudonyms) -> list[tuple[str, int, int]]:
 def replace_all(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in the new text.
 
-    Where other values would be found in the new text (a longer number can become valid by
-    chance), all its values are replaced once more, so that the text can be restored.
+    A value's pseudonym depends on key, kind and value alone, whatever stands beside it.
     """
-    if not _MAYBE.search(text):
-        return text, []
-    found = _find(text, names)
-    while found:
-        out, made, at, size = [], [], 0, 0
-        for kind, a, b in found:
-            new = names.value(kind, text[a:b])
-            size += a - at
-            made.append((kind, size, size + len(new)))
-            out += [text[at:a], new]
-            size += len(new)
-            at = b
-        text, found = "".join([*out, text[at:]]), made
-        if _find(text, names) == found:
-            break
-    return text, found
-
-
-def pseudonymise(docs: DataFrame, key: bytes = b"draftmetrics", text_col: str = "text", name: str | None = None, restore: bool = False) -> DataFrame:
+    found = _find(text, names) if _MAYBE.search(text) else []
+    return _replaced(text, found, names)
+
+
+def restore_all(text: str, found: list[tuple[str, int, int]], names: Pseudonyms) -> str:
+    """The text before ``replace_all``, which reported ``found``; ``names`` are the key's backwards.
+
+    The report is needed: beside other characters a pseudonym may look like part of another value.
+    """
+    return _replaced(text, found, names)[0]
+
+
+def _replaced(text: str, found: list[tuple[str, int, int]], names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
+    out, made, at, size = [], [], 0, 0
+    for kind, a, b in found:
+        new = names.value(kind, text[a:b]) or text[a:b]
+        size += a - at
+        made.append((kind, size, size + len(new)))
+        out += [text[at:a], new]
+        size += len(new)
+        at = b
+    return "".join([*out, text[at:]]), made
+
+
+_own_key = secrets.token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The secret of ``spark.draftmetrics.pii.key``; where it is not set, random bytes that live as long as this process.
+
+    Set it (from a secret store) where pseudonyms must agree between runs or be restored later.
+    """
+    given = spark.conf.get("spark.draftmetrics.pii.key", None)
+    return hashlib.blake2b(given.encode()).digest() if given else _own_key
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", name: str | None = None) -> DataFrame:
     """``docs`` with its text replaced and a struct column of findings (kinds, starts, ends)."""
     name = name or free_name(docs, "pii")
 
     def make():
-        names = Pseudonyms(key, restore)
+        names = Pseudonyms(key)
 
         def work(texts: list[str | None]) -> list[list]:
             done = [(None, []) if t is None else replace_all(t, names) for t in texts]
@@ -331,3 +352,14 @@ def pseudonymise(docs: DataFrame, key: bytes = b"draftmetrics", text_col: str =
     out = with_text_struct(docs, text_col, name, "text string, kinds array<string>, starts array<long>, ends array<long>", make)
     columns = [f"`{name}`.text AS `{c}`" if c == text_col else f"`{c}`" for c in docs.columns]
     return out.selectExpr(*columns, f"struct(`{name}`.kinds, `{name}`.starts, `{name}`.ends) AS `{name}`")
+
+
+def restore(docs: DataFrame, key: bytes, text_col: str = "text", name: str = "pii") -> DataFrame:
+    """The documents before ``pseudonymise``, whose findings are in column ``name`` (which goes)."""
+
+    @F.pandas_udf("string")
+    def back(text: pd.Series, kinds: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        names = Pseudonyms(key, True)
+        return pd.Series([None if t is None else restore_all(t, list(zip(k, a, b)), names) for t, k, a, b in zip(text, kinds, starts, ends)], dtype=object)
+
+    return docs.withColumn(text_col, back(F.col(text_col), *[F.col(f"`{name}`.{c}") for c in ("kinds", "starts", "ends")])).drop(name)

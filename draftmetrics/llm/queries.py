@@ -55,7 +55,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_feistel.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), name="found")
+    found = pii_feistel.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), pii_feistel.session_key(spark), name="found")
     return found.select("doc_id", "text", F.size("found.kinds").cast("long").alias("n_found"), F.array_join("found.kinds", ",").alias("kinds"))
 
 

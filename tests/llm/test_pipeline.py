@@ -58,7 +58,7 @@ def test_stage_keeps_what_the_rule_keeps(spark, sf, before, after):
 
 def test_run_gives_every_id_of_what_is_kept(spark, sf):
     expected = kept(spark, sf, "pii")
-    names, plain = pii_feistel.Pseudonyms(b"draftmetrics"), Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    names, plain = pii_feistel.Pseudonyms(pii_feistel.session_key(spark)), Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
     pieces = {}
     rows = corpus_pipeline.run(spark, sf).collect()
     for r in sorted(rows, key=lambda r: r.start):
