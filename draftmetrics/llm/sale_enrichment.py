@@ -314,7 +314,8 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, sale_batch: Column, chang
             seen = "batch={" + ",".join(map(str, range(k + 1))) + "}"  # a batch's folder appears to the query with its start
             feed = [spark.readStream.schema(ROW).option("basePath", path).parquet(f"{path}/{seen}").drop("batch").withWatermark("clock", "1 millisecond") for path in (sold_path, valid_path)]
             folded = feed[0].unionAll(feed[1]).groupBy("grp").applyInPandasWithState(fold_group(k, groups, h), OUT, "versions binary, waiting binary", "append", "EventTimeTimeout")
-            folded.writeStream.format("parquet").outputMode("append").option("path", out_path).option("checkpointLocation", state_path).trigger(availableNow=True).start().awaitTermination()
+            # more tasks than four for each core only cost their start and a file each
+            folded.coalesce(4 * spark.sparkContext.defaultParallelism).writeStream.format("parquet").outputMode("append").option("path", out_path).option("checkpointLocation", state_path).trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
