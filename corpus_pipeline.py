@@ -46,7 +46,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by pseudonyms of the same format."""
     ship_package(spark)
     name = free_name(docs, "pii")
-    out = pii_feistel.pseudonymise(docs, name=name).drop(name)
+    out = pii_feistel.pseudonymise(docs, pii_feistel.session_key(spark), name=name).drop(name)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
