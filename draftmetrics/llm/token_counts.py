@@ -267,7 +267,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, n_bytes, n_tokens) of every document."""
     blocks = table(frequencies(docs, path, id_col, text_col, block_bytes), "pre-token-frequencies")
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    found = count_words(words, path).groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))  # a block's distinct pre-tokens
+    found = count_words(words, path).groupBy("block").agg(F.collect_list(F.expr("shiftleft(CAST(at AS BIGINT), 32) + n")).alias("found"))  # a block's distinct pre-tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,9 +281,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 at = run_sum - np.repeat(before, per_doc)
                 n = np.zeros(0, np.int64)
                 if of_block.is_valid:
-                    fields = of_block.values
-                    n = np.zeros(len(fields), np.int64)
-                    n[fields.field("at").to_numpy()] = fields.field("n").to_numpy()
+                    pairs = of_block.values.to_numpy()
+                    n = np.zeros(len(pairs), np.int64)
+                    n[pairs >> 32] = pairs & 0xFFFFFFFF
                 total = np.concatenate([[0], np.cumsum(n[at] * times)])
                 tokens = total[ends] - total[ends - per_doc] + np.array(known.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([doc_ids.values, n_bytes.values, pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
