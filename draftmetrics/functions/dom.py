@@ -23,18 +23,23 @@ class Node:
         self.children: list[Node | str] = []
 
     def walk(self) -> Iterator[Node]:
-        """All elements below, in document order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """All elements below, in document order; nesting may be of any depth."""
+        return (c for c in self._below(()) if isinstance(c, Node))
 
     def strings(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in ("script", "style"):
-                yield from c.strings()
+        return (c for c in self._below(("script", "style")) if isinstance(c, str))
+
+    def _below(self, closed: tuple[str, ...]) -> Iterator[Node | str]:
+        """Elements and texts below, in document order, but for what is in elements named in ``closed``."""
+        stack = [iter(self.children)]
+        while stack:
+            c = next(stack[-1], None)
+            if c is None:
+                stack.pop()
+                continue
+            yield c
+            if isinstance(c, Node) and c.tag not in closed:
+                stack.append(iter(c.children))
 
     def text(self, separator: str = " ") -> str:
         """Its trimmed texts, joined, with single blanks."""

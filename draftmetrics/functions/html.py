@@ -74,25 +74,28 @@ class _Text(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, list[str]]] = []
+        self.open: list[tuple[str, str, int]] = []  # tag, class, its first piece of text
+        self.pieces: list[str] = []
+        self.hidden = 0
         self.done: list[tuple[str, str, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in ("br", "img", "meta", "link", "input", "hr"):
-            self.open.append((tag, dict(attrs).get("class") or "", []))
+            self.open.append((tag, dict(attrs).get("class") or "", len(self.pieces)))
+            self.hidden += tag in ("script", "style")
 
     def handle_endtag(self, tag: str) -> None:
         if any(t == tag for t, _, _ in self.open):
             while True:
-                name, css, text = self.open.pop()
-                self.done.append((name, css, " ".join("".join(text).split())))
+                name, css, first = self.open.pop()
+                self.hidden -= name in ("script", "style")
+                self.done.append((name, css, " ".join("".join(self.pieces[first:]).split())))
                 if name == tag:
                     break
 
     def handle_data(self, data: str) -> None:
-        if not any(t in ("script", "style") for t, _, _ in self.open):
-            for _, _, text in self.open:
-                text.append(data)
+        if not self.hidden:
+            self.pieces.append(data)
 
 
 def parse_elements(html: str | None) -> list[tuple[str, str, str]]:

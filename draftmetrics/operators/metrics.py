@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from draftmetrics.functions import text as tx
-from draftmetrics.functions.profiles import EXACT, PHRASE, START, ScriptProfile
+from draftmetrics.functions.profiles import EXACT, HANGUL, PHRASE, START, ScriptProfile
 from draftmetrics.functions.scalars import rounded, tag_class
-from draftmetrics.operators import encoder
+from draftmetrics.operators import encoder, morphology
 
 #: Vocabularies of at most so many words are broadcast; larger ones meet the tokens in a shuffled join.
 BROADCAST_ROWS = 200_000
@@ -75,17 +75,25 @@ def rule_condition(token: Column, tag: Column, profile: ScriptProfile) -> dict[s
     return out
 
 
-def vague_terms(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile, tag: Column | None = None) -> DataFrame:
+def vague_terms(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile, tag: Column | None = None, morphemes: DataFrame | None = None) -> DataFrame:
     """Counts of every vague term in fixed order, and their total; a token may meet several rules.
 
-    ``tag`` is an expression over the token column ``token`` (default: no tags).
+    Tokens are words, with ``tag`` as an expression over the token column ``token`` (default:
+    no tags), or ``morphemes`` (id, form, tag, n) as ``morphology.tokens_of`` gives them.  A Hangul
+    profile whose rules ask for tags gets morphemes by the default model if neither is given.
     """
     text = F.col(text_col)
-    tag = F.lit("") if tag is None else tag
-    tokens = docs.select(id_col, F.explode(tx.words(text)).alias("token"))
-    rules = rule_condition(F.col("token"), tag, profile)
-    starts = "|".join(re.escape(pattern) + ("$" if kind == EXACT else "") for _, kind, pattern, _ in profile.of_kind(START, EXACT))
-    hits = tokens.filter(F.col("token").rlike(f"^(?:{starts})")).groupBy(id_col).agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    if tag is None and morphemes is None and profile is HANGUL:
+        morphemes = morphology.tokens_of(docs, id_col, text_col, morphology.default_model(docs.sparkSession))
+    if morphemes is not None:
+        tokens = morphemes.select(id_col, F.col("form").alias("token"), "tag", "n")
+        rules = rule_condition(F.col("token"), F.col("tag"), profile)
+        hits = tokens.groupBy(id_col).agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(n) for n, c in rules.items()])
+    else:
+        tokens = docs.select(id_col, F.explode(tx.words(text)).alias("token"))
+        rules = rule_condition(F.col("token"), F.lit("") if tag is None else tag, profile)
+        starts = "|".join(re.escape(pattern) + ("$" if kind == EXACT else "") for _, kind, pattern, _ in profile.of_kind(START, EXACT))
+        hits = tokens.filter(F.col("token").rlike(f"^(?:{starts})")).groupBy(id_col).agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
     phrases = docs.select(id_col, *[F.coalesce(tx.phrase_count(text, p), F.lit(0)).cast("long").alias(n) for n, _, p, _ in profile.of_kind(PHRASE)])
     joined = phrases.join(hits, id_col, "left")
     columns = [F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long").alias(n) for n in profile.rule_names]

@@ -12,6 +12,7 @@ from draftmetrics.functions import vectors as vec
 from draftmetrics.functions.profiles import EXACT, LATIN, PHRASE, START
 from draftmetrics.operators import encoder
 from draftmetrics.operators import metrics as m
+from draftmetrics.operators import morphology as mo
 from draftmetrics.session import ship_package
 from draftmetrics.sources import sinks
 from draftmetrics.sources.files import clean_lexicon
@@ -325,6 +326,19 @@ def bracket_strip(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", sc.bracket_id(name, anchored=True).alias("bracket_id"), F.translate(name, "[]", "").alias("bare"))
 
 
+@query()
+def morpheme_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Morphemes of every document: benchmark words as stems, a few endings, other words unknown."""
+    ship_package(spark)
+    stems = t(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("form")).groupBy("form").agg(F.lit("NNG").alias("tag"), F.count("*").alias("count"))
+    endings = spark.createDataFrame([(x, "EC", 20) for x in ("ing", "s", "er", "ly", "able", "tion")], "form string, tag string, count long")
+    pairs = {(mo.START, "NNG"): 0.2, ("NNG", mo.END): 0.7, ("NNG", "EC"): 1.0, ("NNG", "NNG"): 3.0, ("EC", mo.END): 0.3, (mo.START, "SL"): 1.0, ("SL", mo.END): 0.1, (mo.START, "SN"): 1.0, ("SN", mo.END): 0.1}
+    found = mo.tokens_of(t(spark, d, "documents"), "doc_id", "text", mo.Model(mo.surfaces(stems.unionByName(endings)), pairs))
+    of = lambda tag: F.coalesce(F.sum(F.when(F.col("tag") == tag, F.col("n"))), F.lit(0))
+    counts = found.groupBy("doc_id").agg(of("NNG").alias("n_stems"), of("EC").alias("n_endings"), of("SL").alias("n_unknown"), F.count("*").alias("n_distinct"))
+    return t(spark, d, "documents").select("doc_id").join(counts, "doc_id", "left").na.fill(0)
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5")
 def table_preview(spark: SparkSession, d: str) -> DataFrame:
     """The first rows of a table, as a reader looks at it."""

@@ -61,3 +61,13 @@ def test_engines_are_told_apart_by_what_they_hold():
 @pytest.mark.parametrize("x,digits", [(1234567890123.456, 2), (-1234567890123.456, 2), (4503599627370495.5, 0), (4503599627370496.0, 2), (9.5e15, 1), (70000000000000.016, 2), (1e300, 3)])
 def test_large_values_are_rounded(spark, x, digits):
     assert spark.createDataFrame([(x,)], "x double").select(sc.rounded(F.col("x"), digits)).first()[0] == round(x, digits)
+
+
+def test_deeply_nested_pages():
+    from draftmetrics.functions import dom, html
+
+    page = "<div>" + "<p>x " * 3000 + "</div><h1>end</h1>"
+    root = dom.parse(page)
+    assert len(root.select("p")) == 3000 and root.text().endswith("x end") and [n.text() for n in root.select("h1")] == ["end"]
+    assert html.parse_elements(page)[-1] == ("h1", "", "end")
+    assert dom.parse("<p>a<script>b</script><style>c</style>d</p>").text() == "a d"
