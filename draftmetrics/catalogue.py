@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftmetrics.plans import order_plans, page_plans, text_plans
+from draftmetrics.plans import order_plans, page_plans, stream_plans, text_plans
 
-_PLANS = (text_plans, page_plans, order_plans)
+_PLANS = (text_plans, page_plans, order_plans, stream_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

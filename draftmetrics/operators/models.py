@@ -1,30 +1,38 @@
-"""Classifiers of the experiment grid: MLlib on whole tables; folds, permutations and extremely randomised trees by fits in workers."""
+"""Classifiers of the experiment grid, on whole tables.
+
+Single linear models are MLlib's; folds, grids and the linear models of permutations are
+fitted together (``linear_fits``), trees level by level (``trees``).  Only the forests of
+permuted labels are fits in workers on a bounded sample of training rows.
+"""
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmetrics.operators import fits
+from draftmetrics.operators import fits, linear_fits
+from draftmetrics.operators import trees as tree_growth
 from draftmetrics.operators.experiments import balanced_weights, cv_summary, scores, standardize, stratified_folds, stratified_split
 from draftmetrics.operators.fits import MODELS, Fit
 from draftmetrics.session import scratch_table
 
-#: Training rows that a fit in a worker sees at most; a larger training set is sampled by hash (documented bound).
+#: Training rows that a forest of permuted labels sees at most; a larger training set is sampled by hash (documented bound).
 FIT_ROWS = 200_000
-#: Permuted fits whose models are held at once: linear ones, and forests (a quarter of a MB for 400 trees).
-LINEAR_BLOCK, FOREST_BLOCK = 1000, 100
-#: Trees that one task grows.
-TASK_TREES = 25
+#: Permuted forests whose models are held at once (a quarter of a MB for 400 trees).
+FOREST_BLOCK = 100
+#: Runs of a grid whose jobs are submitted side by side.
+RUNS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -78,9 +86,19 @@ def linear_svc(train: DataFrame, c: float = 1.0, max_iter: int = 100):
     return LinearSVC(featuresCol="x", labelCol="label", weightCol="weight", regParam=_strength(train, c), standardization=False, maxIter=max_iter).fit(train)
 
 
-def random_forest(train: DataFrame, trees: int = 400, depth: int = 5, seed: int = 0):
-    """Class weights are global, not computed anew for each bootstrap sample."""
-    return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", maxBins=256, seed=seed).fit(train)
+def cross_fitted_margins(train: DataFrame, features: list[str], id_col: str, folds: int = 5, seed: int = 0) -> DataFrame:
+    """(margin, y): each training row's margin of a support vector machine that was fitted on the other folds."""
+    dealt = scratch_table(stratified_folds(train.select(id_col, "y", *features), id_col, "y", folds, seed))
+    made = linear_fits.fit_all(dealt, features, [linear_fits.Job(fits.SVC, k) for k in range(folds)])
+    shared = train.sparkSession.sparkContext.broadcast(made)
+
+    @F.pandas_udf("double")
+    def margin(fold: pd.Series, *cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in cols])
+        every = np.stack([f.margin(x) for f in shared.value], axis=1)
+        return pd.Series(every[np.arange(len(x)), fold.to_numpy()])
+
+    return dealt.select(margin("fold", *features).alias("margin"), F.col("y").cast("int").alias("y"))
 
 
 # -- fits in workers -------------------------------------------------------------------
@@ -132,7 +150,7 @@ def confusion(rows: DataFrame, features: list[str], jobs: list[tuple[dict, int,
 
 
 @dataclass
-class ExtraTreesModel:
+class TreesModel:
     """Fitted trees and normalised importances."""
 
     fit: Fit
@@ -150,34 +168,42 @@ class ExtraTreesModel:
         return out.withColumn("prediction", (F.col("probability_1") > 0.5).cast("double"))
 
 
-def extra_trees(train: DataFrame, columns: list[str], id_col: str, trees: int = 400, depth: int = 5, seed: int = 0) -> ExtraTreesModel:
-    """Trees on all training rows (no bootstrap), grown in tasks of TASK_TREES."""
-    x, y, _ = training_matrix(train, columns, id_col)
-    shared = train.sparkSession.sparkContext.broadcast((x, y))
-    grown = _fit_all(train.sparkSession, -(-trees // TASK_TREES), lambda k: fits.fit(fits.EXTRA_TREES, *shared.value, [seed, k], min(TASK_TREES, trees - TASK_TREES * k), depth))
-    whole = Fit(fits.EXTRA_TREES, **{c: np.concatenate([getattr(g, c) for g in grown]) for c in ("feature", "threshold", "share", "gains")})
-    return ExtraTreesModel(whole, fits.importances(whole.gains).tolist())
+def grown(train: DataFrame, columns: list[str], id_col: str, kind: str = fits.FOREST, trees: int = 400, depth: int = 5, seed: int = 0) -> TreesModel:
+    """A random forest (bootstrap samples, classes balanced within each) or extremely randomised trees, on all rows of ``train``."""
+    whole = tree_growth.grow_groves(train.withColumn("fold", F.lit(0)), columns, id_col, [(kind, -1)], trees, depth, seed)[0]
+    return TreesModel(whole, fits.importances(whole.gains).tolist())
+
+
+def random_forest(train: DataFrame, columns: list[str], id_col: str, trees: int = 400, depth: int = 5, seed: int = 0) -> TreesModel:
+    return grown(train, columns, id_col, fits.FOREST, trees, depth, seed)
+
+
+def extra_trees(train: DataFrame, columns: list[str], id_col: str, trees: int = 400, depth: int = 5, seed: int = 0) -> TreesModel:
+    return grown(train, columns, id_col, fits.EXTRA_TREES, trees, depth, seed)
 
 
 # -- evaluation -----------------------------------------------------------------------------
 
 
 def predictions(df: DataFrame, features: list[str], id_col: str, model: str = "logistic", seed: int = 0, **options) -> DataFrame:
-    """(model, id, split, y, yhat) of one fit; ``df`` has y and split."""
+    """(model, id, split, y, yhat, probability_1) of one fit; ``df`` has y and split.
+
+    A support vector machine's probabilities are Platt's sigmoid of its margins, fitted on cross-fitted margins of the training rows.
+    """
     rows = scratch_table(prepared(df, features))
     train = rows.filter("split = 'train'")
     columns = [f"z_{c}" for c in features]
-    if model == "logistic":
-        out = logistic(train).transform(rows)
-    elif model == "svc":
-        out = linear_svc(train, **options).transform(rows)
-    elif model == "forest":
-        out = random_forest(train, seed=seed, **options).transform(rows)
-    elif model == "extra_trees":
-        out = extra_trees(train, columns, id_col, seed=seed, **options).transform(rows, columns)
+    if model == fits.LOGISTIC:
+        out = logistic(train).transform(rows).withColumn("probability_1", vector_to_array("probability")[1])
+    elif model == fits.SVC:
+        a, b = linear_fits.sigmoid_of_margins(scratch_table(cross_fitted_margins(train, columns, id_col, seed=seed)), "margin", "y")
+        margin = vector_to_array("rawPrediction")[1]
+        out = linear_svc(train, **options).transform(rows).withColumn("probability_1", 1 / (1 + F.exp(margin * a + b)))
+    elif model in (fits.FOREST, fits.EXTRA_TREES):
+        out = grown(train, columns, id_col, model, seed=seed, **options).transform(rows, columns)
     else:
         raise ValueError(model)
-    return out.select(F.lit(model).alias("model"), F.col(id_col), "split", F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
+    return out.select(F.lit(model).alias("model"), F.col(id_col), "split", F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"), "probability_1")
 
 
 def fold_confusion(df: DataFrame, features: list[str], id_col: str, models: tuple[str, ...] = MODELS, folds: int = 5, seed: int = 0, trees: int = 400, depth: int = 5) -> DataFrame:
@@ -188,17 +214,22 @@ def fold_confusion(df: DataFrame, features: list[str], id_col: str, models: tupl
     """
     train = stratified_folds(df.filter("split = 'train'"), id_col, "y", folds, seed)
     rows = scratch_table(train.unionByName(df.filter("split = 'test'").withColumn("fold", F.lit(-1))))
-    x, y, extra = training_matrix(rows.filter("fold >= 0"), features, id_col, ["fold"])
-    shared = df.sparkSession.sparkContext.broadcast((x, y, extra["fold"].to_numpy()))
     jobs = [(m, k) for m in models for k in range(-1, folds)]
+    fitted = rows.filter("fold >= 0")
+    made = fit_jobs(fitted, features, id_col, jobs, trees, depth, seed)
+    return confusion(rows, features, [({"model": m, "fold": k}, k, f) for (m, k), f in zip(jobs, made)], "fold")
 
-    def work(job: int) -> Fit:
-        x, y, fold = shared.value
-        model, k = jobs[job]
-        return fits.fit(model, x[fold != k], y[fold != k], [seed, k + 1], trees, depth)
 
-    made = _fit_all(df.sparkSession, len(jobs), work)
-    return confusion(rows, features, [({"model": m, "fold": k}, k, f) for (m, k), f in zip(jobs, made)], "fold")
+def fit_jobs(rows: DataFrame, features: list[str], id_col: str, jobs: list[tuple[str, int]], trees: int = 400, depth: int = 5, seed: int = 0) -> list[Fit]:
+    """The fits of (model, fold left out or -1) over all rows: linear ones together, trees together."""
+    linear = [k for k, (m, _) in enumerate(jobs) if m in (fits.LOGISTIC, fits.SVC)]
+    rest = [k for k in range(len(jobs)) if k not in linear]
+    made: dict[int, Fit] = {}
+    if linear:
+        made |= dict(zip(linear, linear_fits.fit_all(rows, features, [linear_fits.Job(*jobs[k]) for k in linear])))
+    if rest:
+        made |= dict(zip(rest, tree_growth.grow_groves(rows, features, id_col, [jobs[k] for k in rest], trees, depth, seed)))
+    return [made[k] for k in range(len(jobs))]
 
 
 def cross_validate(df: DataFrame, features: list[str], id_col: str, models: tuple[str, ...] = MODELS, folds: int = 5, seed: int = 0, **options) -> DataFrame:
@@ -211,14 +242,16 @@ def evaluate(df: DataFrame, runs: list[Run], id_col: str, models: tuple[str, ...
 
     ``df`` has the targets and all features.
     """
-    parts = []
-    for run in runs:
+
+    def one(run: Run) -> DataFrame:
         cut = df.filter(F.col(run.target).isNotNull()).withColumn("y", (F.col(run.target) > run.cut).cast("int")).na.drop(subset=list(run.features))
         split = stratified_split(cut, id_col, "y", run.seed)
         found = scratch_table(cross_validate(split, list(run.features), id_col, models, seed=run.seed, **options))
         folds = cv_summary(found.filter("fold >= 0"), ["model"], ["accuracy", "f1_macro"])
-        parts.append(folds.join(found.filter("fold = -1").drop("fold"), "model").withColumn("run", F.lit(run.name)))
-    return reduce(DataFrame.unionByName, parts)
+        return folds.join(found.filter("fold = -1").drop("fold"), "model").withColumn("run", F.lit(run.name))
+
+    with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:  # the driver only waits; the cluster works on several runs' jobs
+        return reduce(DataFrame.unionByName, pool.map(one, runs))
 
 
 def scores_of_cells(cells: DataFrame) -> DataFrame:
@@ -238,25 +271,32 @@ def macro_f1_of_cells() -> Column:
 def permutation_null(df: DataFrame, features: list[str], id_col: str, models: tuple[str, ...] = MODELS, permutations: int = 1000, seed: int = 0, trees: int = 400, depth: int = 5) -> DataFrame:
     """(model, perm_id, score): macro F1 on all test rows after a fit on permuted training labels; -1 is the true labels' score.
 
-    Every model sees the same permutations, drawn one after another.  Models are fitted and
-    scored in blocks, so that the driver holds a block's models at most.
+    Every model sees the same permutations.  Linear models are fitted together on all
+    training rows; forests in workers, in blocks, so that the driver holds a block's at most.
     """
     rows = scratch_table(df)
-    x, y, _ = training_matrix(rows.filter("split = 'train'"), features, id_col)
+    train = scratch_table(linear_fits.with_permutations(rows.filter("split = 'train'"), id_col, permutations, seed).withColumn("fold", F.lit(0)))
     test = rows.filter("split = 'test'").withColumn("part", F.lit(0))
-    spark = df.sparkSession
-    whole = spark.sparkContext.broadcast((x, y))
-    parts = []
-    for model in models:
-        rng = np.random.default_rng(seed)
-        block = FOREST_BLOCK if model in (fits.FOREST, fits.EXTRA_TREES) else LINEAR_BLOCK
-        for a in range(-1, permutations, block):
-            ids = list(range(a, min(permutations, a + block)))
-            drawn = spark.sparkContext.broadcast(np.stack([y if k < 0 else rng.permutation(y) for k in ids]).astype(np.int8))
-            made = _fit_blocks(spark, model, whole, drawn, ids, seed, trees, depth)
-            cells = confusion(test, features, [({"model": model, "perm_id": k}, 0, f) for k, f in zip(ids, made)], "part")
-            parts.append(scratch_table(cells.select("model", F.col("perm_id").cast("long"), macro_f1_of_cells().alias("score"))))
-            drawn.destroy()
+    spark, ids, parts = df.sparkSession, list(range(-1, permutations)), []
+
+    def scored(model: str, ids: list[int], made: list[Fit]) -> None:
+        cells = confusion(test, features, [({"model": model, "perm_id": k}, 0, f) for k, f in zip(ids, made)], "part")
+        parts.append(scratch_table(cells.select("model", F.col("perm_id").cast("long"), macro_f1_of_cells().alias("score"))))
+
+    linear = [m for m in models if m in (fits.LOGISTIC, fits.SVC)]
+    made = linear_fits.fit_all(train, features, [linear_fits.Job(m, -1, k) for m in linear for k in ids])
+    for i, m in enumerate(linear):
+        scored(m, ids, made[i * len(ids) : (i + 1) * len(ids)])
+    if len(linear) < len(models):
+        x, y, extra = training_matrix(train, features, id_col, ["bits"])
+        drawn = np.unpackbits(np.frombuffer(b"".join(extra["bits"]), np.uint8).reshape(len(y), -1), axis=1)
+        whole = spark.sparkContext.broadcast((x, y))
+        for m in [m for m in models if m not in linear]:
+            for a in range(0, len(ids), FOREST_BLOCK):
+                some = ids[a : a + FOREST_BLOCK]
+                labels = spark.sparkContext.broadcast(np.stack([y if k < 0 else drawn[:, k] for k in some]).astype(np.int8))
+                scored(m, some, _fit_blocks(spark, m, whole, labels, some, seed, trees, depth))
+                labels.destroy()
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -278,5 +318,5 @@ def coefficients(model, features: list[str], spark) -> DataFrame:
 
 def importances(model, features: list[str], spark) -> DataFrame:
     """(feature, importance) of a forest, largest first."""
-    values = model.importances if isinstance(model, ExtraTreesModel) else model.featureImportances.toArray()
+    values = model.importances if isinstance(model, TreesModel) else model.featureImportances.toArray()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -480,5 +480,6 @@ def logreg_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def forest_importances(spark: SparkSession, d: str) -> DataFrame:
+    ship_package(spark)
     rows = scratch_table(ml.prepared(document_features(spark, d), DOC_FEATURES))
-    return ml.importances(ml.random_forest(rows.filter("split = 'train'")), DOC_FEATURES, spark)
+    return ml.importances(ml.random_forest(rows.filter("split = 'train'"), DOC_FEATURES, "doc_id"), DOC_FEATURES, spark)

@@ -71,8 +71,9 @@ _scratch: list[str] = []
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder; what is written there goes when Python ends."""
-    _scratch.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
-    return _scratch[-1]
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
 
 
 def scratch_table(df: DataFrame) -> DataFrame:
@@ -82,11 +83,35 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Scratch tables of one computation that go with ``drop``, and when Python ends at the latest."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; no later plan may read them."""
+        for path in self.paths:
+            _delete(self.spark, path)
+            _scratch.remove(path)
+        self.paths = []
+
+
 @atexit.register
 def _drop_scratch() -> None:
     spark = SparkSession.getActiveSession()
     for path in _scratch:
         with contextlib.suppress(Exception):
             if spark is not None:
-                target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+                _delete(spark, path)

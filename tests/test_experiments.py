@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftmetrics.operators import experiments as ex
-from draftmetrics.operators import fits
+from draftmetrics.operators import fits, linear_fits
 from draftmetrics.operators import models as ml
+from draftmetrics.operators import trees as tree_growth
 
 
 @pytest.fixture(scope="module")
@@ -164,18 +165,101 @@ def test_permutation_null_of_every_model_on_all_test_rows(planted, monkeypatch):
     plain = ml.bounded
     monkeypatch.setattr(ml, "bounded", lambda df, id_col: plain(df, id_col, 100))
     r = ml.permutation_null(planted, ["a", "b", "c"], "id", permutations=15, trees=20).collect()
-    kept = plain(planted.filter("split = 'train'"), "id", 100).orderBy("id").toPandas()
-    x, y = kept[["a", "b", "c"]].to_numpy(), kept["y"].to_numpy()
+    # linear models see all training rows, forests the bounded sample
+    train = planted.filter("split = 'train'")
+    drawn = linear_fits.with_permutations(train, "id", 15, 0).orderBy("id").toPandas()
+    labels = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in drawn.bits]), axis=1)
+    x, y = drawn[["a", "b", "c"]].to_numpy(), drawn["y"].to_numpy()
     xt, yt = matrix(planted, "test")
     for model in ml.MODELS:
         score = {x.perm_id: x.score for x in r if x.model == model}
         assert sorted(score) == list(range(-1, 15))
         true = macro_f1(yt, fits.fit(model, x, y, [0, 0], trees=20).predict(xt))
         assert score[-1] == pytest.approx(true) or model in ("forest", "extra_trees")
-    rng = np.random.default_rng(0)
-    for k in range(3):
-        fit = fits.fit("svc", x, rng.permutation(y), [0])
-        assert next(v.score for v in r if v.model == "svc" and v.perm_id == k) == pytest.approx(macro_f1(yt, fit.predict(xt)))
+    for k in range(15):
+        assert labels[:, k].sum() == y.sum()
+        fit = fits.fit("logistic", x, labels[:, k], [0])
+        assert next(v.score for v in r if v.model == "logistic" and v.perm_id == k) == pytest.approx(macro_f1(yt, fit.predict(xt)))
+
+
+def test_fits_at_once_equal_separate_ones(spark, planted):
+    """Folds and permutations of both losses, to 1e-8 (weights) and by their objective."""
+    train = ex.stratified_folds(planted.filter("split = 'train'").withColumn("b", F.col("b") * 1000 + 5e4), "id", "y")
+    rows = linear_fits.with_permutations(train, "id", 9, 3)
+    jobs = [linear_fits.Job("logistic", k) for k in range(-1, 5)] + [linear_fits.Job("logistic", -1, k) for k in range(9)] + [linear_fits.Job("svc", 2), linear_fits.Job("svc", -1, 4)]
+    made = linear_fits.fit_all(rows, ["a", "b", "c"], jobs)
+    data = rows.orderBy("id").toPandas()
+    labels = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in data.bits]), axis=1)
+    for j, fit in zip(jobs, made):
+        on = data.fold.to_numpy() != j.left_out
+        x, y = data[["a", "b", "c"]].to_numpy()[on], (data.y.to_numpy() if j.permutation < 0 else labels[:, j.permutation])[on]
+        own = fits.fit(j.loss, x, y, [0])
+        assert np.allclose(fit.mean, own.mean) and np.allclose(fit.scale, own.scale)
+        assert np.allclose(fit.beta, own.beta, atol=1e-8 if j.loss == "logistic" else 1e-4), j
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 97, 1000])
+def test_places_are_a_permutation(n):
+    every = [linear_fits.place(np.arange(n), n, key).tolist() for key in range(4)]
+    assert all(sorted(p) == list(range(n)) for p in every)
+    assert n < 97 or len({tuple(p) for p in every}) == 4
+
+
+def test_sigmoid_is_the_best_of_a_grid(spark, planted):
+    rows = planted.withColumn("m", 2 * F.col("a") - 0.3 + F.col("b"))
+    a, b = linear_fits.sigmoid_of_margins(rows, "m", "y")
+    data = rows.toPandas()
+    m, y = data.m.to_numpy(), data.y.to_numpy()
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    loss = lambda a, b: (t * (a * m + b) + np.logaddexp(0, -(a * m + b))).sum()
+    assert a < 0 and all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in np.linspace(-1, 1, 21) for db in np.linspace(-1, 1, 21))
+
+
+def test_probabilities_of_a_support_vector_machine_rise_with_its_margin(planted):
+    got = ml.predictions(planted, ["a", "b", "c"], "id", "svc").orderBy("probability_1").toPandas()
+    assert got.probability_1.between(0, 1).all() and got.yhat.is_monotonic_increasing and got.y[got.probability_1 > 0.8].mean() > 0.7
+
+
+@pytest.mark.parametrize("kind", ["forest", "extra_trees"])
+def test_trees_grown_by_aggregates_equal_plain_ones(spark, planted, kind):
+    """Every tree against a plain growth, row by row, over the same bins and samples; any number of partitions."""
+    rows = ex.stratified_folds(planted.filter("split = 'train'"), "id", "y")
+    features, n = ["a", "b", "c"], 4
+    jobs = [(kind, -1), (kind, 3)]
+    made = tree_growth.grow_groves(rows.repartition(5), features, "id", jobs, n, 3, 7)
+    cuts = tree_growth.bin_cuts(rows, features)
+    data = rows.withColumn("key", F.xxhash64(F.col("id").cast("string"))).toPandas()
+    codes = np.stack([np.searchsorted(c, data[f], side="left") for f, c in zip(features, cuts)], axis=1)
+    weight = tree_growth.sample_weights(kind, data.key.to_numpy(), 7, np.arange(n))
+    if kind == "forest":
+        assert abs(weight.mean() - 1) < 0.1 and len(set(map(bytes, weight))) == n
+    y = data.y.to_numpy()
+    gini = lambda w0, w1: 2 * w0 * w1 / max(w0 + w1, 1e-300)
+    for (_, out), fit in zip(jobs, made):
+        for t in range(n):
+            w = np.where(data.fold == out, 0, weight[t]).astype(float)
+            both = [w[y == c].sum() for c in (0, 1)]
+            w = w * np.where(y == 1, sum(both) / 2 / both[1], sum(both) / 2 / both[0])
+            stack = [(0, np.flatnonzero(w))]
+            while stack:
+                k, on = stack.pop()
+                w0, w1 = w[on][y[on] == 0].sum(), w[on][y[on] == 1].sum()
+                assert fit.share[t, k] == pytest.approx(w1 / (w0 + w1))
+                f = fit.feature[t, k]
+                if f < 0:
+                    assert k >= 7 or gini(w0, w1) < 1e-9 or all(len(set(codes[on, c])) < 2 for c in range(3))
+                    continue
+                right = data[features[f]].to_numpy()[on] > fit.threshold[t, k]
+                assert 0 < right.sum() < len(on)
+
+                def after(cut, on=on, f=f):
+                    sides = [on[codes[on, f] <= cut], on[codes[on, f] > cut]]
+                    return sum(gini(w[s][y[s] == 0].sum(), w[s][y[s] == 1].sum()) for s in sides)
+
+                chosen = gini(w0, w1) - after(codes[on[~right], f].max())
+                if kind == "forest":
+                    assert chosen == pytest.approx(max(gini(w0, w1) - after(c) for c in range(codes[on, f].min(), codes[on, f].max())))
+                stack += [(2 * k + 1, on[~right]), (2 * k + 2, on[right])]
 
 
 def test_grid_is_the_published_one():
