@@ -36,23 +36,81 @@ from draftmetrics.llm.license_texts import FULL_TEXTS
 from draftmetrics.llm.rowmap import free_name, with_text_struct
 from draftmetrics.llm.shared import table, text_slices, tidied
 
-#: Short public licence notices, then full texts where they are at hand.
+_GNU = "licensed under the GNU {} Public License, version {}."
+_GNU_NOTICE = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License"
+_CC = ("Licensed under CC {0} 4.0.", "This work is licensed under a Creative Commons {1} 4.0 International License.")
+
+
+def _gnu(kind: str, thing: str, version: str, day: str) -> tuple[str, ...]:
+    return f"This work is {_GNU.format(kind, version)}", _GNU_NOTICE.format(thing, kind, version), f"GNU {kind.upper()} PUBLIC LICENSE Version {version}, {day}"
+
+
+#: Short public licence notices and titles, then full texts where they are at hand.
 TEMPLATES = {
+    "AGPL-3.0": _gnu("Affero General", "program", "3", "19 November 2007"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    "Artistic-1.0": ("The Artistic License. Preamble. The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control",),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "CC-BY-4.0": tuple(x.format("BY", "Attribution") for x in _CC),
+    "CC-BY-NC-4.0": tuple(x.format("BY-NC", "Attribution-NonCommercial") for x in _CC),
+    "CC-BY-NC-ND-4.0": tuple(x.format("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives") for x in _CC),
+    "CC-BY-NC-SA-4.0": tuple(x.format("BY-NC-SA", "Attribution-NonCommercial-ShareAlike") for x in _CC),
+    "CC-BY-ND-4.0": tuple(x.format("BY-ND", "Attribution-NoDerivatives") for x in _CC),
+    "CC-BY-SA-4.0": tuple(x.format("BY-SA", "Attribution-ShareAlike") for x in _CC),
+    "CC0-1.0": ("Creative Commons Legal Code. CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0."),
+    "GFDL-1.2": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    "GFDL-1.3": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    "GPL-1.0": _gnu("General", "program", "1", "February 1989"),
+    "GPL-2.0": _gnu("General", "program", "2", "June 1991"),
+    "GPL-3.0": (*_gnu("General", "program", "3", "29 June 2007"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.0": _gnu("Library General", "library", "2", "June 1991"),
+    "LGPL-2.1": _gnu("Lesser General", "library", "2.1", "February 1999"),
+    "LGPL-3.0": _gnu("Lesser General", "library", "3", "29 June 2007"),
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    "MPL-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 }
 TEMPLATES = {name: (*many, *([FULL_TEXTS[name]] if name in FULL_TEXTS else [])) for name, many in TEMPLATES.items()}
+_VARIANT = {"nc": "nc noncommercial", "nd": "nd noderivatives noderivs", "sa": "sa sharealike"}
+_GPL_KINDS = "affero lesser library documentation mozilla"
+
+
+def _tells(needs: tuple[str, ...], never: str = "") -> tuple[tuple[frozenset[str], ...], frozenset[str]]:
+    return tuple(frozenset(x.split()) for x in needs), frozenset(never.split())
+
+
+def _cc(*parts: str) -> tuple[tuple[frozenset[str], ...], frozenset[str]]:
+    return _tells(("cc creative", *(_VARIANT[p] for p in parts)), " ".join(v for p, v in _VARIANT.items() if p not in parts))
+
+
+#: Words that tell a licence from its neighbours: one of each group has to stand in what matches, none of the last set may.
+#: Where the versions of a family differ by their numbers, the numbers decide.
+TELLS = {
+    "AGPL-3.0": _tells(("affero", "3 3.0")), "Apache-2.0": _tells(("apache", "2 2.0")), "Artistic-1.0": _tells(("artistic",)),
+    "BSD-2-Clause": _tells((), "3 4"), "BSD-3-Clause": _tells((), "2 4"),
+    "CC-BY-4.0": _cc(), "CC-BY-NC-4.0": _cc("nc"), "CC-BY-NC-ND-4.0": _cc("nc", "nd"), "CC-BY-NC-SA-4.0": _cc("nc", "sa"), "CC-BY-ND-4.0": _cc("nd"), "CC-BY-SA-4.0": _cc("sa"), "CC0-1.0": _tells(("cc0", "1.0 1")),
+    "GFDL-1.2": _tells(("documentation", "1.2")), "GFDL-1.3": _tells(("documentation", "1.3")),
+    "GPL-1.0": _tells(("general", "1 1.0"), f"2 2.0 2.1 3 3.0 {_GPL_KINDS}"), "GPL-2.0": _tells(("general", "2 2.0"), f"3 3.0 2.1 {_GPL_KINDS}"), "GPL-3.0": _tells(("general", "3 3.0"), f"2 2.0 2.1 {_GPL_KINDS}"),
+    "ISC": _tells(("isc fee",)), "LGPL-2.0": _tells(("library", "2 2.0"), "affero lesser 2.1 3"), "LGPL-2.1": _tells(("lesser", "2.1"), "affero 3"), "LGPL-3.0": _tells(("lesser", "3 3.0"), "affero 2 2.0 2.1"),
+    "MIT": _tells(("mit charge",)), "MPL-1.1": _tells(("mozilla", "1.1")), "MPL-2.0": _tells(("mozilla", "2.0"), "1.1"),
+}
+#: A full text resembles its neighbours in everything else: words that only one of them has.
+FULL_TELLS = {"BSD-3-Clause": _tells(("endorse",)), "GPL-3.0": _tells(("2007",), "mozilla"), "Apache-2.0": _tells(("apache",)), "MIT": _tells(("charge",))}
+#: The same words open both BSD licences: the rest of the file tells which it is.
+WHOLE_FILE = ("BSD-2-Clause", "BSD-3-Clause")
+SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
 #: What any licence may say as well.
 GENERAL = "Proprietary"
 TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
 #: Least cosine of a line, of a whole text that is a licence file, and of a span.
-LEAST_LINE, LEAST_FILE, LEAST_SPAN = 0.6, 0.6, 0.8
+LEAST_LINE, LEAST_FILE, LEAST_SPAN = 0.6, 0.75, 0.8
+#: Templates from this many terms on are full texts.
+FULL = 100
+#: A long text that opens with a licence's title or notice, so many terms at most from its start, is a licence file as well.
+OPENING, LEAST_OPENING = 60, 0.9
 
 
 def terms(text: str) -> list[str]:
@@ -84,7 +142,8 @@ def document_frequencies(files: DataFrame, words: list[str], text_col: str = "te
 class Matcher:
     """Cosines with all templates; a word that no template has weighs as the rarest."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], frequencies: dict[str, int]):
+    def __init__(self, templates: dict[str, tuple[str, ...]], frequencies: dict[str, int], tells: dict = TELLS, full_tells: dict = FULL_TELLS):
+        self.tells: list[tuple[tuple[frozenset[str], ...], frozenset[str]]] = []
         n = frequencies.get("", 0)
         words = vocabulary(templates)
         self.column = {w: k for k, w in enumerate(words)}
@@ -97,6 +156,7 @@ class Matcher:
             v = np.bincount([self.column[w] for w in found], minlength=len(self.idf)) * self.idf
             self.names.append(name)
             self.sizes.append(len(found))
+            self.tells.append(tells.get(name, ((), frozenset())) if len(found) < FULL else full_tells.get(name, ((), frozenset())))
             rows.append(v / np.linalg.norm(v))
         self.templates = np.array(rows).reshape(len(rows), len(self.idf))
         self.squares = self.templates**2
@@ -106,6 +166,11 @@ class Matcher:
         at = [k for k in map(self.column.get, set(words)) if k is not None]
         return np.flatnonzero(self.squares[:, at].sum(1) >= least * least - 1e-9)
 
+    def told(self, k: int, words: set[str]) -> bool:
+        """Whether words say what tells template ``k`` from its neighbours."""
+        needs, never = self.tells[k]
+        return all(not group.isdisjoint(words) for group in needs) and never.isdisjoint(words)
+
     def _best(self, cosines: list[tuple[int, float]], least: float) -> tuple[str | None, float]:
         """The most similar specific licence that reaches ``least``, else the general one if it does; ties to the first."""
         passed = [(self.names[k] != GENERAL, round(min(1.0, x), 12), -k) for k, x in cosines if x >= least - 1e-12]
@@ -116,7 +181,8 @@ class Matcher:
 
     def best(self, words: list[str], least: float) -> tuple[str | None, float]:
         """Of all templates, by the cosine with these words as one vector."""
-        some = self.reachable(words, least)
+        every = set(words)
+        some = np.array([k for k in self.reachable(words, least) if self.told(k, every)], np.int64)
         if not len(some):
             return None, 0.0
         known = self.templates.shape[1] - 1
@@ -152,9 +218,24 @@ class Matcher:
                 continue
             if n not in norms:
                 norms[n] = self._span_norms(words, w, n)
-            found.append((k, float((dots / norms[n]).max())))
+            inside = self._told_spans(k, words, n)
+            if inside.any():
+                found.append((k, float((dots / norms[n])[inside].max())))
         return self._best(found, least)
 
+    def _told_spans(self, k: int, words: list[str], n: int) -> np.ndarray:
+        """Which spans of n words say what tells template ``k`` from its neighbours."""
+        needs, never = self.tells[k]
+
+        def counts(group: frozenset[str]) -> np.ndarray:
+            c = np.concatenate([[0], np.cumsum(np.fromiter((w in group for w in words), np.int64, len(words)))])
+            return c[n:] - c[:-n]
+
+        out = counts(never) == 0
+        for group in needs:
+            out &= counts(group) > 0
+        return out
+
     @staticmethod
     def _span_norms(words: list[str], w: np.ndarray, n: int) -> np.ndarray:
         counts: Counter = Counter()
@@ -171,6 +252,18 @@ class Matcher:
         return np.sqrt(np.array(out))
 
 
+def bsd(name: str | None, words: set[str]) -> str | None:
+    """Which BSD licence a file has whose opening both share."""
+    if name in WHOLE_FILE and "clause" not in words:
+        return "BSD-3-Clause" if "endorse" in words else "BSD-2-Clause"
+    return name
+
+
+def spdx_name(identifier: str) -> str:
+    """An identifier without what it says about later versions."""
+    return re.sub(r"(-only|-or-later|\+)$", "", identifier.lower())
+
+
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, text_col: str = "text", name: str | None = None) -> DataFrame:
     """``files`` with a struct column: own licence with its cosine, and the licence of a licence file."""
     name = name or free_name(files, "license_scan")
@@ -178,16 +271,24 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, te
 
     def make():
         matcher = Matcher(templates, frequencies)
+        known = {name.lower(): name for name in templates}
 
         def work(texts: list[str | None]) -> list[list]:
             own, cosine, whole, whole_cosine = [], [], [], []
             for text in texts:
                 passed, file = [], (None, 0.0)
                 words = terms(text or "")
+                stated = [known[x] for x in map(spdx_name, SPDX.findall(text or "")) if x in known]
+                passed += [(x, 1.0) for x in stated]
                 if len(matcher.reachable(words, min(LEAST_LINE, LEAST_FILE, LEAST_SPAN))):
                     file = matcher.best(words, LEAST_FILE)
-                    passed = [matcher.best(terms(part), LEAST_LINE) for part in text.split("\n")]
-                    passed = [x for x in (*passed, file, matcher.best_span(words, LEAST_SPAN)) if x[0]]
+                    if not file[0] and len(words) > FULL:
+                        file = matcher.best_span(words[:OPENING], LEAST_OPENING)
+                    lines = [matcher.best(terms(part), LEAST_LINE) for part in text.split("\n")]
+                    every = set(words)
+                    passed += [x for x in (*lines, file, matcher.best_span(words, LEAST_SPAN)) if x[0]]
+                    passed = [(bsd(x[0], every), x[1]) for x in passed]
+                    file = (bsd(file[0], every), file[1])
                 line = max(passed, key=lambda x: (x[0] != GENERAL, x[1]), default=(None, 0.0))
                 own.append(line[0])
                 cosine.append(round(line[1], 6))

@@ -776,6 +776,33 @@ def test_full_licence_texts_headers_and_notices_in_long_lines(spark):
     assert [got[i].license for i in range(20, 25)] == ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "Proprietary", None]
 
 
+NAMES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+LINES = {
+    "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "CC BY-ND 4.0": "CC-BY-ND-4.0", "GNU Lesser General Public License, version 3": "LGPL-3.0", "BSD 2-Clause": "BSD-2-Clause",
+    "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "All rights reserved.": "Proprietary",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "GPL-2.0",
+}
+
+
+def test_each_licence_has_its_own_name_or_none(spark, sf):
+    """Whole texts of this machine's licences as files, and lines of neighbours; nothing gets another's name."""
+    import pathlib
+
+    there = {n: p.read_text() for n in NAMES if (p := pathlib.Path("/usr/share/common-licenses", n)).exists()}
+    bsd2 = there.get("BSD", "").split("3. Neither")[0]
+    files = [(k, f"{n}/LICENSE", text) for k, (n, text) in enumerate(there.items())] + [(100 + k, f"{n}/x/y.txt", "plain words") for k, n in enumerate(there)]
+    files += [(200 + k, f"l{k}.txt", f"some prose\n{line}\nmore prose here") for k, line in enumerate(LINES)] + [(300, "bsd2/LICENSE", bsd2)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "'d/' || doc_id AS path", "text")
+    found = license_scan.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string").unionByName(docs)).filter("doc_id < 1000").collect()
+    got = {r.doc_id: r for r in found}
+    wrong = {n: (got[k].license, got[100 + k].license) for k, n in enumerate(there) if got[k].license not in (NAMES[n], None) or got[100 + k].license not in (NAMES[n], None)}
+    assert not wrong
+    assert sum(got[k].license == NAMES[n] and got[100 + k].license == NAMES[n] for k, n in enumerate(there)) >= len(there) - 2
+    assert {line: got[200 + k].license for k, line in enumerate(LINES)} == LINES
+    assert not bsd2 or got[300].license == "BSD-2-Clause"
+
+
 def test_cosines_against_plain_vectors_without_a_bound():
     import math
 
@@ -789,7 +816,7 @@ def test_cosines_against_plain_vectors_without_a_bound():
         rng.shuffle(words)
         texts.append(" ".join(words))
     n = Counter(w for t in texts for w in set(license_scan.terms(t)))
-    matcher = license_scan.Matcher(license_scan.TEMPLATES, {**n, "": len(texts)})
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, {**n, "": len(texts)}, {}, {})  # without the words that tell licences apart
     known = set(license_scan.vocabulary(license_scan.TEMPLATES))
     idf = lambda w: math.log((1 + len(texts)) / (1 + (n[w] if w in known else 0))) + 1
 
