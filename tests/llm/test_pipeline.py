@@ -21,7 +21,7 @@ STAGE = dict(corpus_pipeline.STAGES)
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "sales", "client_changes"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = queries.queries()[name](spark, sf)
     result = con.sql(queries.oracle_sql()[name])
