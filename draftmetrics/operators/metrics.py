@@ -75,12 +75,13 @@ def rule_condition(token: Column, tag: Column, profile: ScriptProfile) -> dict[s
     return out
 
 
-def vague_terms(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile, tag: Column | None = None, morphemes: DataFrame | None = None) -> DataFrame:
+def vague_terms(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProfile, tag: Column | Callable[[Column], Column] | None = None, morphemes: DataFrame | None = None) -> DataFrame:
     """Counts of every vague term in fixed order, and their total; a token may meet several rules.
 
-    Tokens are words, with ``tag`` as an expression over the token column ``token`` (default:
-    no tags), or ``morphemes`` (id, form, tag, n) as ``morphology.tokens_of`` gives them.  A Hangul
-    profile whose rules ask for tags gets morphemes by the default model if neither is given.
+    Tokens are words, tagged by a function ``tag`` (default: no tags) and counted in place,
+    without a shuffle; or by an expression over the column ``token``; or ``morphemes``
+    (id, form, tag, n) as ``morphology.tokens_of`` gives them.  The Hangul profile, whose rules
+    ask for tags, gets morphemes by the default model if neither is given.
     """
     text = F.col(text_col)
     if tag is None and morphemes is None and profile is HANGUL:
@@ -89,13 +90,29 @@ def vague_terms(docs: DataFrame, id_col: str, text_col: str, profile: ScriptProf
         tokens = morphemes.select(id_col, F.col("form").alias("token"), "tag", "n")
         rules = rule_condition(F.col("token"), F.col("tag"), profile)
         hits = tokens.groupBy(id_col).agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(n) for n, c in rules.items()])
+    elif isinstance(tag, Column):
+        tokens = docs.select(id_col, F.explode(tx.words(text)).alias("token")).filter(F.col("token").rlike(_starts(profile)))
+        hits = tokens.groupBy(id_col).agg(*[F.count_if(c).alias(n) for n, c in rule_condition(F.col("token"), tag, profile).items()])
     else:
-        tokens = docs.select(id_col, F.explode(tx.words(text)).alias("token"))
-        rules = rule_condition(F.col("token"), F.lit("") if tag is None else tag, profile)
-        starts = "|".join(re.escape(pattern) + ("$" if kind == EXACT else "") for _, kind, pattern, _ in profile.of_kind(START, EXACT))
-        hits = tokens.filter(F.col("token").rlike(f"^(?:{starts})")).groupBy(id_col).agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
-    phrases = docs.select(id_col, *[F.coalesce(tx.phrase_count(text, p), F.lit(0)).cast("long").alias(n) for n, _, p, _ in profile.of_kind(PHRASE)])
-    joined = phrases.join(hits, id_col, "left")
+        tag = tag or (lambda token: F.lit(""))
+        kept = docs.select(id_col, F.filter(tx.words(text), lambda w: w.rlike(_starts(profile))).alias("hits"), *_phrases(text, profile))
+        meets = lambda name: lambda w: rule_condition(w, tag(w), profile)[name]
+        counted = [F.when(F.col("hits").isNotNull(), F.size(F.filter("hits", meets(name)))).alias(name) for name, *_ in profile.of_kind(START, EXACT)]
+        return _with_total(kept.select(id_col, *counted, *[F.col(f"`{n}`") for n, *_ in profile.of_kind(PHRASE)]), id_col, profile)
+    return _with_total(docs.select(id_col, *_phrases(text, profile)).join(hits, id_col, "left"), id_col, profile)
+
+
+def _starts(profile: ScriptProfile) -> str:
+    """What a token that meets some rule looks like."""
+    return "^(?:" + "|".join(re.escape(pattern) + ("$" if kind == EXACT else "") for _, kind, pattern, _ in profile.of_kind(START, EXACT)) + ")"
+
+
+def _phrases(text: Column, profile: ScriptProfile) -> list[Column]:
+    return [F.coalesce(tx.phrase_count(text, p), F.lit(0)).cast("long").alias(n) for n, _, p, _ in profile.of_kind(PHRASE)]
+
+
+def _with_total(joined: DataFrame, id_col: str, profile: ScriptProfile) -> DataFrame:
+    """All rules' columns in the profile's order, 0 where null, and their sum."""
     columns = [F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long").alias(n) for n in profile.rule_names]
     total = sum((F.coalesce(F.col(f"`{n}`"), F.lit(0)) for n in profile.rule_names[1:]), F.coalesce(F.col(f"`{profile.rule_names[0]}`"), F.lit(0)))
     return joined.select(id_col, *columns, total.cast("long").alias("total"))

@@ -113,7 +113,7 @@ def _tag(token):
 
 
 def _vague(spark: SparkSession, d: str) -> DataFrame:
-    return m.vague_terms(t(spark, d, "documents"), "doc_id", "text", LATIN, _tag(F.col("token")))
+    return m.vague_terms(t(spark, d, "documents"), "doc_id", "text", LATIN, _tag)
 
 
 _RULE_SQL = [f"count(*) FILTER ({f"starts_with(w, '{p}')" if kind == START else f"w = '{p}'"}{" AND ends_with(w, 'ing')" if tag else ''})" for _, kind, p, tag in LATIN.of_kind(START, EXACT)]
