@@ -58,12 +58,13 @@ def plain_buckets(text: str, sizes: Sequence[int] = SIZES, dimensions: int = DIM
 def fit(sentences: DataFrame, text_col: str, sizes: Sequence[int] = SIZES, dimensions: int = DIMENSIONS) -> DataFrame:
     """One row (``weights``): for each number ln((sentences + 1) / (sentences with it + 1)), the usual smooth inverse frequency."""
     sets = sentences.select(buckets(F.col(text_col), sizes, dimensions).alias("b")).filter("b IS NOT NULL")
-    n = sets.agg(F.count("*").alias("n"))
-    seen = sets.select(F.explode("b").alias("k")).groupBy("k").agg(F.count("*").alias("df"))
-    every = sentences.sparkSession.range(dimensions).withColumnRenamed("id", "k")
+    # -1 is in every sentence, so one aggregate counts them as well
+    seen = sets.select(F.explode(F.concat("b", F.array(F.lit(-1).cast("long")))).alias("k")).groupBy("k").agg(F.count("*").alias("df"))
+    every = sentences.sparkSession.range(-1, dimensions).withColumnRenamed("id", "k")
     # ``dimensions`` rows, whatever the corpus
     whole = every.join(seen, "k", "left").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("df", F.lit(0)).alias("df")))).alias("dfs"))
-    return whole.join(F.broadcast(n)).select(F.transform("dfs", lambda x: F.log((F.col("n") + 1) / (x["df"] + 1))).alias("weights"))
+    n = F.element_at("dfs", 1)["df"]
+    return whole.select(F.transform(F.slice("dfs", 2, dimensions), lambda x: F.log((n + 1) / (x["df"] + 1))).alias("weights"))
 
 
 def mass(numbers: Column, weights: Column) -> Column:
@@ -84,9 +85,11 @@ def overlap(a: Column, b: Column) -> Column:
 def with_similarity(rows: DataFrame, text_col: str, exemplars: Sequence[str], model: DataFrame, name: str = "similarity") -> DataFrame:
     """``rows`` with the greatest similarity to one of a few exemplar texts; null for null."""
     fixed = [F.array(*[F.lit(k).cast("long") for k in sorted(plain_buckets(e))]).cast("array<bigint>") for e in exemplars]
-    given = rows.withColumn("__b", buckets(F.col(text_col))).join(F.broadcast(model.withColumnRenamed("weights", "__w")))  # one row of DIMENSIONS numbers
-    best = [similarity(F.col("__b"), e, F.col("__w")) for e in fixed]
-    return given.withColumn(name, F.when(F.col("__b").isNotNull(), F.greatest(*best) if len(best) > 1 else best[0])).drop("__b", "__w")
+    side = model.select(F.col("weights").alias("__w"), F.array(*[F.sqrt(mass(e, F.col("weights"))) for e in fixed]).alias("__e"))
+    given = rows.withColumn("__b", buckets(F.col(text_col))).join(F.broadcast(side))  # one row of DIMENSIONS numbers
+    given = given.withColumn("__m", F.sqrt(mass(F.col("__b"), F.col("__w"))))
+    best = [F.coalesce(F.try_divide(mass(F.array_intersect("__b", e), F.col("__w")), F.col("__m") * F.col("__e")[k]), F.lit(0.0)) for k, e in enumerate(fixed)]
+    return given.withColumn(name, F.when(F.col("__b").isNotNull(), F.greatest(*best) if len(best) > 1 else best[0])).drop("__b", "__w", "__e", "__m")
 
 
 class NgramEncoder:
