@@ -36,13 +36,19 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Turns of a conversation that are sorted together.
+STRETCH_TURNS = 256
+
+
 # -- one feature at a time ------------------------------------------------------------
 
 
 @query("SELECT conv_id, string_agg(text, ' | ' ORDER BY turn, text) AS titles, count(*) AS meetings FROM conversations GROUP BY conv_id")
 def meeting_titles(spark: SparkSession, d: str) -> DataFrame:
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))  # the turns of one conversation
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["text"]), " | ").alias("titles"), F.count("*").alias("meetings"))
+    """Turns are joined in stretches first, so that many tasks sort a very long conversation; its titles are one string in the end."""
+    joined = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), " | ")
+    stretches = t(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / STRETCH_TURNS).alias("stretch")).agg(joined("turn").alias("text"), F.count("*").alias("n"))
+    return stretches.groupBy("conv_id").agg(joined("stretch").alias("titles"), F.sum("n").alias("meetings"))
 
 
 def _nations(spark: SparkSession, d: str) -> DataFrame:
