@@ -72,6 +72,10 @@ def phrase_count(text: Column, pattern: str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no built-in for it."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, for which Spark has no built-in; only texts beyond ASCII, which it may change, leave the JVM."""
+    return F.coalesce(_composed(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)), text)

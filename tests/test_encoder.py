@@ -71,3 +71,20 @@ def test_deeply_nested_pages():
     assert len(root.select("p")) == 3000 and root.text().endswith("x end") and [n.text() for n in root.select("h1")] == ["end"]
     assert html.parse_elements(page)[-1] == ("h1", "", "end")
     assert dom.parse("<p>a<script>b</script><style>c</style>d</p>").text() == "a d"
+
+
+def test_compatibility_characters_are_composed(spark):
+    import unicodedata
+
+    from draftmetrics.functions import text as tx
+
+    texts = ["ﬁ ① Ａ ㎏", "e\u0301 é", "ｶﾞ", "plain\nASCII", "", None, "한글", "\u1112\u1161\u11ab", "①" * 3 + "\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.nfkc(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts] and got[0][0] == "fi 1 A kg"
+
+
+def test_extractions_that_found_nothing(spark):
+    from draftmetrics.sources import sinks
+
+    df = spark.createDataFrame([(1, ["a"]), (2, []), (3, None)], "id long, found array<string>")
+    assert sorted(r.id for r in sinks.empty_extractions(df, "found").collect()) == [2, 3]
