@@ -68,7 +68,7 @@ class PreTokens:
         self.names: list[str] = []
         self._number: dict[str, int] = {}
         self._piece: dict[str, int] = {}
-        self._start, self._flat, self._used = np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.int64), 0
+        self._start, self._flat, self._used = np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.int32), 0
 
     def full(self) -> bool:
         return len(self._piece) > CACHE_PIECES
@@ -130,7 +130,7 @@ class PreTokens:
             self._start = np.concatenate([self._start, np.zeros_like(self._start)])
         while ends[-1] > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        self._flat[self._used : ends[-1]] = np.fromiter((x for e in each for x in e), np.int64, int(lens.sum()))
+        self._flat[self._used : ends[-1]] = np.fromiter((x for e in each for x in e), np.int32, int(lens.sum()))
         self._start[n + 1 : n + 1 + len(each)] = ends
         self._used = int(ends[-1])
         self._piece.update((p, n + k) for k, p in enumerate(pieces))
@@ -153,17 +153,17 @@ class PreTokens:
         words: list[str] = []
         for i, text in enumerate(texts):
             if not self.countable:
-                known[i], out[i] = self.whole(text) if text else 0, np.zeros(0, np.int64)
+                known[i], out[i] = self.whole(text) if text else 0, np.zeros(0, np.int32)
             elif self._added.search(text) or " ".join(text.split()) != text.replace("\n", " "):
                 known[i] = len(self._added.findall(text))
                 cuts = [self._numbers(self._cut(s)) for part in self._added.split(text) if part for s in self._stretches(part)]
-                out[i] = np.fromiter((n for c in cuts for n in c), np.int64)
+                out[i] = np.fromiter((n for c in cuts for n in c), np.int32)
             elif text:
                 mine = ("\r" + text.replace("\n", " \n")).split(" ")
                 words += mine
                 plan.append((i, len(mine)))
             else:
-                out[i] = np.zeros(0, np.int64)
+                out[i] = np.zeros(0, np.int32)
         if words:
             new = [p for p in dict.fromkeys(words) if p not in self._piece]
             if new:
@@ -215,14 +215,19 @@ def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         def flush() -> pa.RecordBatch:
             nonlocal block, ids, sizes, known, each, held
+            n_docs, lens = len(each), [len(x) for x in each]
             used, local = np.unique(np.concatenate(each), return_inverse=True)
-            doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
-            pair, freq = np.unique(doc * max(len(used), 1) + local, return_counts=True)
-            doc, word = pair // max(len(used), 1), pair % max(len(used), 1)
+            each, width = [], max(len(used), 1)
+            pair = np.repeat(np.arange(n_docs), lens)  # (document, pre-token) as one number, in place: a block's arrays are the worker's largest
+            pair *= width
+            pair += local
+            del local
+            pair, freq = np.unique(pair, return_counts=True)
+            doc, word = np.divmod(pair, width)
             first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
             step = np.where(first, word, np.diff(word, prepend=0))  # within a document numbers ascend
             kinds = [pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.binary()]
-            row = [block, [cutter.names[k] for k in used], ids, sizes, known, np.bincount(doc, minlength=len(each)), _planes(step), _planes(freq)]
+            row = [block, [cutter.names[k] for k in used], ids, sizes, known, np.bincount(doc, minlength=n_docs), _planes(step), _planes(freq)]
             block, ids, sizes, known, each, held = block + 1, [], [], [], [], 0
             if cutter.full():
                 cutter.clear()
