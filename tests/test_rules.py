@@ -302,6 +302,13 @@ def test_pages_as_tables(spark):
     assert one(spark, '<p class="x tit y">t</p>', lambda c: h.element(c, "p", "tit")) == "t"
 
 
+def test_references_without_semicolon_stay(spark):
+    html = "<h1>a&amp;b &lt;c&gt; &amp</h1><h1 title='x&copy=1&amp;y'>&unknown; & &#65; &ampx; ver&ltz</h1>"
+    pages = spark.createDataFrame([(1, html)], "id long, html string")
+    assert sorted(r.value for r in dom.selected(pages, "id", "html", "h1").collect()) == sorted(["a&b <c> &amp", "&unknown; & A &ampx; ver&ltz"])
+    assert dom.parse(html).select("h1")[1].attributes["title"] == "x&copy=1&y"
+
+
 def test_tables_decide_on_their_encoding_one_by_one(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('word,grade\n다만,3\n"두\n줄",\n'.encode("cp949"))
     (tmp_path / "b.csv").write_bytes("﻿grade,word\n4,그러나\n\n5,가\n".encode())
