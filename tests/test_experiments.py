@@ -266,3 +266,18 @@ def test_grid_is_the_published_one():
     assert len(ml.GRID) == 18 and len({r.name for r in ml.GRID}) == 18
     assert [len(r.features) for r in ml.GRID if r.name.startswith("without")] == [4] * 5
     assert next(r for r in ml.GRID if r.name == "H1-2").seed == 42
+
+
+def test_counts_of_trees_are_few_numbers(spark, planted):
+    """The last level counts classes alone; extremely randomised trees read equal rows once."""
+    assert tree_growth._shape(5, 5, 4) == (32, 1, 1, 2) and tree_growth._shape(4, 5, 4) == (16, 4, tree_growth.BINS, 2)
+    table = spark.createDataFrame([(k, k % 2, 0, b"ab") for k in range(40)], "key long, y int, fold int, bins binary")
+    assert sorted(r.n for r in tree_growth.grove_rows(table, {"extra_trees"}).collect()) == [20, 20]
+    assert tree_growth.grove_rows(table, {"forest", "extra_trees"}).count() == 42
+
+
+def test_document_features_are_computed_once(spark):
+    from draftmetrics.plans import order_plans as op
+
+    plan = op.document_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan and "scratch-" in plan or "text#" not in plan
