@@ -24,6 +24,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         x = F.col(c).cast("double")
         return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
 
+    df = scratch_table(df.select(*columns))  # read for the quantiles as well
     one = df.agg(*[stats(c).alias(c) for c in columns]).unpivot([], columns, "column", "s")
     joined = one.join(quantiles(df, columns, [0.25, 0.5, 0.75]), "column", "left")
     return joined.select("column", "s.n", "s.mean", "s.std", "s.min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "s.max")

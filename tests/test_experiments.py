@@ -281,3 +281,14 @@ def test_document_features_are_computed_once(spark):
 
     plan = op.document_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "documents.parquet" not in plan and "scratch-" in plan or "text#" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_features_exchange_no_row_thrice(spark):
+    from draftmetrics.plans import order_plans as op
+
+    assert "Expand" not in _plan(op.order_features(spark, "/root/testdata/sf0.001"))
+    assert "lineitem" not in _plan(op.describe_features(spark, "/root/testdata/sf0.001"))  # from a table, for moments and quantiles
