@@ -30,8 +30,9 @@ def buckets(text: Column, sizes: Sequence[int] = SIZES, dimensions: int = DIMENS
 
     def grams(cp: Column, n: int) -> Column:
         last = F.size(cp) - n + 1
-        number = lambda i: F.aggregate(F.slice(cp, i, n), F.lit(n).cast("long"), lambda acc, x: F.pmod(acc * BASE + x, F.lit(dimensions)))
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), number)).otherwise(F.array().cast("array<bigint>"))
+        # the polynomial at once: it stays below 2^63 for the sizes in use
+        number = lambda x, i: F.pmod(sum((F.get(cp, i + k) * BASE ** (n - 1 - k) for k in range(1, n)), x * BASE ** (n - 1) + n * BASE**n), F.lit(dimensions))
+        return F.when(last >= 1, F.transform(F.slice(cp, 1, F.greatest(last, F.lit(1))), number)).otherwise(F.array().cast("array<bigint>"))
 
     def of(cp: Column) -> Column:
         short = F.array(F.aggregate(cp, F.lit(0).cast("long"), lambda acc, x: F.pmod(acc * BASE + x, F.lit(dimensions))))
