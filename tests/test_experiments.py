@@ -298,3 +298,11 @@ def test_feature_matrix_meets_each_table_once(spark):
     from draftmetrics.plans import order_plans as op
 
     assert _plan(op.feature_matrix(spark, "/root/testdata/sf0.001")).count("Join") <= 4
+
+
+def test_split_deals_folds_by_the_same_ranks(planted):
+    """Folds that come with a split are those of the training rows ranked on their own."""
+    both = {r.id: (r.split, r.fold) for r in ex.stratified_split(planted.drop("split"), "id", "y", 3, folds=4).collect()}
+    split = ex.stratified_split(planted.drop("split"), "id", "y", 3)
+    alone = {r.id: ("train", r.fold) for r in ex.stratified_folds(split.filter("split = 'train'"), "id", "y", 4, 3).collect()} | {r.id: ("test", -1) for r in split.filter("split = 'test'").collect()}
+    assert both == alone

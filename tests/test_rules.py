@@ -438,3 +438,20 @@ def test_engines(spark):
 def test_unknown_dimensions(spark):
     long = spark.createDataFrame([(1, "a", 1.0, ""), (1, "misspelt", 2.0, "")], "id long, dim string, score double, rationale string")
     assert [r.dim for r in lb.unknown_dimensions(long, ["a"]).collect()] == ["misspelt"]
+
+
+@pytest.mark.parametrize("text,expected", [(" \u3000\nA b c d. ..x\r\n e f g h.\u2003", ["A b c d.", "x\r\n e f g h."]), (". .", []), ("", []), (None, None)])
+def test_loose_sentences_of_odd_texts(spark, text, expected):
+    assert one(spark, text, tx.loose_sentences) == expected
+
+
+def test_a_long_text_without_a_full_stop_is_read_once(spark):
+    """What follows the last full stop is not searched from each of its characters."""
+    started = dt.datetime.now()
+    assert one(spark, "Abc def. " + "lorem " * 100_000, tx.loose_sentences) == ["Abc def."]
+    assert (dt.datetime.now() - started).total_seconds() < 20
+
+
+@pytest.mark.parametrize("blank", list(" \t\n\r\x0b\x0c\x85\u2028\u3000"))
+def test_blanks_of_any_kind_are_trimmed(spark, blank):
+    assert one(spark, f"{blank} a{blank}b {blank}", tx.trim_blanks) == f"a{blank}b"
