@@ -13,6 +13,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,15 @@ SIZES = (2, 3)
 BASE = 131
 
 
+def clean(text: Column) -> Column:
+    """In lower case and with collapsed blanks."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""))
+
+
 def buckets(text: Column, sizes: Sequence[int] = SIZES, dimensions: int = DIMENSIONS) -> Column:
     """The distinct numbers of a text's n-grams, in lower case and with collapsed blanks; null for null."""
-    clean = F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""))
-    points = F.transform(F.split(clean, ""), lambda c: F.ascii(c).cast("long"))
+    given = clean(text)
+    points = F.transform(F.split(given, ""), lambda c: F.ascii(c).cast("long"))
 
     def grams(cp: Column, n: int) -> Column:
         last = F.size(cp) - n + 1
@@ -39,7 +46,39 @@ def buckets(text: Column, sizes: Sequence[int] = SIZES, dimensions: int = DIMENS
         return F.when(F.size(cp) >= min(sizes), F.array_distinct(F.concat(*[grams(cp, n) for n in sizes]))).otherwise(short)
 
     # one element, so that the code points are made once
-    return F.when(clean != "", F.transform(F.array(points), of)[0]).when(clean == "", F.array().cast("array<bigint>"))
+    return F.when(given != "", F.transform(F.array(points), of)[0]).when(given == "", F.array().cast("array<bigint>"))
+
+
+def numbers_of(texts: pa.Array, sizes: Sequence[int] = SIZES, dimensions: int = DIMENSIONS) -> pa.Array:
+    """The sorted distinct numbers of the n-grams of many clean texts at once; null for null."""
+    given = pc.fill_null(texts, "")
+    length = pc.utf8_length(given).to_numpy(zero_copy_only=False).astype(np.int64)
+    cp = np.frombuffer("".join(given.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner, place = np.repeat(np.arange(len(length)), length), np.arange(len(cp)) - np.repeat(np.cumsum(length) - length, length)
+    left, found = np.repeat(length, length) - place, []
+    for n in sizes:
+        at = np.flatnonzero(left >= n)
+        number = sum((cp[at + k] * BASE ** (n - 1 - k) for k in range(n)), np.full(len(at), n * BASE**n)) % dimensions
+        found.append(owner[at] * dimensions + number)
+    for at in np.flatnonzero((place == 0) & (left < min(sizes))):  # a text that is too short for any
+        number = 0
+        for x in cp[at : at + left[at]].tolist():
+            number = (number * BASE + x) % dimensions
+        found.append(np.array([owner[at] * dimensions + number]))
+    every = np.sort(np.concatenate(found))
+    every = every[np.append(True, every[1:] != every[:-1])] if len(every) else every
+    ends = np.cumsum(np.bincount(every // dimensions, minlength=len(length)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(every % dimensions, pa.int32()), mask=pc.is_null(texts))
+
+
+def many_buckets(text: Column) -> Column:
+    """``buckets`` as array<int> in any order, for very many texts: worked out for a batch at once in Python workers, as functions over arrays are interpreted."""
+
+    @F.arrow_udf("array<int>")
+    def numbers(texts: pa.Array) -> pa.Array:
+        return numbers_of(texts)
+
+    return numbers(clean(text))
 
 
 def plain_buckets(text: str, sizes: Sequence[int] = SIZES, dimensions: int = DIMENSIONS) -> set[int]:

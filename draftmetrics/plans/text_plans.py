@@ -11,6 +11,7 @@ from draftmetrics.functions import text as tx
 from draftmetrics.functions import vectors as vec
 from draftmetrics.functions.profiles import EXACT, LATIN, PHRASE, START
 from draftmetrics.operators import encoder
+from draftmetrics.operators import glosses as gl
 from draftmetrics.operators import metrics as m
 from draftmetrics.operators import morphology as mo
 from draftmetrics.session import ship_package
@@ -232,11 +233,14 @@ SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_matched, 0)
 )
 def gloss_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Senses told apart by the encoder's similarity of sentence and gloss (a benchmark text that has the word, up to three)."""
+    ship_package(spark)
     items = t(spark, d, "benchmark").select("item_id", tx.words(F.col("text")).alias("ws"))
     order = Window.partitionBy("word").orderBy("item_id")
     ranked = items.select("item_id", "ws", F.explode(F.array_distinct("ws")).alias("word")).withColumn("sense_ord", F.row_number().over(order) - 1).filter("sense_ord < 3")
-    lexicon = ranked.select("word", "sense_ord", ((F.length("word") + 2 * F.col("sense_ord")) % 5 + 1).cast("double").alias("grade"), encoder.buckets(F.array_join("ws", " ")).alias("gloss"))
-    out = m.vocabulary_grade(t(spark, d, "documents"), "doc_id", "text", lexicon, LATIN, similarity=encoder.overlap, threshold=0.2, view=encoder.buckets)
+    senses = ranked.select("word", "sense_ord", ((F.length("word") + 2 * F.col("sense_ord")) % 5 + 1).cast("double").alias("grade"), F.col("item_id").alias("gloss_id"))
+    used = items.join(ranked.select("item_id").distinct(), "item_id", "left_semi")
+    texts = used.select(F.col("item_id").alias("gloss_id"), encoder.buckets(F.array_join("ws", " ")).cast("array<int>").alias("numbers"))
+    out = gl.gloss_grade(t(spark, d, "documents"), "doc_id", "text", senses, texts, LATIN, threshold=0.2)
     return out.withColumn("avg_grade", F.round("avg_grade", 6))
 
 
